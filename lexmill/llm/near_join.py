@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import counters
 from .support import Shelf, connected_components
-from .textkit import SHINGLE_WORDS, WordHashes, set_digest, shingle_set, signed, text_bytes
+from .textkit import SHINGLE_WORDS, set_digest, shingle_set, signed, text_bytes, word_hashes
 
 _MASK = np.uint64(counters.SIZE - 1)
 _FAN_OUT = 8
@@ -44,22 +44,20 @@ def profile(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
     """(id, n, digest) per row, and the counter blocks of each task's distinct sets."""
 
     def run(batches):
-        hashes, seen = WordHashes(), set()
-        counts = np.zeros(counters.SIZE, np.int64)
+        seen, tally = set(), counters.Tally()
         for batch in batches:
             n, digests = [], []
             for text in text_bytes(batch.column(1)):
-                s = shingle_set(hashes.of(text.lower().split()), words)
+                s = shingle_set(word_hashes(text), words)
                 n.append(len(s))
                 digests.append(set_digest(s) if len(s) else None)
                 if digests[-1] not in seen and len(s):
                     if len(seen) < 500_000:
                         seen.add(digests[-1])
-                    np.add.at(counts, s & _MASK, 1)
+                    tally.add(s & _MASK)
             rows = len(n)
             yield _profile_batch(batch.column(0), n, digests, [None] * rows, [None] * rows, [None] * rows)
-        salt = TaskContext.get().partitionId()
-        for block, salt, raw in counters.block_rows(counts, salt):
+        for block, salt, raw in counters.block_rows(tally.total(), TaskContext.get().partitionId()):
             yield _profile_batch(pa.array([None], pa.int64()), [None], [None], [block], [salt], [raw])
 
     schema = "id long, n int, digest long, " + counters.BLOCK_SCHEMA
@@ -81,16 +79,19 @@ def _prefixes(docs: DataFrame, text_col: str, words: int, percent: int, rarity)
     """(token, n, digest) for the rarest shingles of each set; a task gives a repeated set once."""
 
     def run(batches):
-        hashes, seen, rare = WordHashes(), set(), rarity.value
+        seen, rare = set(), rarity.value
         for batch in batches:
             tokens, sizes, digests = [], [], []
             for text in text_bytes(batch.column(0)):
-                s = shingle_set(hashes.of(text.lower().split()), words)
+                s = shingle_set(word_hashes(text), words)
                 if not len(s) or (digest := set_digest(s)) in seen:
                     continue
                 if len(seen) < 500_000:
                     seen.add(digest)
-                first = s[np.lexsort((s, rare[s & _MASK]))[: prefix_length(len(s), percent)]]
+                p = prefix_length(len(s), percent)
+                # by rarity, then by shingle: s is sorted, so its position breaks ties
+                rank = (rare[s & _MASK].astype(np.int64) << 32) | np.arange(len(s))
+                first = s[np.partition(rank, p - 1)[:p] & 0xFFFFFFFF]
                 tokens.append(first)
                 sizes.append(np.full(len(first), len(s), np.int32))
                 digests.append(np.full(len(first), digest, np.int64))
@@ -134,11 +135,11 @@ def _sets(docs: DataFrame, text_col: str, words: int, wanted) -> DataFrame:
     """(digest, shingles) of the sets that the filter lets through; a task gives a repeated set once."""
 
     def run(batches):
-        hashes, seen, want = WordHashes(), set(), wanted.value
+        seen, want = set(), wanted.value
         for batch in batches:
             digests, raw = [], []
             for text in text_bytes(batch.column(0)):
-                s = shingle_set(hashes.of(text.lower().split()), words)
+                s = shingle_set(word_hashes(text), words)
                 if not len(s) or not want[_slot(digest := set_digest(s))] or digest in seen:
                     continue
                 if len(seen) < 500_000:
@@ -180,7 +181,7 @@ class SignatureTree:
 
     def __init__(self, sets: list[np.ndarray], percent: int, classes: list[int] | None = None):
         self.percent = percent
-        order = sorted(range(len(sets)), key=lambda i: (sets[i][0], len(sets[i])))
+        order = sorted(range(len(sets)), key=lambda i: (int(8 * np.log2(len(sets[i]))), sets[i][0]))
         self.order, self.sets = order, [sets[i] for i in order]
         n = np.array([len(s) for s in self.sets], np.int64)
         bits = 512
@@ -291,32 +292,30 @@ def _links_of_cells(spark: SparkSession, shelf: Shelf, members: DataFrame, sets:
     tiles = members.groupBy("root").agg(F.sum("n").alias("total")).select("root", F.ceil(F.col("total") / cell_elements).cast("long").alias("tiles"))
     big = shelf.put(tiles.where("tiles > 1"), "big_cells")
     tiled = members.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("digest"), F.col("tiles")))
-    tiled = shelf.put(tiled.join(sets, "digest"), "cells")
+    whole = tiled.join(sets, "digest")
     cell = lambda *c: F.xxhash64(*c)  # noqa: E731  equal names of two cells only put them into one tree
-    found = _tree_links(tiled.select(cell("root", "tile").alias("cell"), "digest", F.col("digest").alias("label"), "shingles"), percent, every)
+    found = _tree_links(whole.select(cell("root", "tile").alias("cell"), "digest", F.col("digest").alias("label"), "shingles"), percent, every)
     found = shelf.put(found, "links_tiles")
     if big.isEmpty():
         return found
+    tiled = shelf.put(whole.join(big.select("root"), "root", "left_semi").dropDuplicates(["digest"]), "big_sets")
 
     def labelled(links: DataFrame, name: str) -> DataFrame:
         roots = connected_components(spark, links, shelf, name)
-        large = tiled.join(big.select("root"), "root", "left_semi")
-        return large.join(roots.withColumnRenamed("node", "digest").withColumnRenamed("root", "class"), "digest", "left").withColumn("label", F.coalesce("class", "digest")).drop("class")
+        return tiled.join(roots.withColumnRenamed("node", "digest").withColumnRenamed("root", "class"), "digest", "left").withColumn("label", F.coalesce("class", "digest")).drop("class")
 
     if not every:
-        # one set for each class of each tile; while they are many, dealt anew at each turn
+        # one set for each class of each tile
         now = labelled(found, "cc_tiles")
-        salt = 0
-        chosen = now.groupBy("root", "label").agg(F.min("tile").alias("low"), F.max("tile").alias("high")).where("low < high or label is not null").select("root", "label")
-        one = now.join(chosen, ["root", "label"], "left_semi").groupBy("root", "tile", "label").agg(F.min("digest").alias("digest")).select("digest", "root", "label")
-        one = one.join(sets, "digest").withColumn("n", F.octet_length("shingles") / 8)
+        one = now.groupBy("root", "tile", "label").agg(F.min("digest").alias("digest")).select("digest", "root", "label")
+        one = one.join(tiled.select("digest", "n", "shingles"), "digest")
         share = one.groupBy("root").agg(F.ceil(F.sum("n") / cell_elements).cast("long").alias("parts"))
-        one = one.join(share, "root").withColumn("part", F.pmod(F.xxhash64("label", F.lit(salt)), F.col("parts")))
+        one = one.join(share, "root").withColumn("part", F.pmod(F.xxhash64("label"), F.col("parts")))
         more = _tree_links(one.select(cell("root", "part", F.lit("r")).alias("cell"), "digest", "label", "shingles"), percent, False)
         found = found.unionByName(shelf.put(more, "links_heads"))
 
     # every set outside its cell's largest class, against all tiles
-    now = shelf.put(labelled(found, "cc_heads"), "labelled") if not every else shelf.put(tiled.join(big.select("root"), "root", "left_semi").withColumn("label", F.col("digest")), "labelled")
+    now = shelf.put(labelled(found, "cc_heads"), "labelled") if not every else tiled.withColumn("label", F.col("digest"))
     sizes = now.groupBy("root", "label").agg(F.count("*").alias("members"))
     main = sizes.groupBy("root").agg(F.max_by("label", F.struct("members", "label")).alias("main"))
     outside = now.join(main, "root").where("label <> main")
@@ -353,16 +352,14 @@ def jaccard_classes(
     nodes = shelf.put(cells.unionByName(cells.select(F.col("root").alias("node"), "root")).distinct(), "nodes")
     wanted = spark.sparkContext.broadcast(_filter_of(nodes))
     sets = _sets(docs, text_col, words, wanted)
-    # of a set that several tasks gave, the trees keep one
-    sets = shelf.put(sets.join(nodes.select(F.col("node").alias("digest")), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
-    members = nodes.select(F.col("node").alias("digest"), "root").join(sets.select("digest", (F.octet_length("shingles") / 8).cast("long").alias("n")), "digest")
+    members = nodes.select(F.col("node").alias("digest"), "root").join(rows.where("digest is not null").groupBy("digest").agg(F.first("n").cast("long").alias("n")), "digest")
     links = _links_of_cells(spark, shelf, members, sets, percent, cell_elements, every_link)
     classes = connected_components(spark, links, shelf, "classes")
     named = rows.where("digest is not null").join(classes.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "id")
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of_digest = shelf.put(named.select("digest", "root").distinct().join(smallest, "root").select("digest", "component_id"), "of_digest")
     out = rows.join(of_digest, "digest", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    shelf.drop("cells", "sets", "nodes", "labelled")
+    shelf.drop("nodes", "big_sets", "labelled")
     return out, links
 
 

@@ -1,8 +1,20 @@
 """Registered queries of this subpackage."""
 
+from .decontaminate import op5_decontaminate
 from .near_join import op4_near_join
+from .quality_classifier import op3_quality_classifier
+from .quality_rules import op6_quality_rules
+from .substring_dedup import op9_substring_dedup
+from .token_counts import op10_token_counts
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_near_join": op4_near_join,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {}
