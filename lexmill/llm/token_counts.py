@@ -30,6 +30,8 @@ from .support import Shelf
 
 #: Fixed value: the published pattern that byte-level BPE vocabularies of this family split text by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters that all Unicode versions in use class alike; a text with others is split by the library itself.
+_OTHERS = regex.compile(r"[^\u0000-\u0557\u0900-\u097f\u2010-\u2046\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fcc\uac00-\ud7a3]")
 _HELD = 300_000
 _HOT_BYTES = 64
 
@@ -47,7 +49,17 @@ class PreTokens:
         if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens that strip, normalise or need word bounds are not supported")
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
-        self.find = regex.compile(PATTERN).findall
+        self.path, self.library = path, None
+        self.pattern = regex.compile(PATTERN)
+
+    def find(self, text: str) -> list[str]:
+        if text.isascii() or not _OTHERS.search(text):
+            return self.pattern.findall(text)
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path).pre_tokenizer
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
     def of(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens, and the number of special strings."""

@@ -6,8 +6,9 @@ ordinary one, say how toxic it is.  A logistic calibration over a document's win
 score, and its threshold the verdict.
 
 Toxic documents are mostly ordinary text, so the toxic dictionary is trained on what sets them apart:
-the words that are ``ratio`` times as frequent (by documents) in toxic as in ordinary training texts
-and stand in at least ``support`` of them.  Both compressors then get the ordinary dictionary, the
+the words that are ``ratio`` times as frequent (by documents) in toxic as in ordinary training texts,
+beyond chance (log-likelihood ratio of at least ``evidence``); a text that mostly repeats the shingles
+of earlier ones doesn't train.  Both compressors then get the ordinary dictionary, the
 toxic one with the toxic dictionary before it: on ordinary words both save the same.
 
 Fitting is bounded: at most ``per_class`` labelled rows of each class with at most ``fit_chars``
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .labels import labelled_sample, rows_of
 from .support import held_out, table
-from .textkit import text_bytes
+from .textkit import shingle_set, text_bytes, word_hashes
 
 _ORDINARY_BYTES, _TOXIC_BYTES = 16_384, 1_024
 _SAMPLE_WINDOWS = 60_000
@@ -95,15 +96,27 @@ def _dictionary(size: int, samples: list[bytes], k: int) -> bytes:
         return b"".join(samples)[-size:].ljust(8)
 
 
-def fit_texts(rows: list[tuple[bytes, int]], window: int = 16, ratio: float = 60.0, support: float = 0.01) -> ToxicityModel:
+def _evidence(c1: int, n1: int, c0: int, n0: int) -> float:
+    """Log-likelihood ratio of the word's shares against its overall share."""
+    share = (c1 + c0) / (n1 + n0)
+    return 2 * sum(c * math.log(c / n / share) for c, n in ((c1, n1), (c0, n0)) if c)
+
+
+def fit_texts(rows: list[tuple[bytes, int]], window: int = 16, ratio: float = 15.0, evidence: float = 40.0) -> ToxicityModel:
     """rows: distinct (text, label) in a fixed order, both labels present."""
-    split = {y: [t.lower().split() for t, label in rows if label == y] for y in (0, 1)}
+    seen: set[int] = set()
+    split: dict[int, list[list[bytes]]] = {0: [], 1: []}
+    for text, label in rows:
+        shingles = shingle_set(word_hashes(text)).tolist()
+        if 3 * sum(s in seen for s in shingles) <= len(shingles) or not split[label]:
+            split[label].append(text.lower().split())
+        seen.update(shingles)
     train = {y: docs[: max(1, len(docs) * 2 // 3)] for y, docs in split.items()}
     held = {y: docs[len(train[y]) :] or train[y] for y, docs in split.items()}
     df = {y: Counter(w for words in docs for w in set(words)) for y, docs in train.items()}
     n1, n0 = len(train[1]), len(train[0])
-    least = max(3 if n1 >= 10 else 1, support * n1)
-    apart = {w for w, c in df[1].items() if c >= least and c / n1 >= ratio * (df[0][w] + 0.5) / (n0 + 1)}
+    least = evidence if n1 >= 10 else 0.0
+    apart = {w for w, c in df[1].items() if c / n1 >= ratio * (df[0][w] + 0.5) / (n0 + 1) and _evidence(c, n1, df[0][w], n0) >= least}
     marks = [b" " + b" ".join(w for w in words if w in apart) + b" " for words in train[1]]
     toxic = _dictionary(_TOXIC_BYTES, [m for m in marks if len(m) >= 8], 24)
     ordinary = _dictionary(_ORDINARY_BYTES, [b" ".join(words[i : i + 10]) for words in train[0] for i in range(0, len(words), 10)][:_SAMPLE_WINDOWS], 64)
