@@ -113,6 +113,21 @@ def contained_items(
     return reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], schema)
 
 
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 80, block_shingles: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` that contain none of the items, in the search pass itself."""
+    at = docs.columns.index(text_col)
+    for block in _blocks(items, item_col, item_text_col, block_shingles):
+        shared = docs.sparkSession.sparkContext.broadcast(ItemSketches(block, percent))
+
+        def run(batches, shared=shared):
+            sketches = shared.value
+            for batch in batches:
+                yield batch.filter(pa.array([next(sketches.found(word_hashes(text)), None) is None for text in text_bytes(batch.column(at))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contained_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import counters
@@ -41,7 +42,7 @@ _FAN_OUT = 8
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n, digest) per row, and the counter blocks of each task's distinct sets."""
+    """(id, th, n, digest) per row (th: hash of the text), and the counter blocks of each task's distinct sets."""
 
     def run(batches):
         seen, tally = set(), counters.Tally()
@@ -56,18 +57,18 @@ def profile(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
                         seen.add(digests[-1])
                     tally.add(s & _MASK)
             rows = len(n)
-            yield _profile_batch(batch.column(0), n, digests, [None] * rows, [None] * rows, [None] * rows)
+            yield _profile_batch(batch.column(0), batch.column(2), n, digests, [None] * rows, [None] * rows, [None] * rows)
         for block, salt, raw in counters.block_rows(tally.total(), TaskContext.get().partitionId()):
-            yield _profile_batch(pa.array([None], pa.int64()), [None], [None], [block], [salt], [raw])
+            yield _profile_batch(pa.array([None], pa.int64()), pa.array([None], pa.int64()), [None], [None], [block], [salt], [raw])
 
-    schema = "id long, n int, digest long, " + counters.BLOCK_SCHEMA
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = "id long, th long, n int, digest long, " + counters.BLOCK_SCHEMA
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col)).mapInArrow(run, schema)
 
 
-def _profile_batch(ids, n, digests, block, salt, raw) -> pa.RecordBatch:
+def _profile_batch(ids, th, n, digests, block, salt, raw) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array(n, pa.int32()), pa.array(digests, pa.int64()), pa.array(block, pa.int32()), pa.array(salt, pa.int32()), pa.array(raw, pa.binary())],
-        names=["id", "n", "digest", "block", "salt", "counts"],
+        [ids, th, pa.array(n, pa.int32()), pa.array(digests, pa.int64()), pa.array(block, pa.int32()), pa.array(salt, pa.int32()), pa.array(raw, pa.binary())],
+        names=["id", "th", "n", "digest", "block", "salt", "counts"],
     )
 
 
@@ -339,14 +340,15 @@ def jaccard_classes(
 ) -> tuple[DataFrame, DataFrame]:
     """(classes, links).
 
-    classes: ``id``, ``n_shingles`` and ``component_id``, a row per input row.
+    classes: ``id``, ``th`` (hash of the text), ``n_shingles``, ``component_id`` and ``class`` (null
+    without shingles), a row per input row.
     links: ``a``, ``b``, verified pairs of set digests; with ``every_link`` all of them, else enough to
     connect each class.
     """
     spark = docs.sparkSession
     shelf = Shelf(spark)
     both = shelf.put(profile(docs, id_col, text_col, words), "profile")
-    rows = both.where("block is null").select("id", "n", "digest")
+    rows = both.where("block is null").select("id", "th", "n", "digest")
     rarity = spark.sparkContext.broadcast(np.minimum(counters.summed(both.where("block is not null").select("block", "salt", "counts")), 2**31 - 1).astype(np.int32))
     cells = connected_components(spark, _cell_edges(_prefixes(docs, text_col, words, percent, rarity), percent), shelf, "cells_cc")
     nodes = shelf.put(cells.unionByName(cells.select(F.col("root").alias("node"), "root")).distinct(), "nodes")
@@ -357,12 +359,24 @@ def jaccard_classes(
     classes = connected_components(spark, links, shelf, "classes")
     named = rows.where("digest is not null").join(classes.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "id")
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_digest = shelf.put(named.select("digest", "root").distinct().join(smallest, "root").select("digest", "component_id"), "of_digest")
-    out = rows.join(of_digest, "digest", "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    of_digest = shelf.put(named.select("digest", "root").distinct().join(smallest, "root").select("digest", "component_id", F.col("root").alias("class")), "of_digest")
+    out = rows.join(of_digest, "digest", "left").select("id", "th", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "class")
     shelf.drop("nodes", "big_sets", "labelled")
     return out, links
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with one row of each class: that of the smallest id. Texts without words stay."""
+    classes, _ = jaccard_classes(docs, id_col, text_col, **options)
+    heads = classes.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("head")).select(F.col("head.id").alias("_id"), F.col("head.th").alias("_th"))
+    named = docs.withColumn("_th", F.xxhash64(text_col))
+    empty = F.col(text_col).isNull() | ~F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]"))
+    head = named.where(~empty).alias("d").join(heads.alias("h"), (F.col("d._th") == F.col("h._th")) & F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("h._id")), "left_semi")
+    # equal rows are one
+    head = head.withColumn("_n", F.row_number().over(W.partitionBy("_th", id_col).orderBy(F.lit(1)))).where("_n = 1")
+    return head.select(docs.columns).unionByName(docs.where(empty))
+
+
 def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     classes, _ = jaccard_classes(docs)

@@ -37,7 +37,7 @@ from .labels import labelled_sample, rows_of
 from .support import held_out, table
 from .textkit import shingle_set, text_bytes, word_hashes
 
-_ORDINARY_BYTES, _TOXIC_BYTES = 16_384, 1_024
+_ORDINARY_BYTES, _TOXIC_BYTES = 4_096, 1_024
 _SAMPLE_WINDOWS = 60_000
 
 
@@ -102,7 +102,7 @@ def _evidence(c1: int, n1: int, c0: int, n0: int) -> float:
     return 2 * sum(c * math.log(c / n / share) for c, n in ((c1, n1), (c0, n0)) if c)
 
 
-def fit_texts(rows: list[tuple[bytes, int]], window: int = 16, ratio: float = 15.0, evidence: float = 40.0) -> ToxicityModel:
+def fit_texts(rows: list[tuple[bytes, int]], window: int = 12, ratio: float = 20.0, evidence: float = 25.0) -> ToxicityModel:
     """rows: distinct (text, label) in a fixed order, both labels present."""
     seen: set[int] = set()
     split: dict[int, list[list[bytes]]] = {0: [], 1: []}
@@ -155,6 +155,19 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel | float, id_col: str =
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel | float, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, in the scoring pass itself."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        model = shared.value
+        scorer = None if isinstance(model, float) else model.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([(scorer.score(text) if scorer else model) < threshold for text in text_bytes(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scores = toxicity_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
