@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 SIZE = 1 << 22
 _BLOCK = 1 << 14
+_BITS = 1 << 17
 BLOCK_SCHEMA = "block int, salt int, counts binary"
 
 
@@ -54,6 +55,37 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 8: np.int64}[len(raw) // _BLOCK])
 
 
+def marked(slots: DataFrame, size: int) -> np.ndarray:
+    """A frame of one int column of slots -> a bool array: which slots occur.  Bits, so size / 8 bytes."""
+
+    def mark(batches):
+        seen = np.zeros(size, bool)
+        for batch in batches:
+            seen[batch.column(0).to_numpy(zero_copy_only=False)] = True
+        for i in range(0, size, _BITS):
+            if (piece := seen[i : i + _BITS]).any():
+                yield _block_batch(i // _BITS, np.packbits(piece).tobytes())
+
+    def union(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                bits = np.frombuffer(raw, np.uint8)
+                held[block] = held[block] | bits if block in held else bits
+        for block, bits in held.items():
+            yield _block_batch(block, bits.tobytes())
+
+    out = np.zeros(size, bool)
+    once = slots.mapInArrow(mark, BLOCK_SCHEMA).withColumn("salt", F.spark_partition_id() % 8).repartition("block", "salt").mapInArrow(union, BLOCK_SCHEMA)
+    for row in once.repartition("block").mapInArrow(union, BLOCK_SCHEMA).toLocalIterator():
+        out[row.block * _BITS : (row.block + 1) * _BITS] = np.unpackbits(np.frombuffer(bytes(row.counts), np.uint8)).astype(bool)
+    return out
+
+
+def _block_batch(block: int, raw: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([raw], pa.binary())})
+
+
 def summed(blocks: DataFrame, size: int = SIZE, salts: int = 8) -> np.ndarray:
     """Rows of ``BLOCK_SCHEMA`` -> the summed array (int64), on the driver."""
 

@@ -9,7 +9,9 @@ Plan
    fixed array of counters.  Equal sets are one class member from here on.
 2. *cells*: two sets this similar share one of their first ``n - ceil(0.8 n) + 1`` shingles in any
    common order.  Rare-first by the counters, so that a passage shared by a third of the corpus comes
-   last in every document.  Sets that share such a shingle, directly or through others, form a cell.
+   last in every document.  Counters are noisy, so shingles that still stand among the first of
+   ``heavy_from`` sets or more are put behind all others, and the first ones are taken anew.  Sets that
+   share such a shingle, directly or through others, form a cell.
 3. *signature trees*: in each cell, a tree over the sets whose nodes hold the OR of their members'
    token bitmaps, the size range and the largest in-set bit collision.  A dual traversal drops a pair
    of nodes when ``popcount(OR & OR)`` cannot reach the overlap that their sizes ask for, or when both
@@ -39,6 +41,8 @@ from .textkit import SHINGLE_WORDS, set_digest, shingle_set, signed, text_bytes,
 
 _MASK = np.uint64(counters.SIZE - 1)
 _FAN_OUT = 8
+_HEAVY_SIZE = 1 << 25
+_HEAVY_SHIFT = np.uint64(64 - 25)
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -76,11 +80,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _prefixes(docs: DataFrame, text_col: str, words: int, percent: int, rarity) -> DataFrame:
+def _prefixes(docs: DataFrame, text_col: str, words: int, percent: int, rarity, heavy=None) -> DataFrame:
     """(token, n, digest) for the rarest shingles of each set; a task gives a repeated set once."""
 
     def run(batches):
-        seen, rare = set(), rarity.value
+        seen, rare, last = set(), rarity.value, heavy and heavy.value
         for batch in batches:
             tokens, sizes, digests = [], [], []
             for text in text_bytes(batch.column(0)):
@@ -92,7 +96,9 @@ def _prefixes(docs: DataFrame, text_col: str, words: int, percent: int, rarity)
                 p = prefix_length(len(s), percent)
                 # by rarity, then by shingle: s is sorted, so its position breaks ties
                 rank = (rare[s & _MASK].astype(np.int64) << 32) | np.arange(len(s))
-                first = s[np.partition(rank, p - 1)[:p] & 0xFFFFFFFF]
+                if last is not None:
+                    rank |= last[s >> _HEAVY_SHIFT].astype(np.int64) << 62
+                first = s[np.partition(rank, p - 1)[:p] & 0x7FFFFFFF]
                 tokens.append(first)
                 sizes.append(np.full(len(first), len(s), np.int32))
                 digests.append(np.full(len(first), digest, np.int64))
@@ -159,18 +165,13 @@ def _slot(digest: int) -> int:
 
 def _filter_of(nodes: DataFrame) -> np.ndarray:
     """A fixed-size filter of the nodes' digests: false positives only cost a later join row."""
+    return counters.marked(nodes.select(F.col("node").bitwiseAND(F.lit(counters.SIZE - 1)).cast("int")), counters.SIZE)
 
-    def run(batches):
-        counts = np.zeros(counters.SIZE, np.int64)
-        for batch in batches:
-            slots = batch.column(0).to_numpy(zero_copy_only=False) & (counters.SIZE - 1)
-            counts[slots] = 1
-        rows = list(counters.block_rows(counts, TaskContext.get().partitionId()))
-        if rows:
-            block, salt, raw = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(salt, pa.int32()), pa.array(raw, pa.binary())], names=["block", "salt", "counts"])
 
-    return counters.summed(nodes.select("node").mapInArrow(run, counters.BLOCK_SCHEMA)) > 0
+def _heavy(prefixes: DataFrame, least: int) -> np.ndarray:
+    """A fixed-size filter of the tokens in ``least`` prefixes or more: any filter gives a valid order."""
+    many = prefixes.select("token").repartition("token").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return counters.marked(many.select(F.shiftrightunsigned("token", 64 - 25).cast("int")), _HEAVY_SIZE)
 
 
 class SignatureTree:
@@ -294,6 +295,8 @@ def _links_of_cells(spark: SparkSession, shelf: Shelf, members: DataFrame, sets:
     big = shelf.put(tiles.where("tiles > 1"), "big_cells")
     tiled = members.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("digest"), F.col("tiles")))
     whole = tiled.join(sets, "digest")
+    if not big.isEmpty():
+        whole = shelf.put(whole, "cells")
     cell = lambda *c: F.xxhash64(*c)  # noqa: E731  equal names of two cells only put them into one tree
     found = _tree_links(whole.select(cell("root", "tile").alias("cell"), "digest", F.col("digest").alias("label"), "shingles"), percent, every)
     found = shelf.put(found, "links_tiles")
@@ -335,7 +338,8 @@ def jaccard_classes(
     text_col: str = "text",
     words: int = SHINGLE_WORDS,
     percent: int = 80,
-    cell_elements: int = 4_000_000,
+    cell_elements: int = 8_000_000,
+    heavy_from: int = 4,
     every_link: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(classes, links).
@@ -349,8 +353,9 @@ def jaccard_classes(
     shelf = Shelf(spark)
     both = shelf.put(profile(docs, id_col, text_col, words), "profile")
     rows = both.where("block is null").select("id", "th", "n", "digest")
-    rarity = spark.sparkContext.broadcast(np.minimum(counters.summed(both.where("block is not null").select("block", "salt", "counts")), 2**31 - 1).astype(np.int32))
-    cells = connected_components(spark, _cell_edges(_prefixes(docs, text_col, words, percent, rarity), percent), shelf, "cells_cc")
+    rarity = spark.sparkContext.broadcast(np.minimum(counters.summed(both.where("block is not null").select("block", "salt", "counts")), 2**30 - 1).astype(np.int32))
+    heavy = spark.sparkContext.broadcast(_heavy(_prefixes(docs, text_col, words, percent, rarity), heavy_from))
+    cells = connected_components(spark, _cell_edges(_prefixes(docs, text_col, words, percent, rarity, heavy), percent), shelf, "cells_cc")
     nodes = shelf.put(cells.unionByName(cells.select(F.col("root").alias("node"), "root")).distinct(), "nodes")
     wanted = spark.sparkContext.broadcast(_filter_of(nodes))
     sets = _sets(docs, text_col, words, wanted)
