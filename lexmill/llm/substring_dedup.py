@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes cuts a text where its top bits are zero, so cuts follow the
-content and an insertion moves only the chunks around it.  Chunks have 16 to 256 bytes, about 50 on
-average.  A chunk repeats if its digest occurs before, in the order (doc_id, row, position); adjacent
+content and an insertion moves only the chunks around it.  Chunks have 16 to 256 bytes, about 30 on
+average, so that a passage of 50 words holds several.  A chunk repeats if its digest occurs before, in the order (doc_id, row, position); adjacent
 repeated chunks form a span, and spans of at least ``min_chars`` characters are removed.  Shorter
 repeats are phrases that texts share by chance.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from .textkit import text_bytes
 
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) & 0xFFFF for b in range(256)], np.uint16)
 _LEAST, _MOST = 16, 256
-_TOP = np.uint16(16 - 5)  # 5 top bits: a cut in 32 positions
+_TOP = np.uint16(16 - 4)  # 4 top bits: a cut in 16 positions
 _HELD = 1_500_000
 
 
@@ -113,11 +114,18 @@ def _occurrence_batch(held) -> pa.RecordBatch:
 
 
 def _repeats(occurrences: DataFrame) -> DataFrame:
-    """(row, id, at, first_id) of each occurrence that follows another of its digest."""
+    """(row, id, at, first_id) of each occurrence that follows another of its digest.
+
+    Settled ones are dealt by row, so that a frequent digest's don't meet.
+    """
 
     def run(batches):
         last = None  # digest, and the id, row and place of its first occurrence
         for batch in batches:
+            settled = batch.column("settled")
+            if settled.true_count:  # known already, and sorted behind all others
+                yield batch.filter(settled).select(["row", "id", "at", "first_id"])
+                batch = batch.filter(pc.invert(settled))
             digest, row, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("digest", "row", "at"))
             ids = batch.column("id")
             if not len(digest):
@@ -137,7 +145,7 @@ def _repeats(occurrences: DataFrame) -> DataFrame:
                 keep = pa.array(repeated)
                 yield pa.RecordBatch.from_arrays([pa.array(row).filter(keep), ids.filter(keep), pa.array(at).filter(keep), first_id.filter(keep)], names=["row", "id", "at", "first_id"])
 
-    ready = occurrences.where("not settled").select("digest", "id", "row", "at").repartition("digest").sortWithinPartitions("digest", F.asc_nulls_first("id"), "row", "at")
+    ready = occurrences.repartition(F.when(F.col("settled"), F.col("row")).otherwise(F.col("digest"))).sortWithinPartitions("settled", "digest", F.asc_nulls_first("id"), "row", "at")
     return ready.mapInArrow(run, "row long, id long, at long, first_id long")
 
 
@@ -183,16 +191,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64("id", "text").alias("row"), "id", "text")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 120) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 100) -> DataFrame:
     """``row`` (hash of id and text), ``id``, ``start``, ``end``, ``n_chunks``, ``first_id`` of each removed span."""
-    from .support import Shelf
-
-    found = Shelf(docs.sparkSession).put(_occurrences(_keyed(docs, id_col, text_col)), "chunks")
-    settled = found.where("settled").select("row", "id", "at", "first_id")
-    return _spans(settled.unionByName(_repeats(found)), min_chars)
+    return _spans(_repeats(_occurrences(_keyed(docs, id_col, text_col))), min_chars)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 120) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 100) -> DataFrame:
     """``id`` and ``text`` of each row with its repeated spans removed."""
     spans = repeated_spans(docs, id_col, text_col, min_chars).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
