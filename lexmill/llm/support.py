@@ -46,28 +46,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, shelf: Shelf, name: str) -> DataFrame:
+def connected_components(spark: SparkSession, edges: DataFrame, shelf: Shelf, name: str, edges_a_task: int = 500_000) -> DataFrame:
     """(a, b) long pairs -> (node, root): root is the smallest node reachable.
 
     Alternates large-star and small-star until no pair changes; rounds grow with the logarithm of the
-    longest chain.  Pairs stay in the cluster; each round is one written table.
+    longest chain.  Pairs stay in the cluster; each round is one written table.  A round's tables have
+    one partition for each ``edges_a_task`` pairs, so a small graph is spared the shuffles.
     """
-    e = edges.select("a", "b").where("a <> b")
-    e = shelf.put(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}_0")
-    before, turn = None, 0
+    e = edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = shelf.put(e.distinct(), f"{name}_0")
+    before, turn = _names(e), 0
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parts = before[0] // edges_a_task + 1
+        few = lambda df: df.coalesce(parts)
+        both = few(e).select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(low.where("u <> m").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        large = few(large.unionByName(low.where("u <> m").select("u", F.col("m").alias("v")))).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         turn += 1
-        e_next = shelf.put(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}_{turn}")
+        e = shelf.put(few(small.unionByName(low.select("u", F.col("m").alias("v")))).distinct(), f"{name}_{turn}")
         shelf.drop(f"{name}_{turn - 1}")
-        e = e_next
-        # a sum of hashes names the pair set: equal sums on two turns mean nothing moved
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (now["n"], now["h"]) == before:
+        now = _names(e)
+        if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = (now["n"], now["h"])
+        before = now
+
+
+def _names(e: DataFrame) -> tuple:
+    """Count and hash sum of a set of pairs: equal on two turns, nothing moved."""
+    row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    return row["n"], row["h"]
