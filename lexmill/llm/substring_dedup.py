@@ -6,9 +6,10 @@ average, so that a passage of 50 words holds several.  A chunk repeats if its di
 repeated chunks form a span, and spans of at least ``min_chars`` characters are removed.  Shorter
 repeats are phrases that texts share by chance.
 
-A digest that a task meets again is settled in that task; only its first occurrence there is
-shuffled, so a line that a third of the corpus holds sends one row for each task.  The digest's
-occurrences are then read in order from a sorted stream, never held.
+A digest that a task has met under a smaller id is settled there and then; only its smallest
+occurrences so far are shuffled, so a line that a third of the corpus holds sends a few rows for each
+task.  The digest's occurrences are then read in order from a sorted stream, never held.  The result
+does not depend on how rows are dealt.
 
 Rows with equal id and text are one document (their spans are the same).  Null and empty texts have
 no chunks; null ids are allowed and come first; an empty table gives an empty result; other columns
@@ -30,6 +31,7 @@ _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) & 0xFFFF for b in range(256
 _LEAST, _MOST = 16, 256
 _TOP = np.uint16(16 - 4)  # 4 top bits: a cut in 16 positions
 _HELD = 1_500_000
+_NULL = -(1 << 63)
 
 
 def cut_points(data: bytes) -> list[int]:
@@ -78,21 +80,21 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     """A row for each chunk: settled ones repeat an occurrence of the same task, whose id they carry."""
 
     def run(batches):
-        first: dict[int, int | None] = {}
+        least: dict[int, int] = {}  # digest -> smallest id so far; null ids come before all
         for batch in batches:
             held = []
             for row, doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
                 names, starts, ends = chunks(data)
                 at = (starts << 12) | (ends - starts)
-                before, again = [], np.zeros(len(names), bool)
+                own = _NULL if doc_id is None else doc_id
+                before, again = [None] * len(names), np.zeros(len(names), bool)
                 for i, name in enumerate(names.tolist()):
-                    if name in first:
+                    known = least.get(name)
+                    if known is not None and known < own:
                         again[i] = True
-                        before.append(first[name])
-                    else:
-                        before.append(None)
-                        if len(first) < _HELD:
-                            first[name] = doc_id
+                        before[i] = None if known == _NULL else known
+                    elif known is not None or len(least) < _HELD:
+                        least[name] = own
                 held.append((names, doc_id, row, at, before, again))
                 if len(held) >= 500:
                     yield _occurrence_batch(held)
