@@ -60,7 +60,7 @@ class Scorer:
         self.plain, self.toxic = _compressor(model.ordinary), _compressor(model.toxic + model.ordinary)
 
     def features(self, text: bytes) -> list[float]:
-        """What the windows save: the best, the three best, the share, how often, and the length."""
+        """What the windows save: the best, the three best, the share of the text, and how often."""
         words, w = text.lower().split(), self.model.window
         saved, size = [], 0
         plain, toxic = self.plain.compress, self.toxic.compress
@@ -69,10 +69,10 @@ class Scorer:
             saved.append(len(plain(window)) - len(toxic(window)))
             size += len(window)
         if not saved:
-            return [0.0] * 7
+            return [0.0] * 6
         top = sorted(saved, reverse=True)[:3]
         n = len(saved)
-        return [top[0], sum(top) / len(top), 100 * sum(s for s in saved if s > 0) / size, sum(s >= 2 for s in saved) / n, sum(s >= 3 for s in saved) / n, min(sum(s >= 3 for s in saved), 5), math.log(n)]
+        return [top[0], sum(top) / len(top), 100 * sum(s for s in saved if s > 0) / size, sum(s >= 2 for s in saved) / n, sum(s >= 3 for s in saved) / n, min(sum(s >= 3 for s in saved), 5)]
 
     def score(self, text: bytes) -> float:
         x = (np.array(self.features(text)) - self.model.mean) / self.model.scale
@@ -120,7 +120,7 @@ def fit_texts(rows: list[tuple[bytes, int]], window: int = 12, ratio: float = 20
     marks = [b" " + b" ".join(w for w in words if w in apart) + b" " for words in train[1]]
     toxic = _dictionary(_TOXIC_BYTES, [m for m in marks if len(m) >= 8], 24)
     ordinary = _dictionary(_ORDINARY_BYTES, [b" ".join(words[i : i + 10]) for words in train[0] for i in range(0, len(words), 10)][:_SAMPLE_WINDOWS], 64)
-    model = ToxicityModel(ordinary, toxic, window, np.zeros(7), np.ones(7), np.zeros(8))
+    model = ToxicityModel(ordinary, toxic, window, np.zeros(6), np.ones(6), np.zeros(7))
     scorer = model.scorer()
     x = np.array([scorer.features(b" ".join(words)) for y in (0, 1) for words in held[y]])
     y = np.r_[np.zeros(len(held[0])), np.ones(len(held[1]))]
@@ -128,7 +128,7 @@ def fit_texts(rows: list[tuple[bytes, int]], window: int = 12, ratio: float = 20
     z = np.c_[np.ones(len(x)), (x - model.mean) / model.scale]
     for _ in range(25):  # Newton steps of the ridge logistic calibration
         p = 1 / (1 + np.exp(-z @ model.weights))
-        model.weights = model.weights + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(8), z.T @ (y - p) - 0.01 * model.weights)
+        model.weights = model.weights + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(7), z.T @ (y - p) - 0.01 * model.weights)
     return model
 
 
