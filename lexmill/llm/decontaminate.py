@@ -131,3 +131,24 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contained_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+#: Fixed value: 80 percent of an item's shingles.
+OP5_SQL = r"""
+with item_words as (
+  select item_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from benchmark),
+items as (select *, least(5, len(w)) as n from item_words where len(w) > 0),
+item_shingles as (
+  select distinct item_id, r, n, array_to_string(w[k : k + n - 1], ' ') as s
+  from (select *, unnest(range(1, len(w) - n + 2)) as k from items)),
+sizes as (select r, count(*) as n_item from item_shingles group by r),
+doc_words as (
+  select doc_id, row_number() over () as d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+lengths as (select distinct n from items),
+doc_shingles as (
+  select distinct doc_id, d, n, array_to_string(w[k : k + n - 1], ' ') as s
+  from (select *, unnest(range(1, greatest(len(w) - n + 2, 1))) as k from doc_words, lengths)),
+hits as (select doc_id, d, item_id, r, count(*) as n_shared from doc_shingles join item_shingles using (n, s) group by all)
+select doc_id, item_id, n_shared, n_item, n_shared / n_item::double as containment
+from hits join sizes using (r) where 100 * n_shared >= 80 * n_item
+"""

@@ -386,3 +386,19 @@ def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     classes, _ = jaccard_classes(docs)
     return classes.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+#: Fixed value: 80 percent of the union.
+OP4_SQL = r"""
+with recursive doc_words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[k : k + n - 1], ' ') as s
+  from (select *, unnest(range(1, len(w) - n + 2)) as k from (select *, least(5, len(w)) as n from doc_words where len(w) > 0))),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select x.doc_id as a, y.doc_id as b, count(*) as m from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id group by all),
+links as (select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * m >= 80 * (p.n + q.n - m)),
+reach as (select doc_id, doc_id as other from documents union select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, c.component_id
+from documents d left join sizes s using (doc_id) join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)
+"""

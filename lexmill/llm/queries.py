@@ -3,9 +3,9 @@
 import corpus_pipeline
 
 from .chat_format import OP8_SQL, op8_chat_format
-from .decontaminate import op5_decontaminate
+from .decontaminate import OP5_SQL, op5_decontaminate
 from .mixing import OP7_SQL, op7_mixing
-from .near_join import op4_near_join
+from .near_join import OP4_SQL, op4_near_join
 from .pii import op2_pii
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op6_quality_rules
@@ -27,6 +27,8 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {
+    "op4_near_join": OP4_SQL,
+    "op5_decontaminate": OP5_SQL,
     "op7_mixing": OP7_SQL,
     "op8_chat_format": OP8_SQL,
 }
