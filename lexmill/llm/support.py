@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,10 @@ class Shelf:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+        folder = shared_folder(spark)
+        self.root = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+        if folder == _OWN_FOLDER:
+            atexit.register(shutil.rmtree, self.root, True)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
