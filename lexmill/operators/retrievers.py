@@ -164,3 +164,11 @@ class Hybrid(Retriever):
         depth = fusion.fetch_depth(k)
         runs = {f"{i}:{r.name}": r.run(queries, depth) for i, r in enumerate(self.retrievers)}
         return fusion.fuse(runs, self.method, k, self.rrf_k, self.weights).select("query", "doc", "score", "rank")
+
+
+def build(sparse_only: bool = False, encoder: dense.Encoder = dense.hashed_encoder, model: str = "hashed-trigrams", ngram_range: tuple[int, int] = (2, 4), k1: float = 1.5, b: float = 0.75, method: str = "rrf", rrf_k: int = 60, weights: list[float] | None = None, **vectors) -> Retriever:
+    """Character BM25 alone, or fused with dense search (``encoder`` is the fine-tuned one where there is one)."""
+    char = CharBM25(ngram_range, k1, b)
+    if sparse_only:
+        return char
+    return Hybrid([char, Dense(encoder, model, **vectors)], weights, method, rrf_k)
