@@ -23,17 +23,18 @@ class Tally:
     """Counts slots; many small additions are made as a few large ones."""
 
     def __init__(self, size: int = SIZE):
-        self.counts, self.held, self.n = np.zeros(size, np.int64), [], 0
+        self.counts, self.held, self.n = np.zeros(size, np.uint32), [], 0
 
     def add(self, slots: np.ndarray) -> None:
-        self.held.append(slots.astype(np.int64))
+        self.held.append(slots.astype(np.uint32))
         self.n += len(slots)
         if self.n > 1 << 20:
             self.total()
 
     def total(self) -> np.ndarray:
         if self.held:
-            self.counts += np.bincount(np.concatenate(self.held), minlength=len(self.counts))
+            slots, times = np.unique(np.concatenate(self.held), return_counts=True)
+            self.counts[slots] += times.astype(np.uint32)
             self.held, self.n = [], 0
         return self.counts
 
@@ -55,16 +56,23 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 8: np.int64}[len(raw) // _BLOCK])
 
 
+def has(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which slots are set in the bits that ``marked`` gives."""
+    slots = slots.astype(np.int64)
+    return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1
+
+
 def marked(slots: DataFrame, size: int) -> np.ndarray:
-    """A frame of one int column of slots -> a bool array: which slots occur.  Bits, so size / 8 bytes."""
+    """A frame of one int column of slots -> bits (packed, size / 8 bytes): which slots occur."""
 
     def mark(batches):
-        seen = np.zeros(size, bool)
+        seen = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            seen[batch.column(0).to_numpy(zero_copy_only=False)] = True
-        for i in range(0, size, _BITS):
-            if (piece := seen[i : i + _BITS]).any():
-                yield _block_batch(i // _BITS, np.packbits(piece).tobytes())
+            at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            np.bitwise_or.at(seen, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        for i in range(0, size // 8, _BITS // 8):
+            if (piece := seen[i : i + _BITS // 8]).any():
+                yield _block_batch(i * 8 // _BITS, piece.tobytes())
 
     def union(batches):
         held: dict[int, np.ndarray] = {}
@@ -75,10 +83,10 @@ def marked(slots: DataFrame, size: int) -> np.ndarray:
         for block, bits in held.items():
             yield _block_batch(block, bits.tobytes())
 
-    out = np.zeros(size, bool)
+    out = np.zeros(size // 8, np.uint8)
     once = slots.mapInArrow(mark, BLOCK_SCHEMA).withColumn("salt", F.spark_partition_id() % 8).repartition("block", "salt").mapInArrow(union, BLOCK_SCHEMA)
     for row in once.repartition("block").mapInArrow(union, BLOCK_SCHEMA).toLocalIterator():
-        out[row.block * _BITS : (row.block + 1) * _BITS] = np.unpackbits(np.frombuffer(bytes(row.counts), np.uint8)).astype(bool)
+        out[row.block * _BITS // 8 : (row.block + 1) * _BITS // 8] = np.frombuffer(bytes(row.counts), np.uint8)
     return out
 
 

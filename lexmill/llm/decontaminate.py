@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .support import bounded_batches
 from .textkit import SHINGLE_WORDS, distinct, ngram_hashes, shingle_set, text_bytes, word_hashes
 
 _SIEVE = 1 << 20
@@ -95,6 +96,7 @@ def contained_items(
     block_shingles: int = 500_000,
 ) -> DataFrame:
     """(id, item_id, n_shared, n_item) for each document and each item it contains."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     schema = "id long, item_id long, n_shared long, n_item long"
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -115,6 +117,7 @@ def contained_items(
 
 def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 80, block_shingles: int = 500_000) -> DataFrame:
     """The rows of ``docs`` that contain none of the items, in the search pass itself."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     for block in _blocks(items, item_col, item_text_col, block_shingles):
         shared = docs.sparkSession.sparkContext.broadcast(ItemSketches(block, percent))

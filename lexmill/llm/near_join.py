@@ -97,7 +97,7 @@ def _prefixes(docs: DataFrame, text_col: str, words: int, percent: int, rarity,
                 # by rarity, then by shingle: s is sorted, so its position breaks ties
                 rank = (rare[s & _MASK].astype(np.int64) << 32) | np.arange(len(s))
                 if last is not None:
-                    rank |= last[s >> _HEAVY_SHIFT].astype(np.int64) << 62
+                    rank |= counters.has(last, s >> _HEAVY_SHIFT).astype(np.int64) << 62
                 first = s[np.partition(rank, p - 1)[:p] & 0x7FFFFFFF]
                 tokens.append(first)
                 sizes.append(np.full(len(first), len(s), np.int32))
@@ -147,7 +147,7 @@ def _sets(docs: DataFrame, text_col: str, words: int, wanted) -> DataFrame:
             digests, raw = [], []
             for text in text_bytes(batch.column(0)):
                 s = shingle_set(word_hashes(text), words)
-                if not len(s) or not want[_slot(digest := set_digest(s))] or digest in seen:
+                if not len(s) or not want[_slot(digest := set_digest(s)) >> 3] >> (7 - _slot(digest) % 8) & 1 or digest in seen:
                     continue
                 if len(seen) < 500_000:
                     seen.add(digest)
@@ -353,7 +353,7 @@ def jaccard_classes(
     shelf = Shelf(spark)
     both = shelf.put(profile(docs, id_col, text_col, words), "profile")
     rows = both.where("block is null").select("id", "th", "n", "digest")
-    rarity = spark.sparkContext.broadcast(np.minimum(counters.summed(both.where("block is not null").select("block", "salt", "counts")), 2**30 - 1).astype(np.int32))
+    rarity = spark.sparkContext.broadcast(np.minimum(counters.summed(both.where("block is not null").select("block", "salt", "counts")), 2**16 - 1).astype(np.uint16))
     heavy = spark.sparkContext.broadcast(_heavy(_prefixes(docs, text_col, words, percent, rarity), heavy_from))
     cells = connected_components(spark, _cell_edges(_prefixes(docs, text_col, words, percent, rarity, heavy), percent), shelf, "cells_cc")
     nodes = shelf.put(cells.unionByName(cells.select(F.col("root").alias("node"), "root")).distinct(), "nodes")
@@ -366,7 +366,9 @@ def jaccard_classes(
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of_digest = shelf.put(named.select("digest", "root").distinct().join(smallest, "root").select("digest", "component_id", F.col("root").alias("class")), "of_digest")
     out = rows.join(of_digest, "digest", "left").select("id", "th", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "class")
-    shelf.drop("nodes", "big_sets", "labelled")
+    for spent in (rarity, heavy, wanted):
+        spent.unpersist()
+    shelf.drop("nodes", "cells", "big_sets", "labelled")
     return out, links
 
 

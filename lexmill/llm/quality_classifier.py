@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labels import labelled_sample, rows_of
-from .support import held_out, table
+from .support import bounded_batches, held_out, table
 from .textkit import ngram_hashes, text_bytes, word_hashes
 
 _BITS = 20
@@ -79,6 +79,7 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4,
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text"):
     """(weights, bias), or the constant score where there aren't two classes."""
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(labels, label, per_class, id_col)
 
     def run(batches):
@@ -96,6 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
 def quality_scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` and ``score`` for each row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

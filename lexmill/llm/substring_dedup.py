@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .support import bounded_batches
 from .textkit import text_bytes
 
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) & 0xFFFF for b in range(256)], np.uint16)
@@ -195,6 +196,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 100) -> DataFrame:
     """``row`` (hash of id and text), ``id``, ``start``, ``end``, ``n_chunks``, ``first_id`` of each removed span."""
+    bounded_batches(docs.sparkSession)
     return _spans(_repeats(_occurrences(_keyed(docs, id_col, text_col))), min_chars)
 
 

@@ -17,6 +17,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _OWN_FOLDER
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of at most ``most`` bytes: a Python worker holds a few of them, whatever the texts' length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, "64m")).lower().rstrip("b")
+    size = int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]] if now[-1] in "kmg" else int(now)
+    if size > most or size <= 0:
+        spark.conf.set(key, str(most))
+
+
 class Shelf:
     """Intermediate tables in the shared folder: written once, read by later steps, removed when spent.
 
@@ -25,6 +34,7 @@ class Shelf:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bounded_batches(spark)
         folder = shared_folder(spark)
         self.root = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
         if folder == _OWN_FOLDER:

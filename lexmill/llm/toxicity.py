@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labels import labelled_sample, rows_of
-from .support import held_out, table
+from .support import bounded_batches, held_out, table
 from .textkit import shingle_set, text_bytes, word_hashes
 
 _ORDINARY_BYTES, _TOXIC_BYTES = 4_096, 1_024
@@ -143,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` and ``score`` for each row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -157,6 +158,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel | float, id_col: str =
 
 def without_toxic(docs: DataFrame, model: ToxicityModel | float, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, in the scoring pass itself."""
+    bounded_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
