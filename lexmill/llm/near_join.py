@@ -373,15 +373,35 @@ def jaccard_classes(
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with one row of each class: that of the smallest id. Texts without words stay."""
+    """The rows of ``docs`` with one row of each class: that of the smallest id. Texts without words stay.
+
+    Rows of classes of one pass straight through; a fixed-size filter of the others' text hashes says
+    which rows have to meet the table of heads, so few texts are shuffled.
+    """
+    shelf = Shelf(docs.sparkSession)
     classes, _ = jaccard_classes(docs, id_col, text_col, **options)
-    heads = classes.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("head")).select(F.col("head.id").alias("_id"), F.col("head.th").alias("_th"))
+    classes = shelf.put(classes.where("class is not null").select("id", "th", "class"), "one_of_each")
+    heads = classes.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("head"), F.count("*").alias("rows"))
+    several = classes.join(heads.where("rows > 1").select("class"), "class", "left_semi")
+    bits = docs.sparkSession.sparkContext.broadcast(counters.marked(several.select(F.col("th").bitwiseAND(F.lit(_HEAVY_SIZE - 1)).cast("int")), _HEAVY_SIZE))
     named = docs.withColumn("_th", F.xxhash64(text_col))
+    at = len(docs.columns)
+
+    def part(marked: int) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                slots = batch.column(at).to_numpy(zero_copy_only=False) & (_HEAVY_SIZE - 1)
+                yield batch.filter(pa.array(counters.has(bits.value, slots) == marked))
+
+        return named.mapInArrow(run, named.schema)
+
+    own = part(1)
     empty = F.col(text_col).isNull() | ~F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]"))
-    head = named.where(~empty).alias("d").join(heads.alias("h"), (F.col("d._th") == F.col("h._th")) & F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("h._id")), "left_semi")
+    heads = heads.select(F.col("head.id").alias("_id"), F.col("head.th").alias("_th"))
+    head = own.where(~empty).alias("d").join(heads.alias("h"), (F.col("d._th") == F.col("h._th")) & F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("h._id")), "left_semi")
     # equal rows are one
-    head = head.withColumn("_n", F.row_number().over(W.partitionBy("_th", id_col).orderBy(F.lit(1)))).where("_n = 1")
-    return head.select(docs.columns).unionByName(docs.where(empty))
+    head = head.withColumn("_n", F.row_number().over(W.partitionBy("_th", id_col).orderBy(F.lit(1)))).where("_n = 1").drop("_n")
+    return part(0).unionByName(own.where(empty)).unionByName(head).select(docs.columns)
 
 
 def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
