@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ from .textkit import shingle_set, text_bytes, word_hashes
 
 _ORDINARY_BYTES, _TOXIC_BYTES = 4_096, 1_024
 _SAMPLE_WINDOWS = 60_000
+_SEEN = 1 << 25
 
 
 @dataclass
@@ -104,25 +106,25 @@ def _evidence(c1: int, n1: int, c0: int, n0: int) -> float:
 
 def fit_texts(rows: list[tuple[bytes, int]], window: int = 12, ratio: float = 20.0, evidence: float = 25.0) -> ToxicityModel:
     """rows: distinct (text, label) in a fixed order, both labels present."""
-    seen: set[int] = set()
-    split: dict[int, list[list[bytes]]] = {0: [], 1: []}
+    seen = np.zeros(_SEEN, bool)
+    split: dict[int, list[bytes]] = {0: [], 1: []}
     for text, label in rows:
-        shingles = shingle_set(word_hashes(text)).tolist()
-        if 3 * sum(s in seen for s in shingles) <= len(shingles) or not split[label]:
-            split[label].append(text.lower().split())
-        seen.update(shingles)
+        slots = (shingle_set(word_hashes(text)) % np.uint64(_SEEN)).astype(np.int64)
+        if 3 * seen[slots].sum() <= len(slots) or not split[label]:
+            split[label].append(text.lower())
+        seen[slots] = True
     train = {y: docs[: max(1, len(docs) * 2 // 3)] for y, docs in split.items()}
     held = {y: docs[len(train[y]) :] or train[y] for y, docs in split.items()}
-    df = {y: Counter(w for words in docs for w in set(words)) for y, docs in train.items()}
+    df = {y: Counter(w for text in docs for w in set(text.split())) for y, docs in train.items()}
     n1, n0 = len(train[1]), len(train[0])
     least = evidence if n1 >= 10 else 0.0
     apart = {w for w, c in df[1].items() if c / n1 >= ratio * (df[0][w] + 0.5) / (n0 + 1) and _evidence(c, n1, df[0][w], n0) >= least}
-    marks = [b" " + b" ".join(w for w in words if w in apart) + b" " for words in train[1]]
+    marks = [b" " + b" ".join(w for w in text.split() if w in apart) + b" " for text in train[1]]
     toxic = _dictionary(_TOXIC_BYTES, [m for m in marks if len(m) >= 8], 24)
-    ordinary = _dictionary(_ORDINARY_BYTES, [b" ".join(words[i : i + 10]) for words in train[0] for i in range(0, len(words), 10)][:_SAMPLE_WINDOWS], 64)
+    ordinary = _dictionary(_ORDINARY_BYTES, list(islice((b" ".join(words[i : i + 10]) for words in map(bytes.split, train[0]) for i in range(0, len(words), 10)), _SAMPLE_WINDOWS)), 64)
     model = ToxicityModel(ordinary, toxic, window, np.zeros(6), np.ones(6), np.zeros(7))
     scorer = model.scorer()
-    x = np.array([scorer.features(b" ".join(words)) for y in (0, 1) for words in held[y]])
+    x = np.array([scorer.features(text) for y in (0, 1) for text in held[y]])
     y = np.r_[np.zeros(len(held[0])), np.ones(len(held[1]))]
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - model.mean) / model.scale]
