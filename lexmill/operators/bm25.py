@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .index import Analyzer, corpus_df, document_frequency, document_length, stats, term_frequency
+from .index import Analyzer, corpus_df, document_frequency, document_length, scored_frequency, stats
 from .sizes import small
 
 DIGITS = 6
@@ -21,21 +21,27 @@ def query_terms(queries: DataFrame, analyzer: Analyzer) -> DataFrame:
     return queries.select("query", F.explode(analyzer.terms(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
 
 
-def _saturated(k1: float, b: float):
-    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-
-
 def top(scored: DataFrame, k: int) -> DataFrame:
     """The k best of each query: (query, doc, score, rank)."""
     best = W.partitionBy("query").orderBy(F.desc("score"), "doc")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "doc", "score", "rank")
 
 
-def _matches(q: DataFrame, tf: DataFrame, lengths: DataFrame, one: DataFrame, idf: DataFrame, k1: float, b: float) -> DataFrame:
-    """(query, doc, score) of the documents that share a term; the caller has weighted the query terms."""
-    hits = tf.join(small(idf), "term").join(lengths, "doc").crossJoin(F.broadcast(one))
-    weighted = hits.select("term", "doc", (F.col("idf") * _saturated(k1, b)).alias("part"))
-    return weighted.join(small(q), "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("part") * F.col("times")), DIGITS).alias("score"))
+def _corpus(docs: DataFrame, analyzer: Analyzer, wanted: DataFrame, tables: tuple | None) -> tuple[DataFrame, DataFrame | None, int, float]:
+    """(doc, dl, term, tf) of the wanted terms, a saved index's document frequencies, N and the average length."""
+    if tables:
+        postings, df, lengths, one = tables
+        tf, row = postings.join(wanted, "term", "left_semi").join(lengths, "doc"), one.first()
+        return tf, df, row["n"], row["avgdl"]
+    row = stats(document_length(docs, analyzer)).first()
+    return scored_frequency(docs, analyzer, wanted), None, row["n"], row["avgdl"]
+
+
+def _matches(q: DataFrame, tf: DataFrame, idf: DataFrame, avgdl: float, k1: float, b: float) -> DataFrame:
+    """(query, doc, score) of the documents that share a term; ``times`` weighs a query's terms."""
+    saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    parts = tf.join(small(idf), "term").select("term", "doc", (F.col("idf") * saturated).alias("part"))
+    return parts.join(small(q), "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("part") * F.col("times")), DIGITS).alias("score"))
 
 
 def search_chars(docs: DataFrame, queries: DataFrame, k: int = 10, low: int = 2, high: int = 4, k1: float = 1.5, b: float = 0.75, tables: tuple | None = None) -> DataFrame:
@@ -47,20 +53,15 @@ def search_chars(docs: DataFrame, queries: DataFrame, k: int = 10, low: int = 2,
     analyzer = Analyzer("char", low, high)
     q = query_terms(queries, analyzer).withColumn("times", F.lit(1))
     wanted = small(q.select("term").distinct())
-    if tables:
-        tf, df, lengths, one = tables
-        tf = tf.join(wanted, "term", "left_semi")
-    else:
-        tf = term_frequency(docs, analyzer, wanted)
-        df, lengths = document_frequency(tf), document_length(docs, analyzer)
-        one = stats(lengths)
-    idf = df.join(wanted, "term", "left_semi").crossJoin(F.broadcast(one)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    return top(_matches(q, tf, lengths, one, idf, k1, b).where("score > 0"), k)
+    tf, df, n, avgdl = _corpus(docs, analyzer, wanted, tables)
+    df = df.join(wanted, "term", "left_semi") if tables else document_frequency(tf)
+    idf = df.select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    return top(_matches(q, tf, idf, avgdl, k1, b).where("score > 0"), k)
 
 
-def word_idf(df: DataFrame, one: DataFrame, epsilon: float = 0.25) -> DataFrame:
+def word_idf(df: DataFrame, n: int, epsilon: float = 0.25) -> DataFrame:
     """ln(N - df + 0.5) - ln(df + 0.5); negative ones become ``epsilon`` times the vocabulary's mean."""
-    raw = df.crossJoin(F.broadcast(one)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = df.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -71,14 +72,9 @@ def search_words(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1
     analyzer = Analyzer("word")
     q = query_terms(queries, analyzer)
     wanted = small(q.select("term").distinct())
-    if tables:
-        tf, df, lengths, one = tables
-        tf = tf.join(wanted, "term", "left_semi")
-    else:
-        tf, df, lengths = term_frequency(docs, analyzer, wanted), corpus_df(docs, analyzer), document_length(docs, analyzer)
-        one = stats(lengths)
-    idf = word_idf(df, one).join(wanted, "term", "left_semi")
-    scored = _matches(q, tf, lengths, one, idf, k1, b)
+    tf, df, n, avgdl = _corpus(docs, analyzer, wanted, tables)
+    idf = word_idf(df if tables else corpus_df(docs, analyzer), n).join(wanted, "term", "left_semi")
+    scored = _matches(q, tf, idf, avgdl, k1, b)
     best = top(scored, k).persist()  # k rows a query
     # zero-fill: with k matches above zero a query's list is full
     above = queries.select("query").distinct().join(best.groupBy("query").agg(F.count(F.when(F.col("score") > 0, 1)).alias("above")), "query", "left")
