@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .index import Analyzer, corpus_df, document_frequency, document_length, scored_frequency, stats
-from .sizes import small
+from .sizes import fits
 
 DIGITS = 6
 
@@ -37,11 +37,16 @@ def _corpus(docs: DataFrame, analyzer: Analyzer, wanted: DataFrame, tables: tupl
     return scored_frequency(docs, analyzer, wanted), None, row["n"], row["avgdl"]
 
 
+def _hinted(queries: DataFrame):
+    """A broadcast hint for tables of the queries' terms, if those are few; their number is counted once."""
+    return F.broadcast if fits(queries) else lambda df: df
+
+
 def _matches(q: DataFrame, tf: DataFrame, idf: DataFrame, avgdl: float, k1: float, b: float) -> DataFrame:
     """(query, doc, score) of the documents that share a term; ``times`` weighs a query's terms."""
     saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    parts = tf.join(small(idf), "term").select("term", "doc", (F.col("idf") * saturated).alias("part"))
-    return parts.join(small(q), "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("part") * F.col("times")), DIGITS).alias("score"))
+    parts = tf.join(idf, "term").select("term", "doc", (F.col("idf") * saturated).alias("part"))
+    return parts.join(q, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("part") * F.col("times")), DIGITS).alias("score"))
 
 
 def search_chars(docs: DataFrame, queries: DataFrame, k: int = 10, low: int = 2, high: int = 4, k1: float = 1.5, b: float = 0.75, tables: tuple | None = None) -> DataFrame:
@@ -52,11 +57,12 @@ def search_chars(docs: DataFrame, queries: DataFrame, k: int = 10, low: int = 2,
     """
     analyzer = Analyzer("char", low, high)
     q = query_terms(queries, analyzer).withColumn("times", F.lit(1))
-    wanted = small(q.select("term").distinct())
+    few = _hinted(q)
+    wanted = few(q.select("term").distinct())
     tf, df, n, avgdl = _corpus(docs, analyzer, wanted, tables)
     df = df.join(wanted, "term", "left_semi") if tables else document_frequency(tf)
     idf = df.select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    return top(_matches(q, tf, idf, avgdl, k1, b).where("score > 0"), k)
+    return top(_matches(few(q), tf, few(idf), avgdl, k1, b).where("score > 0"), k)
 
 
 def word_idf(df: DataFrame, n: int, epsilon: float = 0.25) -> DataFrame:
@@ -71,10 +77,11 @@ def search_words(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1
     documents without a shared word follow with score 0, before negative scores."""
     analyzer = Analyzer("word")
     q = query_terms(queries, analyzer)
-    wanted = small(q.select("term").distinct())
+    few = _hinted(q)
+    wanted = few(q.select("term").distinct())
     tf, df, n, avgdl = _corpus(docs, analyzer, wanted, tables)
     idf = word_idf(df if tables else corpus_df(docs, analyzer), n).join(wanted, "term", "left_semi")
-    scored = _matches(q, tf, idf, avgdl, k1, b)
+    scored = _matches(few(q), tf, few(idf), avgdl, k1, b)
     best = top(scored, k).persist()  # k rows a query
     # zero-fill: with k matches above zero a query's list is full
     above = queries.select("query").distinct().join(best.groupBy("query").agg(F.count(F.when(F.col("score") > 0, 1)).alias("above")), "query", "left")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 MOST_ROWS = 500_000
 
 
+def fits(df: DataFrame, most: int = MOST_ROWS) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
 def small(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if fits(df, most) else df
