@@ -59,35 +59,52 @@ def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
         yield ids, np.array(vectors, np.float64)
 
 
-def search_flat(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """Exact inner-product top-k.
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices that bound the scores held at once."""
+    for at in range(0, batch.num_rows, _QUERY_BLOCK):
+        yield batch.slice(at, _QUERY_BLOCK)
 
-    vectors: ``doc``, ``embedding``; queries: ``query``, ``embedding``, searched in blocks of a bounded size.
-    A task multiplies its batches and keeps k rows a query, so what is shuffled doesn't grow with the
-    vectors it has read.
-    """
+
+def _nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The lists of each vector, nearest first."""
+    return np.argsort(-(vectors @ centroids.T - 0.5 * (centroids**2).sum(1)), 1, kind="stable")
+
+
+def _listed(q: np.ndarray, m: np.ndarray, centroids: np.ndarray, asked: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded scores of the vectors in lists that a query has asked, -inf for all others."""
+    scores = np.full((len(q), len(m)), -np.inf)
+    own = _nearest(m, centroids)[:, 0]
+    for c in np.unique(own):
+        asking, rows = asked[:, c].nonzero()[0], (own == c).nonzero()[0]
+        scores[np.ix_(asking, rows)] = np.round(q[asking] @ m[rows].T, digits)
+    return scores
+
+
+def _search(vectors: DataFrame, queries: DataFrame, k: int, digits: int, centroids: np.ndarray | None = None, nprobe: int = 0) -> DataFrame:
+    """Top-k by inner product, with ``centroids`` among the vectors of each query's nearest ``nprobe`` lists alone."""
     spark = vectors.sparkSession
     kinds = dict(vectors.dtypes)["doc"], dict(queries.dtypes)["query"]
     found = None
-    for block in _query_blocks(queries):
-        shared = spark.sparkContext.broadcast(block)
+    for ids, q in _query_blocks(queries):
+        asked = None
+        if centroids is not None:
+            asked = np.zeros((len(ids), len(centroids)), bool)
+            np.put_along_axis(asked, _nearest(q, centroids)[:, :nprobe], True, 1)
+        shared = spark.sparkContext.broadcast((ids, q, centroids, asked))
 
         def best(batches, shared=shared):
-            ids, q = shared.value
+            ids, q, centroids, asked = shared.value
             docs = scores = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = np.array(batch.column(0).to_pylist())
-                s = np.round(q @ _matrix(batch.column(1)).T, digits)
+            for batch in (part for whole in batches for part in _parts(whole)):
+                own, m = np.array(batch.column(0).to_pylist()), _matrix(batch.column(1))
+                s = np.round(q @ m.T, digits) if centroids is None else _listed(q, m, centroids, asked, digits)
                 d = np.broadcast_to(own, s.shape)
                 if docs is not None:
                     s, d = np.concatenate([scores, s], 1), np.concatenate([docs, d], 1)
                 order = np.stack([np.lexsort((d[i], -s[i]))[:k] for i in range(len(ids))])
                 scores, docs = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-            if docs is not None:
-                n = docs.shape[1]
-                yield pa.RecordBatch.from_pydict({"query": pa.array([i for i in ids for _ in range(n)]), "doc": pa.array(docs.ravel().tolist()), "score": pa.array(scores.ravel())})
+            if docs is not None and (kept := scores > -np.inf).any():
+                yield pa.RecordBatch.from_pydict({"query": pa.array([ids[i] for i in kept.nonzero()[0]]), "doc": pa.array(docs[kept].tolist()), "score": pa.array(scores[kept])})
 
         part = vectors.select("doc", "embedding").mapInArrow(best, f"query {kinds[1]}, doc {kinds[0]}, score double")
         found = part if found is None else found.unionByName(part)
@@ -96,10 +113,24 @@ def search_flat(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int
     return top(found, k)
 
 
+def search_flat(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+    """Exact inner-product top-k.
+
+    vectors: ``doc``, ``embedding``; queries: ``query``, ``embedding``, searched in blocks of a bounded size.
+    A task multiplies its batches and keeps k rows a query, so what is shuffled doesn't grow with the
+    vectors it has read.
+    """
+    return _search(vectors, queries, k, digits)
+
+
+def _sample(vectors: DataFrame, most: int) -> np.ndarray:
+    rows = vectors.orderBy(F.xxhash64("doc"), "doc").limit(most).select("embedding").collect()
+    return np.array([r.embedding for r in rows], np.float64)
+
+
 def train_lists(vectors: DataFrame, nlist: int, sample: int = 20_000, rounds: int = 10) -> np.ndarray:
     """Centroids of ``nlist`` lists by k-means on at most ``sample`` rows (lowest hash of the id)."""
-    rows = vectors.orderBy(F.xxhash64("doc"), "doc").limit(sample).select("embedding").collect()
-    x = np.array([r.embedding for r in rows], np.float64)
+    x = _sample(vectors, sample)
     centroids = x[:nlist].copy()
     for _ in range(rounds):
         near = np.argmax(x @ centroids.T - 0.5 * (centroids**2).sum(1), 1)
@@ -109,6 +140,24 @@ def train_lists(vectors: DataFrame, nlist: int, sample: int = 20_000, rounds: in
     return centroids
 
 
+def probes_for(vectors: DataFrame, centroids: np.ndarray, recall: float, k: int = 10, sample: int = 20_000, queries: int = 200) -> int:
+    """The fewest lists to probe so that ``queries`` sampled rows find ``recall`` of their k nearest others.
+
+    Measured exactly among at most ``sample`` rows; in the whole table neighbours are nearer, so they share lists more.
+    """
+    x = _sample(vectors, sample)
+    if len(x) < 2:
+        return len(centroids)
+    near = x @ centroids.T - 0.5 * (centroids**2).sum(1)
+    own, asked = np.argmax(near, 1), near[:queries]
+    turn = np.argsort(np.argsort(-asked, 1, kind="stable"), 1)
+    scores = x[:queries] @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    found = np.argsort(-scores, 1, kind="stable")[:, : min(k, len(x) - 1)]
+    needed = np.sort(np.take_along_axis(turn, own[found], 1).ravel())
+    return int(needed[int(np.ceil(recall * len(needed))) - 1]) + 1
+
+
 def assign_lists(vectors: DataFrame, centroids: np.ndarray, probes: int = 1, column: str = "doc") -> DataFrame:
     """A row for each vector and each of its ``probes`` nearest lists: adds ``list_id``."""
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
@@ -116,10 +165,9 @@ def assign_lists(vectors: DataFrame, centroids: np.ndarray, probes: int = 1, col
 
     def run(batches):
         c = shared.value
-        bias = 0.5 * (c**2).sum(1)
         for batch in batches:
             if batch.num_rows:
-                near = np.argsort(-(_matrix(batch.column(1)) @ c.T - bias), 1, kind="stable")[:, :probes]
+                near = _nearest(_matrix(batch.column(1)), c)[:, :probes]
                 at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=[column, "embedding", "list_id"])
 
@@ -130,13 +178,15 @@ def list_count(n: int, most: int = 100) -> int:
     return min(most, n // 10 + 1)
 
 
-def search_ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, nlist: int = 100, nprobe: int = 10, digits: int = 6) -> DataFrame:
-    """Approximate top-k: the nearest ``nprobe`` lists of each query, rescored exactly.  Every row is indexed."""
+def search_ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, nlist: int = 100, nprobe: int = 10, digits: int = 6, recall: float | None = None) -> DataFrame:
+    """Approximate top-k: the nearest ``nprobe`` lists of each query, rescored exactly.  Every row is indexed.
+
+    With ``recall``, more lists are probed where a sample of the vectors needs them to reach it.
+    """
     centroids = train_lists(vectors, list_count(vectors.count(), nlist))
-    lists = assign_lists(vectors, centroids)
-    probes = assign_lists(queries, centroids, nprobe, "query").withColumnRenamed("embedding", "q")
-    product = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return top(lists.join(probes, "list_id").select("query", "doc", F.round(product, digits).alias("score")), k)
+    if recall is not None:
+        nprobe = max(nprobe, probes_for(vectors, centroids, recall, k))
+    return _search(vectors, queries, k, digits, centroids, nprobe)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, index_type: str = "flat", **options) -> DataFrame:

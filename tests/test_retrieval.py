@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.operators import dense, fusion, rag
 from lexmill.operators.index import Index
 from lexmill.operators.retrievers import CharBM25, Dense, Hybrid, WordBM25
+from lexmill.plans.queries import QUERIES
 
 TEXTS = {"a1": "river delta farm", "a2": "delta music", "a3": "river river boat", "a4": "rivver dellta", "a5": "boat song river"}
 
@@ -86,6 +89,23 @@ def test_inverted_lists_recall(spark):
     assert dense.assign_lists(df, dense.train_lists(df, 30)).count() == 1000
 
 
+def test_inverted_lists_recall_without_clusters(spark):
+    _, df = vectors(spark, 1000, 64)
+    queries = df.where("doc % 25 = 0").withColumnRenamed("doc", "query")
+    exact = {(a.query, a.doc) for a in dense.search(df, queries, 10).collect()}
+    few, found = ({(a.query, a.doc) for a in dense.search(df, queries, 10, "ivf", **options).collect()} for options in ({}, {"recall": 0.95}))
+    assert len(exact & few) < 0.9 * len(exact) <= len(exact & found)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_ivf_query_finds_nine_of_ten(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    exact, found = ({(a.query, a.doc) for a in QUERIES[name](spark, folder).collect()} for name in ("dense_flat_topk", "dense_ivf_topk"))
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_no_queries(spark):
     _, df = vectors(spark, 10)
     assert dense.search(df, df.limit(0).withColumnRenamed("doc", "query"), 3).count() == 0
