@@ -5,17 +5,19 @@ fails its check is dropped.  Patterns are possessive and anchored at the start o
 the same matches in linear time.  Offsets come from the lengths of the matches and of what lies
 between them.
 
-*Method*: the values found are the protected entities.  A term (a whole word of letters) within
-``context`` characters of an entity's mention co-occurs with it.  Over documents,
+*Method*: the values found are the protected entities.  A term (a whole word of letters, outside the
+base spans) co-occurs with the entities of its document, however far away.  Over documents,
 PMI(t, e) = ln(n_te N / (n_t n_e)) says how much of the entity's information IC(e) = ln(N / n_e) the
 term discloses.  A pair discloses when PMI / IC >= ``threshold``, at least two different texts show it
-and their evidence, texts * PMI, reaches ``evidence`` nats.  Disclosing terms near the mention become spans of kind
-``term``: generalised to their class, or removed where PMI / IC >= ``remove_at``.
-n_t counts the whole corpus.
+and their evidence, texts * PMI, reaches ``evidence`` nats.  Every occurrence of a disclosing term in
+the entity's documents becomes a span of kind ``term``: generalised to its class, or removed where
+PMI / IC >= ``remove_at``.  A document without the entity keeps the term.  n_te, n_t and n_e count
+whole documents of the whole corpus.
 
-Sizes: occurrences are linear in the mentions; the corpus pass keeps only candidate terms, by a
-broadcast while they are at most ``broadcast_terms`` (a checked bound), else by a shuffle join after
-counting per term.
+Sizes: entities of one text alone disclose nothing and leave before terms are paired; pairs are
+summed in the tasks first.  The corpus pass keeps only candidate terms, by a broadcast while they are
+at most ``broadcast_terms`` (a checked bound), else by a shuffle join after counting per term;
+disclosing pairs likewise.
 
 Null and empty texts have no spans; null ids are allowed; repeated rows have equal spans and are one
 text of evidence; an empty table gives an empty result; other columns are never read, and ``sanitised``
@@ -60,10 +62,10 @@ def _found(text: Column, pattern: str) -> Column:
 
 
 def _matches(found: Column, gaps: Column) -> Column:
-    """array of (start, value, left, right): each match, its offset and the text up to its neighbours."""
-    both = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("left"), F.slice(gaps, F.lit(2), F.size(found)).alias("right"))
+    """array of (start, value): each match and its offset, from what lies between the matches."""
+    both = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("left"))
     starts = _running(F.transform(both, lambda x: F.length(x["left"]) + F.length(x["m"])))
-    return F.zip_with(both, starts, lambda x, at: F.struct((at + F.length(x["left"])).alias("start"), x["m"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
+    return F.zip_with(both, starts, lambda x, at: F.struct((at + F.length(x["left"])).alias("start"), x["m"].alias("value")))
 
 
 def _luhn(digits: Column) -> Column:
@@ -85,11 +87,11 @@ def _valid(kind: int, value: Column) -> Column:
     return F.length(digits).between(10, 15)
 
 
-_NONE = "array<struct<kind:int,start:int,end:int,entity:string,left:string,right:string,cut_left:boolean,cut_right:boolean>>"
+_NONE = "array<struct<kind:int,start:int,end:int,entity:string>>"
 
 
-def _spans(kind: int, matches: Column, context: int) -> Column:
-    """The valid matches of a kind, with the text around them."""
+def _spans(kind: int, matches: Column) -> Column:
+    """The valid matches of a kind."""
 
     def span(m: Column) -> Column:
         entity = F.lower(m["value"]) if kind < 2 else F.regexp_replace(m["value"], "[^0-9]", "")
@@ -98,17 +100,13 @@ def _spans(kind: int, matches: Column, context: int) -> Column:
             m["start"].alias("start"),
             (m["start"] + F.length(m["value"])).alias("end"),
             F.concat(F.lit(KINDS[kind] + ":"), entity).alias("entity"),
-            F.substring(m["left"], F.greatest(F.length(m["left"]) - context + 1, F.lit(1)), F.lit(context)).alias("left"),
-            F.substring(m["right"], F.lit(1), F.lit(context)).alias("right"),
-            (F.length(m["left"]) > context).alias("cut_left"),
-            (F.length(m["right"]) > context).alias("cut_right"),
         )
 
     return F.transform(F.filter(matches, lambda m: _valid(kind, m["value"])), span).cast(_NONE)
 
 
-def _with_base(rows: DataFrame, context: int) -> DataFrame:
-    """Adds ``spans``, the valid base spans of ``text``.
+def _with_base(rows: DataFrame) -> DataFrame:
+    """Adds ``spans``, the valid base spans of ``text``, and ``terms``, null where there are none of those.
 
     In steps, so that a pattern runs once over a text, and once more over those that it matches.
     """
@@ -117,39 +115,45 @@ def _with_base(rows: DataFrame, context: int) -> DataFrame:
     seen = lambda pattern, sign: _found(F.col("text"), pattern) if sign is None else F.when(F.contains("text", F.lit(sign)), _found(F.col("text"), pattern)).otherwise(none)
     rows = rows.withColumns({f"m{k}": seen(pattern, sign) for k, (pattern, sign) in kinds})
     rows = rows.withColumns({f"g{k}": F.when(F.size(f"m{k}") > 0, F.split("text", pattern, -1)) for k, (pattern, _) in kinds})
-    rows = rows.withColumns({f"s{k}": F.when(F.size(f"m{k}") > 0, _spans(k, _matches(F.col(f"m{k}"), F.col(f"g{k}")), context)).otherwise(F.array().cast(_NONE)) for k, _ in kinds})
-    return rows.withColumn("spans", F.concat(*(f"s{k}" for k, _ in kinds)))
+    rows = rows.withColumns({f"s{k}": F.when(F.size(f"m{k}") > 0, _spans(k, _matches(F.col(f"m{k}"), F.col(f"g{k}")))).otherwise(F.array().cast(_NONE)) for k, _ in kinds})
+    rows = rows.withColumn("spans", F.concat(*(f"s{k}" for k, _ in kinds)))
+    rows = rows.withColumn("t", F.when(F.size("spans") > 0, _found(F.col("text"), TERM)))
+    rows = rows.withColumn("tg", F.when(F.size("t") > 0, F.split("text", TERM, -1)))
+    return rows.withColumn("terms", F.when(F.size("t") > 0, _terms(_matches(F.col("t"), F.col("tg")), F.col("s0"))))
 
 
-def _terms(side: Column, offset: Column) -> Column:
-    """array of (term, start, end) of a context string that begins at ``offset``."""
-    return F.transform(_matches(_found(side, TERM), F.split(side, TERM, -1)), lambda m: F.struct(F.lower(m["value"]).alias("term"), (offset + m["start"]).alias("start"), (offset + m["start"] + F.length(m["value"])).alias("end")))
+def _terms(matches: Column, emails: Column) -> Column:
+    """array of (term, start, end), without the words in an e-mail's address; no other base span has letters."""
+    named = F.transform(matches, lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end")))
+    # a word begins after white space, a bracket or a quote, so it meets an address only where that begins
+    return F.filter(named, lambda t: ~F.exists(emails, lambda e: (e["start"] >= t["start"]) & (e["start"] < t["end"])))
 
 
 class Sanitiser:
     """Spans of a corpus; each table is computed once and kept in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = 64, threshold: float = 0.8, remove_at: float = 0.95, evidence: float = 10.0, broadcast_terms: int = 200_000):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, remove_at: float = 0.95, evidence: float = 10.0, broadcast_terms: int = 200_000):
         spark = docs.sparkSession
         self.docs, self.id_col, self.text_col = docs, id_col, text_col
         self.shelf = Shelf(spark)
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        rows = _with_base(rows, context).select("id", F.xxhash64("text").alias("th"), "spans")
+        rows = _with_base(rows).select("id", F.xxhash64("text").alias("th"), "spans", "terms")
         self.base = self.shelf.put(rows, "base")
         self.added = self.shelf.put(self._disclosing(threshold, remove_at, evidence, broadcast_terms), "added")
 
     def _disclosing(self, threshold: float, remove_at: float, evidence: float, broadcast_terms: int) -> DataFrame:
         """(th, start, end, strength): spans of disclosing terms."""
-        mention = self.base.where(F.size("spans") > 0).select("th", F.inline("spans"))
-        # a word that the context's edge cuts is no term
-        left = F.when(F.col("cut_left"), F.regexp_replace("left", r"^\S+", "")).otherwise(F.col("left"))
-        right = F.when(F.col("cut_right"), F.regexp_replace("right", r"\S+$", "")).otherwise(F.col("right"))
-        near = mention.select("th", "entity", F.inline(F.concat(_terms(left, F.col("start") - F.length(left)), _terms(right, F.col("end")))))
-        near = self.shelf.put(near.distinct(), "near")
-        copies = self.shelf.put(self.base.where(F.size("spans") > 0).groupBy("th").agg(F.count("*").alias("copies")), "copies")
-        pairs = near.select("entity", "term", "th").distinct().join(copies, "th").groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where("texts >= 2")
+        mention = self.base.where(F.size("spans") > 0)
+        copies = self.shelf.put(mention.groupBy("th").agg(F.count("*").alias("copies")), "copies")
+        holds = self.shelf.put(mention.select("th", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity")).distinct(), "holds")
+        entities = holds.join(copies, "th").groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where("texts >= 2").drop("texts")
+        entities = self.shelf.put(entities, "entities")
+        holds = self.shelf.put(holds.join(entities, "entity", "left_semi"), "shared")
+        texts = mention.select("th", "terms").join(holds.select("th").distinct(), "th", "left_semi")
+        texts = self.shelf.put(texts.dropDuplicates(["th"]), "texts")
+        distinct = texts.select("th", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
+        pairs = distinct.join(holds.join(copies, "th"), "th").groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where("texts >= 2")
         pairs = self.shelf.put(pairs, "pairs")
-        entities = mention.select("entity", "th").distinct().join(copies, "th").groupBy("entity").agg(F.sum("copies").alias("n_e"))
         n = F.lit(self.base.count())
         terms = self.shelf.put(pairs.select("term").distinct(), "terms")
         text = F.coalesce(F.col(self.text_col), F.lit(""))
@@ -162,6 +166,10 @@ class Sanitiser:
         judged = judged.withColumn("pmi", F.log(F.col("n_te") * n / F.col("n_t") / F.col("n_e"))).withColumn("ic", F.log(n / F.col("n_e")))
         judged = judged.withColumn("strength", F.when(F.col("ic") > 0, F.col("pmi") / F.col("ic")).otherwise(0.0))
         judged = judged.where((F.col("strength") >= threshold) & (F.col("texts") * F.col("pmi") >= evidence)).select("entity", "term", "strength")
+        judged = self.shelf.put(judged, "judged")
+        if judged.count() <= broadcast_terms:
+            judged = F.broadcast(judged)
+        near = texts.select("th", F.inline("terms")).join(holds, "th")
         return near.join(judged, ["entity", "term"]).groupBy("th", "start", "end").agg((F.max("strength") >= remove_at).alias("removed"))
 
     def spans(self) -> DataFrame:
@@ -175,7 +183,7 @@ class Sanitiser:
     def sanitised(self) -> DataFrame:
         """The input rows with the spans' text replaced; overlapping spans become one.
 
-        Terms stand near base spans, so a text without a sign of those passes through, unshuffled.
+        Terms stand in texts with base spans, so a text without a sign of those passes through, unshuffled.
         """
         spans = self.spans().where(F.size("spans") > 0).select(F.col("th").alias("_th"), F.col("spans").alias("_spans")).dropDuplicates(["_th"])
         text = F.col(self.text_col)

@@ -80,6 +80,31 @@ def test_disclosure_matches_brute_force_and_both_ways_of_counting(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_terms_are_found_in_the_whole_text_of_an_entity(spark):
+    """Far from the mention, further on in the text, and behind a number that is no entity."""
+    texts = [f"Zorblax {prose(i, 60)} zb@mail.example {prose(50 + i, 60)} (Zorblax) {prose(90 + i, 9)}" for i in range(4)]
+    texts += [f"{prose(10 + i, 30)} Quendil 1984, 4111 1111 1111 1111 {prose(20 + i, 30)}" for i in range(4)]
+    documents = rows(texts + [prose(200 + i, 60) for i in range(200)] + ["john.smith@x.example"] * 2)
+    got = {r.id: r.spans for r in of(spark, documents).spans().select("id", pii.written(F.col("spans")).alias("spans")).collect()}
+    for doc_id, text, *_ in documents:
+        terms = [s for s in got[doc_id].split(",") if s.startswith("term")]
+        assert terms == [f"term:{m.start()}:{m.end()}" for m in re.finditer("Zorblax|Quendil", text)]
+    out = [r.text for r in of(spark, documents).sanitised().collect()]
+    assert len(out) == len(texts) + 202 and not any("Zorblax" in t or "Quendil" in t for t in out)
+
+
+def test_co_occurrence_matches_brute_force(spark):
+    documents = names() + [(900, None, None, None, None)] + names()[:3]
+    got = {(r.entity, r.term): (r.n_te, r.texts) for r in spark.read.parquet(f"{of(spark, documents).shelf.root}/pairs").collect()}
+    held = {}
+    for text in [d[1] or "" for d in documents]:
+        entities = {"email:zb@mail.example"} & {f"email:{m[0]}" for m in PATTERNS["email"].finditer(text)} | {"phone:13775550271" for _ in PATTERNS["phone"].finditer(text)}
+        bare = PATTERNS["email"].sub(" ", text)
+        for pair in {(e, t) for e in entities for t in re.findall(r"[a-z]{2,}", bare.lower())}:
+            held.setdefault(pair, []).append(text)
+    assert got == {pair: (len(t), len(set(t))) for pair, t in held.items() if len(set(t)) > 1}
+
+
 def test_sanitised_texts_hold_no_base_span(spark):
     documents = rows(HARD[:5]) + names()
     out = of(spark, documents).sanitised()
