@@ -60,8 +60,8 @@ def _targets(sources: DataFrame, share: float, most: float) -> DataFrame:
     s = s.withColumn("given", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     s = s.withColumn("left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     s = s.withColumn("water", (F.sum("source_size").over(everything) * share - F.col("given")) / F.col("left"))
-    # sources in the order of their levels: the first whose level the water doesn't pass sets it
-    s = s.withColumn("water", F.min(F.when(F.col("water") <= F.col("level"), F.struct("level", "water"))).over(everything)["water"])
+    # sources in the order of the windows, ties by source: the first whose level the water doesn't pass sets it
+    s = s.withColumn("water", F.min(F.when(F.col("water") <= F.col("level"), F.struct("level", F.col("source").isNull().alias("last"), "source", "water"))).over(everything)["water"])
     return s.select("source", "source_size", F.least("cap", F.col("weight") * F.coalesce("water", F.lit(float("inf")))).alias("target"))
 
 

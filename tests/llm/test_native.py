@@ -119,3 +119,10 @@ def test_sql_agrees(spark, tmp_path):
     got = sorted((r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in mixing.op7_mixing(spark, str(tmp_path)).collect())
     assert [(a[0], a[1], a[2], a[4]) for a in want] == [(b[0], b[1], b[2], b[4]) for b in got]
     assert all(math.isclose(a[3], b[3]) for a, b in zip(want, got))
+
+
+def test_equal_sources_share_the_whole_mix(spark):
+    for names in ([f"s{i}" for i in range(6)], [*"abcde", None]):
+        sources = spark.createDataFrame([(n, 100) for n in names], "source string, source_size long")
+        got = sorted(r.target for r in mixing._targets(sources, 1.5, 2.0).collect())
+        assert [round(t, 6) for t in got] == [83.333333] * 2 + [166.666667] * 2 + [200.0] * 2
