@@ -5,19 +5,23 @@ fails its check is dropped.  Patterns are possessive and anchored at the start o
 the same matches in linear time.  Offsets come from the lengths of the matches and of what lies
 between them.
 
-*Method*: the values found are the protected entities.  A term (a whole word of letters, outside the
-base spans) co-occurs with the entities of its document, however far away.  Over documents,
-PMI(t, e) = ln(n_te N / (n_t n_e)) says how much of the entity's information IC(e) = ln(N / n_e) the
-term discloses.  A pair discloses when PMI / IC >= ``threshold``, at least two different texts show it
-and their evidence, texts * PMI, reaches ``evidence`` nats.  Every occurrence of a disclosing term in
-the entity's documents becomes a span of kind ``term``: generalised to its class, or removed where
-PMI / IC >= ``remove_at``.  A document without the entity keeps the term.  n_te, n_t and n_e count
-whole documents of the whole corpus.
-
-Sizes: entities of one text alone disclose nothing and leave before terms are paired; pairs are
-summed in the tasks first.  The corpus pass keeps only candidate terms, by a broadcast while they are
-at most ``broadcast_terms`` (a checked bound), else by a shuffle join after counting per term;
-disclosing pairs likewise.
+*Method*: the values found are the protected entities, and so are the groups that they belong to (an
+e-mail's domain, an address's /24 network, the first six digits of a card or phone number); a kind as
+such protects nobody and is none.  A term (a whole word, outside the base spans) co-occurs with the
+entities of its document, however far away.  Over the documents of the whole corpus,
+PMI(t, e) = ln(n_te N / (n_t n_e)) says how much of the entity's information IC(e) = ln(N / n_e) the term
+discloses.  A term discloses an entity when PMI / IC >= ``threshold`` and their evidence, mentions * PMI,
+reaches ``evidence`` nats; mentions are the term's occurrences in the entity's different texts, two at
+least, so a single text that keeps naming someone is evidence and a word met once is not.
+ * In the entity's documents every occurrence of such a term is a span of kind ``term``.
+ * Elsewhere too, in any document, if two or more different texts bear the evidence (texts * PMI reaches
+   ``evidence``) and most documents with the term hold the entity.
+A span is generalised to its class, or removed where PMI / IC >= ``remove_at``.
+
+Sizes: entities of the same set of texts disclose alike and are paired once, so a text with many
+addresses isn't multiplied by its words; the threshold bounds n_t by n_e, which drops a text's frequent
+words before they are paired; pairs are summed in the tasks first.  Tables are broadcast while they have
+at most ``broadcast_rows`` rows (counted), and meet in shuffle joins beyond.  Texts are named by 128 bits.
 
 Null and empty texts have no spans; null ids are allowed; repeated rows have equal spans and are one
 text of evidence; an empty table gives an empty result; other columns are never read, and ``sanitised``
@@ -29,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import Shelf
+from .support import Shelf, fresh
 
 #: The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -39,7 +43,7 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP_OK = rf"^{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"
-TERM = r"(?<![^\s(\[\"'])\p{L}[\p{L}'-]*\p{L}(?![^\s.,;:!?)\]\"'])"
+TERM = r"(?<![^\s(\[\"'])\p{L}[\p{L}\p{M}'-]*[\p{L}\p{M}](?![^\s.,;:!?)\]\"'])"
 #: What a text must hold to have a base span at all.
 _SIGNS = r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){13}|\+[0-9][ ().0-9-]{9}"
 _BLOCK = 128
@@ -87,7 +91,8 @@ def _valid(kind: int, value: Column) -> Column:
     return F.length(digits).between(10, 15)
 
 
-_NONE = "array<struct<kind:int,start:int,end:int,entity:string>>"
+_NONE = "array<struct<kind:int,start:int,end:int,entity:string,group:string>>"
+_EXTRA = "array<struct<start:int,kind:int,end:int,removed:boolean>>"
 
 
 def _spans(kind: int, matches: Column) -> Column:
@@ -95,11 +100,13 @@ def _spans(kind: int, matches: Column) -> Column:
 
     def span(m: Column) -> Column:
         entity = F.lower(m["value"]) if kind < 2 else F.regexp_replace(m["value"], "[^0-9]", "")
+        group = F.substring_index(entity, "@", -1) if kind == 0 else F.substring_index(entity, ".", 3) if kind == 1 else F.substring(entity, 1, 6)
         return F.struct(
             F.lit(kind).alias("kind"),
             m["start"].alias("start"),
             (m["start"] + F.length(m["value"])).alias("end"),
             F.concat(F.lit(KINDS[kind] + ":"), entity).alias("entity"),
+            F.concat(F.lit(KINDS[kind] + "/"), group).alias("group"),
         )
 
     return F.transform(F.filter(matches, lambda m: _valid(kind, m["value"])), span).cast(_NONE)
@@ -132,70 +139,117 @@ def _terms(matches: Column, emails: Column) -> Column:
 class Sanitiser:
     """Spans of a corpus; each table is computed once and kept in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, remove_at: float = 0.95, evidence: float = 10.0, broadcast_terms: int = 200_000):
-        spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, remove_at: float = 0.95, evidence: float = 10.0, broadcast_rows: int = 200_000):
         self.docs, self.id_col, self.text_col = docs, id_col, text_col
-        self.shelf = Shelf(spark)
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        rows = _with_base(rows).select("id", F.xxhash64("text").alias("th"), "spans", "terms")
+        self.threshold, self.remove_at, self.evidence, self.broadcast_rows = threshold, remove_at, evidence, broadcast_rows
+        self.shelf = Shelf(docs.sparkSession)
+        self.text = F.coalesce(F.col(text_col), F.lit(""))
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), self.text.alias("text"))
+        rows = _with_base(rows).select("id", F.md5("text").alias("th"), "spans", "terms")
         self.base = self.shelf.put(rows, "base")
-        self.added = self.shelf.put(self._disclosing(threshold, remove_at, evidence, broadcast_terms), "added")
-
-    def _disclosing(self, threshold: float, remove_at: float, evidence: float, broadcast_terms: int) -> DataFrame:
-        """(th, start, end, strength): spans of disclosing terms."""
-        mention = self.base.where(F.size("spans") > 0)
-        copies = self.shelf.put(mention.groupBy("th").agg(F.count("*").alias("copies")), "copies")
-        holds = self.shelf.put(mention.select("th", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity")).distinct(), "holds")
-        entities = holds.join(copies, "th").groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where("texts >= 2").drop("texts")
-        entities = self.shelf.put(entities, "entities")
-        holds = self.shelf.put(holds.join(entities, "entity", "left_semi"), "shared")
-        texts = mention.select("th", "terms").join(holds.select("th").distinct(), "th", "left_semi")
-        texts = self.shelf.put(texts.dropDuplicates(["th"]), "texts")
-        distinct = texts.select("th", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-        pairs = distinct.join(holds.join(copies, "th"), "th").groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where("texts >= 2")
-        pairs = self.shelf.put(pairs, "pairs")
-        n = F.lit(self.base.count())
-        terms = self.shelf.put(pairs.select("term").distinct(), "terms")
-        text = F.coalesce(F.col(self.text_col), F.lit(""))
-        words = self.docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
-        if terms.count() <= broadcast_terms:
-            counts = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+        self._judge()
+
+    def _few(self, df: DataFrame) -> DataFrame:
+        """``df``, a written table, to be broadcast if it has at most ``broadcast_rows`` rows."""
+        return F.broadcast(df) if df.count() <= self.broadcast_rows else df
+
+    def _judge(self) -> None:
+        """Writes ``added``, (th, extra): the spans of disclosing terms by text, and ``elsewhere``, those of texts without base spans."""
+        shelf, kept = self.shelf, self.threshold
+        n = self.base.count()
+        names = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.array(s["entity"], s["group"]))))
+        texts = self.base.where(F.size("spans") > 0).groupBy("th").agg(F.count("*").alias("copies"), F.first(names).alias("names"), F.first("terms").alias("terms"))
+        texts = shelf.put(texts, "texts")
+
+        # entities of the same texts disclose alike: one name stands for all of them
+        holds = texts.select("th", F.explode("names").alias("entity"), "copies")
+        sign = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "th")).alias(f"sign{salt}")
+        entities = holds.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts"), sign(1), sign(2))
+        entities = shelf.put(entities.groupBy("n_e", "texts", "sign1", "sign2").agg(F.min("entity").alias("entity")).select("entity", "n_e"), "entities")
+        holds = shelf.put(holds.join(self._few(entities), "entity"), "holds")
+        largest = entities.agg(F.max("n_e")).first()[0] or 0
+
+        # PMI / IC >= threshold means n_t <= n_te (N / n_e) ** (1 - threshold), and n_te <= n_e
+        most = lambda n_e: F.pow(n_e.cast("double"), F.lit(kept)) * F.pow(F.lit(float(n)), F.lit(1 - kept)) * (1 + 1e-9)
+        told = texts.select("th", "copies", F.explode(F.transform("terms", lambda t: t["term"])).alias("term")).groupBy("th", "copies", "term").agg(F.count("*").alias("tf"))
+        told = shelf.put(told, "told")
+        rare = told.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("copies").alias("seen")).where((F.col("tf") >= 2) & (F.col("seen") <= most(F.lit(largest)))).select("term")
+        rare = shelf.put(rare, "rare")
+        if rare.isEmpty():
+            self.added = self.elsewhere = shelf.put(texts.limit(0).select("th", F.array().cast(_EXTRA).alias("extra")), "added")
+            return
+        words = self.docs.select(F.explode(F.array_distinct(F.transform(_found(self.text, TERM), F.lower))).alias("term"))
+        if rare.count() <= self.broadcast_rows:
+            counts = words.join(F.broadcast(rare), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
         else:
-            counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
-        judged = pairs.join(entities, "entity").join(counts, "term")
-        judged = judged.withColumn("pmi", F.log(F.col("n_te") * n / F.col("n_t") / F.col("n_e"))).withColumn("ic", F.log(n / F.col("n_e")))
+            counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(rare, "term", "left_semi")
+        counts = shelf.put(counts.where(F.col("n_t") <= most(F.lit(largest))), "counts")
+        told = shelf.put(told.join(self._few(counts), "term"), "told_rare")
+
+        both = told.join(holds.drop("copies"), "th").where(F.col("n_t") <= most(F.col("n_e")))
+        pairs = both.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts"), F.sum("tf").alias("mentions"))
+        pairs = shelf.put(pairs.where("mentions >= 2"), "pairs")
+        judged = pairs.withColumn("pmi", F.log(F.col("n_te") * F.lit(float(n)) / F.col("n_t") / F.col("n_e"))).withColumn("ic", F.log(F.lit(float(n)) / F.col("n_e")))
         judged = judged.withColumn("strength", F.when(F.col("ic") > 0, F.col("pmi") / F.col("ic")).otherwise(0.0))
-        judged = judged.where((F.col("strength") >= threshold) & (F.col("texts") * F.col("pmi") >= evidence)).select("entity", "term", "strength")
-        judged = self.shelf.put(judged, "judged")
-        if judged.count() <= broadcast_terms:
-            judged = F.broadcast(judged)
-        near = texts.select("th", F.inline("terms")).join(holds, "th")
-        return near.join(judged, ["entity", "term"]).groupBy("th", "start", "end").agg((F.max("strength") >= remove_at).alias("removed"))
+        judged = judged.where((F.col("strength") >= kept) & (F.col("mentions") * F.col("pmi") >= self.evidence))
+        everywhere = (F.col("texts") >= 2) & (F.col("texts") * F.col("pmi") >= self.evidence) & (2 * F.col("n_te") > F.col("n_t"))
+        judged = shelf.put(judged.select("entity", "term", "strength", everywhere.alias("everywhere")), "judged")
+
+        removed = (F.max("strength") >= self.remove_at).alias("removed")
+        inside = both.select("th", "entity", "term").join(self._few(judged), ["entity", "term"]).groupBy("th", "term").agg(removed)
+        general = shelf.put(judged.where("everywhere").groupBy("term").agg(removed), "general")
+        of_text = lambda hits: hits.groupBy("th").agg(F.collect_set(F.struct("term", "removed")).alias("hits"))
+        elsewhere = None
+        if not general.isEmpty():
+            met = self.docs.select(F.md5(self.text).alias("th"), F.explode(F.array_distinct(F.transform(_found(self.text, TERM), F.lower))).alias("term")).join(self._few(general), "term")
+            met = shelf.put(met.select("th", "term", "removed").distinct(), "met")
+            inside = inside.unionByName(met.join(self._few(texts.select("th")), "th", "left_semi")).groupBy("th", "term").agg(F.max("removed").alias("removed"))
+            others = shelf.put(of_text(met.join(self._few(texts.select("th")), "th", "left_anti")), "others")
+            found = self.docs.select(F.md5(self.text).alias("th"), self.text.alias("text")).join(self._few(others), "th").dropDuplicates(["th"])
+            found = found.withColumn("t", _found(F.col("text"), TERM)).withColumn("tg", F.split("text", TERM, -1))
+            elsewhere = found.select("th", _extra(_terms(_matches(F.col("t"), F.col("tg")), F.array().cast(_NONE))).alias("extra"))
+        hits = shelf.put(of_text(inside), "hits")
+        added = texts.select("th", "terms").join(hits, "th").select("th", _extra(F.col("terms")).alias("extra"))
+        self.elsewhere = shelf.put(elsewhere if elsewhere is not None else added.limit(0), "elsewhere")
+        self.added = shelf.put(added.unionByName(self.elsewhere), "added")
+        shelf.drop("told", "told_rare", "rare", "counts", "judged", "general", "met", "others", "hits", "texts", "holds", "entities")
 
     def spans(self) -> DataFrame:
         """``id``, ``th``, and ``spans``: all of them by start, then kind; a row per input row."""
-        extra = self.added.groupBy("th").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "removed")).alias("extra"))
         base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("removed")))
-        kinds = "array<struct<start:int,kind:int,end:int,removed:boolean>>"
-        both = F.sort_array(F.concat(base.cast(kinds), F.coalesce(F.col("extra").cast(kinds), F.array().cast(kinds))))
-        return self.base.join(extra, "th", "left").select("id", "th", both.alias("spans"))
+        both = F.sort_array(F.concat(base.cast(_EXTRA), F.coalesce(F.col("extra"), F.array().cast(_EXTRA))))
+        return self.base.join(self.added, "th", "left").select("id", "th", both.alias("spans"))
 
     def sanitised(self) -> DataFrame:
         """The input rows with the spans' text replaced; overlapping spans become one.
 
-        Terms stand in texts with base spans, so a text without a sign of those passes through, unshuffled.
+        Texts without a sign of a base span meet only the spans of ``elsewhere``, so few texts are shuffled.
         """
-        spans = self.spans().where(F.size("spans") > 0).select(F.col("th").alias("_th"), F.col("spans").alias("_spans")).dropDuplicates(["_th"])
-        text = F.col(self.text_col)
+        docs, text = self.docs, F.col(self.text_col)
+        th, found = fresh(docs, "_th"), fresh(docs, "_spans")
+        table = lambda spans: spans.where(F.size("spans") > 0).select(F.col("th").alias(th), F.col("spans").alias(found))
         label = lambda s: F.when(s["kind"] == 4, F.when(s["removed"], F.lit("")).otherwise(F.lit("[TERM]"))).otherwise(F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)), F.lit("]")))
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
         step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), label(s))).otherwise(a["out"]).alias("out"))
         done = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
+        new = F.when(F.col(found).isNull(), text).otherwise(F.aggregate(found, start, step, done))
+
+        def replaced(rows: DataFrame, spans: DataFrame) -> DataFrame:
+            joined = rows.withColumn(th, F.md5(self.text)).join(spans, th, "left")
+            return joined.select(*(new.alias(c) if c == self.text_col else F.col(f"`{c}`") for c in docs.columns))
+
         signs = F.coalesce(F.rlike(text, F.lit(_SIGNS)), F.lit(False))
-        joined = self.docs.where(signs).withColumn("_th", F.xxhash64(F.coalesce(text, F.lit("")))).join(spans, "_th", "left")
-        new = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", start, step, done))
-        replaced = joined.select(*(new.alias(c) if c == self.text_col else F.col(f"`{c}`") for c in self.docs.columns))
-        return self.docs.where(~signs).unionByName(replaced)
+        plain = docs.where(~signs)
+        if not self.elsewhere.isEmpty():
+            plain = replaced(plain, self._few(table(self.elsewhere.withColumnRenamed("extra", "spans"))))
+        return plain.unionByName(replaced(docs.where(signs), table(self.spans()).dropDuplicates([th])))
+
+
+def _extra(terms: Column) -> Column:
+    """The spans of a text's terms that are among its ``hits``."""
+    of = lambda t: F.filter("hits", lambda h: h["term"] == t["term"])
+    spans = F.transform(F.filter(terms, lambda t: F.size(of(t)) > 0), lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end"), F.get(of(t), F.lit(0))["removed"].alias("removed")))
+    return spans.cast(_EXTRA)
 
 
 def written(spans: Column) -> Column:

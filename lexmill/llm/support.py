@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import atexit
-import shutil
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_FOLDER = "/tmp/checkpoints/lexmill"
+_LOCAL_FOLDER = "/tmp/checkpoints/lexmill"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _OWN_FOLDER
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where everything is one process."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or _LOCAL_FOLDER
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
@@ -27,18 +39,19 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
 
 
 class Shelf:
-    """Intermediate tables in the shared folder: written once, read by later steps, removed when spent.
+    """Intermediate tables in the shared folder: written once, read by later steps.
 
     A written table cuts the lineage, so a lost executor costs its running tasks and nothing before.
+    ``drop`` removes what no result reads; the rest, which lazy results still read, goes at the driver's end.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         bounded_batches(spark)
-        folder = shared_folder(spark)
-        self.root = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-        if folder == _OWN_FOLDER:
-            atexit.register(shutil.rmtree, self.root, True)
+        self.root = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        atexit.register(_remove, files, path)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -52,6 +65,11 @@ class Shelf:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _remove(files, path) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        files.delete(path, True)
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 3, is 1; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
