@@ -5,15 +5,18 @@ windows of ``window`` words; the bytes that the toxic dictionary saves on a wind
 ordinary one, say how toxic it is.  A logistic calibration over a document's window savings gives its
 score, and its threshold the verdict.
 
-Toxic documents are mostly ordinary text, so the toxic dictionary is trained on what sets them apart:
-the words that are ``ratio`` times as frequent (by documents) in toxic as in ordinary training texts,
-beyond chance (log-likelihood ratio of at least ``evidence``); a text that mostly repeats the shingles
-of earlier ones doesn't train.  Both compressors then get the ordinary dictionary, the
-toxic one with the toxic dictionary before it: on ordinary words both save the same.
+Toxic documents are mostly ordinary text, and a dictionary trained on all of it holds what ordinary
+text holds too.  So the toxic dictionary is trained on the passages that set the toxic texts apart: the
+compressor works by matches of bytes, so the evidence is counted in byte strings of ``GRAM`` bytes, by
+texts.  A string is evident when it is ``ratio`` times as frequent in toxic as in ordinary training
+texts, beyond chance (log-likelihood ratio of at least ``evidence``); of each toxic text, the windows of
+one word that hold an evident string are its training sample, in text order.  A text that mostly repeats
+the shingles of earlier ones doesn't train.  Both compressors then get the ordinary dictionary, the toxic
+one with the toxic dictionary before it: on ordinary words both save the same.
 
 Fitting is bounded: at most ``per_class`` labelled rows of each class with at most ``fit_chars``
-characters, chosen by hash of the id; two thirds train the dictionaries, one third calibrates.  Every
-text is scored whole.
+characters, chosen by hash of the id; two thirds train the dictionaries, one third calibrates; of the
+ordinary windows, the ``ordinary_windows`` with the lowest hash train.  Every text is scored whole.
 
 Null and empty texts score as a text without savings.  Null ids and repeated rows are scored row by
 row; without labelled rows of both classes every score is the share of class 1 (0.5 without labels);
@@ -23,9 +26,7 @@ an empty table gives an empty result; other columns are never read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,13 @@ from pyspark.sql import functions as F
 
 from .labels import labelled_sample, rows_of
 from .support import bounded_batches, held_out, table
-from .textkit import shingle_set, text_bytes, word_hashes
+from .textkit import shingle_set, text_bytes, word_bounds, word_hashes
 
+GRAM = 6
 _ORDINARY_BYTES, _TOXIC_BYTES = 4_096, 1_024
-_SAMPLE_WINDOWS = 60_000
 _SEEN = 1 << 25
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_SIEVE_SHIFT = np.uint64(64 - 22)
 
 
 @dataclass
@@ -98,13 +101,59 @@ def _dictionary(size: int, samples: list[bytes], k: int) -> bytes:
         return b"".join(samples)[-size:].ljust(8)
 
 
-def _evidence(c1: int, n1: int, c0: int, n0: int) -> float:
-    """Log-likelihood ratio of the word's shares against its overall share."""
+def _spaced(text: bytes) -> bytes:
+    return b" " + b" ".join(text.split()) + b" "
+
+
+def _grams(text: bytes) -> np.ndarray:
+    """Each byte string of length GRAM as a number, in text order."""
+    raw = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = max(0, len(raw) - GRAM + 1)
+    packed = np.zeros(n, np.uint64)
+    for j in range(GRAM):
+        packed = (packed << np.uint64(8)) | raw[j : j + n]
+    return packed
+
+
+class _Among:
+    """Which numbers are in a sorted set: a sieve first, then exactly."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, self.sieve = values, np.zeros(1 << 22, bool)
+        self.sieve[values * _SPREAD >> _SIEVE_SHIFT] = True
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        """Their positions."""
+        at = self.sieve[numbers * _SPREAD >> _SIEVE_SHIFT].nonzero()[0]
+        found = np.searchsorted(self.values, numbers[at])
+        return at[self.values[np.minimum(found, len(self.values) - 1)] == numbers[at]] if len(self.values) else at[:0]
+
+
+def evident_grams(toxic: list[bytes], ordinary: list[bytes], ratio: float, evidence: float) -> np.ndarray:
+    """The sorted byte strings that ``ratio`` and ``evidence`` ask for; counts are numbers of texts."""
+    n1, n0 = len(toxic), len(ordinary)
+    grams, c1 = np.unique(np.concatenate([np.unique(_grams(_spaced(t))) for t in toxic]), return_counts=True)
+    grams, c1 = grams[c1 >= min(2, n1)], c1[c1 >= min(2, n1)]
+    among, c0 = _Among(grams), np.zeros(len(grams))
+    for text in ordinary:
+        own = _grams(_spaced(text))
+        c0[np.searchsorted(grams, np.unique(own[among(own)]))] += 1
     share = (c1 + c0) / (n1 + n0)
-    return 2 * sum(c * math.log(c / n / share) for c, n in ((c1, n1), (c0, n0)) if c)
+    told = 2 * (c1 * np.log(c1 / n1 / share) + c0 * np.log(np.maximum(c0, 1) / n0 / share))
+    return grams[(c1 / n1 >= ratio * (c0 + 0.5) / (n0 + 1)) & (told >= (evidence if n1 >= 10 else 0.0))]
+
+
+def evident_windows(text: bytes, among: _Among) -> bytes:
+    """The windows of one word, with the blanks around it, that hold an evident string; joined."""
+    text = _spaced(text)
+    starts, ends = word_bounds(np.frombuffer(text, np.uint8))
+    at = among(_grams(text))
+    word = np.searchsorted(starts - 1, at, "right") - 1
+    kept = np.unique(word[at + GRAM <= ends[word] + 1])
+    return _spaced(b" ".join(text[starts[i] : ends[i]] for i in kept))
 
 
-def fit_texts(rows: list[tuple[bytes, int]], window: int = 12, ratio: float = 20.0, evidence: float = 25.0) -> ToxicityModel:
+def fit_texts(rows: list[tuple[bytes, int]], window: int = 12, ratio: float = 20.0, evidence: float = 25.0, ordinary_windows: int = 60_000) -> ToxicityModel:
     """rows: distinct (text, label) in a fixed order, both labels present."""
     seen = np.zeros(_SEEN, bool)
     split: dict[int, list[bytes]] = {0: [], 1: []}
@@ -115,13 +164,10 @@ def fit_texts(rows: list[tuple[bytes, int]], window: int = 12, ratio: float = 20
         seen[slots] = True
     train = {y: docs[: max(1, len(docs) * 2 // 3)] for y, docs in split.items()}
     held = {y: docs[len(train[y]) :] or train[y] for y, docs in split.items()}
-    df = {y: Counter(w for text in docs for w in set(text.split())) for y, docs in train.items()}
-    n1, n0 = len(train[1]), len(train[0])
-    least = evidence if n1 >= 10 else 0.0
-    apart = {w for w, c in df[1].items() if c / n1 >= ratio * (df[0][w] + 0.5) / (n0 + 1) and _evidence(c, n1, df[0][w], n0) >= least}
-    marks = [b" " + b" ".join(w for w in text.split() if w in apart) + b" " for text in train[1]]
-    toxic = _dictionary(_TOXIC_BYTES, [m for m in marks if len(m) >= 8], 24)
-    ordinary = _dictionary(_ORDINARY_BYTES, list(islice((b" ".join(words[i : i + 10]) for words in map(bytes.split, train[0]) for i in range(0, len(words), 10)), _SAMPLE_WINDOWS)), 64)
+    among = _Among(evident_grams(train[1], train[0], ratio, evidence))
+    toxic = _dictionary(_TOXIC_BYTES, [w for text in train[1] if len(w := evident_windows(text, among)) >= 8], 24)
+    plain = {b" ".join(words[i : i + 10]) for words in map(bytes.split, train[0]) for i in range(0, len(words), 10)}
+    ordinary = _dictionary(_ORDINARY_BYTES, sorted(plain, key=lambda w: (xxhash.xxh64_intdigest(w), w))[:ordinary_windows], 64)
     model = ToxicityModel(ordinary, toxic, window, np.zeros(6), np.ones(6), np.zeros(7))
     scorer = model.scorer()
     x = np.array([scorer.features(text) for y in (0, 1) for text in held[y]])

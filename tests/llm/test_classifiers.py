@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -143,3 +144,39 @@ def test_ratios_match_brute_force_and_reject_junk(spark):
     assert not any(out[i].kept for i, q, _ in labels if not q)
     assert quality_rules.rule_verdicts(spark.createDataFrame(odd_documents(), SCHEMA), ratios).count() == len(odd_documents())
     assert not quality_rules.ratio_table(spark.createDataFrame([], SCHEMA), []).any()
+
+
+def test_evident_strings_and_windows_match_plain_counting():
+    toxic = [f" {prose(i, 40)} you moron{'s' if i % 2 else ''} {prose(50 + i, 20)}".encode() for i in range(12)] + [b"x", b""]
+    ordinary = [prose(100 + i, 60).encode() for i in range(30)]
+    spaced = lambda t: b" " + b" ".join(t.split()) + b" "
+    grams = lambda t: {spaced(t)[i : i + 6] for i in range(len(spaced(t)) - 5)}
+    want = set()
+    for g in set().union(*map(grams, toxic)):
+        c1, c0 = (sum(g in grams(t) for t in texts) for texts in (toxic, ordinary))
+        share = (c1 + c0) / 44
+        told = 2 * sum(c * math.log(c / n / share) for c, n in ((c1, 14), (c0, 30)) if c)
+        if c1 >= 2 and c1 / 14 >= 5 * (c0 + 0.5) / 31 and told >= 9:
+            want.add(g)
+    found = toxicity.evident_grams(toxic, ordinary, 5, 9)
+    assert {int(v).to_bytes(6, "big") for v in found} == want and b" moron" in want
+    among = toxicity._Among(found)
+    for t in toxic:
+        words = [w for w in t.split() if any((b" " + w + b" ")[i : i + 6] in want for i in range(len(w) - 3))]
+        assert toxicity.evident_windows(t, among) == spaced(b" ".join(words))
+
+
+def test_a_score_is_the_calibrated_difference_of_compressed_lengths():
+    rows_ = [(f"{prose(i, 50)} {'utter moron ' * (i % 4 == 0)}{prose(300 + i, 30)}".encode(), int(i % 4 == 0)) for i in range(60)]
+    model = toxicity.fit_texts(rows_)
+    text = rows_[4][0]
+    words, plain, toxic = text.lower().split(), toxicity._compressor(model.ordinary), toxicity._compressor(model.toxic + model.ordinary)
+    saved, size = [], 0
+    for i in range(0, len(words), 12):
+        w = b" " + b" ".join(words[i : i + 12]) + b" "
+        saved.append(len(plain.compress(w)) - len(toxic.compress(w)))
+        size += len(w)
+    three = sum(s >= 3 for s in saved)
+    x = [max(saved), sum(sorted(saved)[-3:]) / 3, 100 * sum(max(s, 0) for s in saved) / size, sum(s >= 2 for s in saved) / len(saved), three / len(saved), min(three, 5)]
+    z = model.weights[0] + sum(w * (a - m) / s for w, a, m, s in zip(model.weights[1:], x, model.mean, model.scale))
+    assert abs(model.scorer().score(text) - 1 / (1 + math.exp(-z))) < 1e-9 and model.scorer().score(text) > 0.7
