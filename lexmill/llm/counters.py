@@ -85,7 +85,7 @@ def marked(slots: DataFrame, size: int) -> np.ndarray:
 
     out = np.zeros(size // 8, np.uint8)
     once = slots.mapInArrow(mark, BLOCK_SCHEMA).withColumn("salt", F.spark_partition_id() % 8).repartition("block", "salt").mapInArrow(union, BLOCK_SCHEMA)
-    for row in once.repartition("block").mapInArrow(union, BLOCK_SCHEMA).toLocalIterator():
+    for row in once.repartition("block").mapInArrow(union, BLOCK_SCHEMA).collect():
         out[row.block * _BITS // 8 : (row.block + 1) * _BITS // 8] = np.frombuffer(bytes(row.counts), np.uint8)
     return out
 
@@ -111,6 +111,6 @@ def summed(blocks: DataFrame, size: int = SIZE, salts: int = 8) -> np.ndarray:
     once = blocks.withColumn("salt", F.col("salt") % salts).repartition("block", "salt").mapInArrow(add, BLOCK_SCHEMA)
     twice = once.withColumn("salt", F.lit(0)).repartition("block").mapInArrow(add, BLOCK_SCHEMA)
     out = np.zeros(size, np.int64)
-    for row in twice.toLocalIterator():
+    for row in twice.collect():
         out[row.block * _BLOCK : (row.block + 1) * _BLOCK] = _unpacked(bytes(row.counts))
     return out
