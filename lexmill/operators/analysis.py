@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bm25 import search_chars
+from .bm25 import search_char_ranges
 from .metrics import all_metrics, gold_sets
 
 
@@ -56,8 +54,8 @@ def displacement(sparse: DataFrame, dense: DataFrame, gold: DataFrame, k: int =
 
 def ngram_ablation(docs: DataFrame, queries: DataFrame, gold: DataFrame, ranges: list[tuple[int, int]], k: int = 10) -> DataFrame:
     """All metrics of character BM25 for each n-gram range."""
-    runs = [search_chars(docs, queries, k, low, high).withColumn("retriever", F.lit(f"char_bm25_{low}_{high}")) for low, high in ranges]
-    return all_metrics(reduce(DataFrame.unionByName, runs), gold, k)
+    name = F.element_at(F.array(*(F.lit(f"char_bm25_{low}_{high}") for low, high in ranges)), F.col("range") + 1)
+    return all_metrics(search_char_ranges(docs, queries, ranges, k).withColumn("retriever", name).drop("range"), gold, k)
 
 
 def comparison(metrics: DataFrame, names: list[str]) -> DataFrame:

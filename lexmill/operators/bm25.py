@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .index import Analyzer, corpus_df, document_frequency, document_length, scored_frequency, stats
+from . import char_search
+from .index import Analyzer, corpus_df, document_length, scored_frequency, stats
 from .sizes import fits
 
 DIGITS = 6
@@ -53,18 +54,25 @@ def search_chars(docs: DataFrame, queries: DataFrame, k: int = 10, low: int = 2,
     """Character n-gram BM25: distinct query n-grams, unknown ones ignored, positive scores only.
 
     docs: ``doc``, ``text``; queries: ``query``, ``text``.  ``tables`` (tf, df, lengths, one-row stats) of a
-    saved index replace what is otherwise made for the query terms alone.
+    saved index are searched by joins; without them the texts are read, in two passes (``char_search``).
     """
-    analyzer = Analyzer("char", low, high)
-    q = query_terms(queries, analyzer).withColumn("times", F.lit(1))
+    if tables is None:
+        return top(char_search.search(docs, queries, [(low, high)], k, k1, b, DIGITS).drop("range"), k)
+    q = query_terms(queries, Analyzer("char", low, high)).withColumn("times", F.lit(1))
     few = _hinted(q)
     wanted = few(q.select("term").distinct())
-    tf, df, n, avgdl = _corpus(docs, analyzer, wanted, tables)
-    df = df.join(wanted, "term", "left_semi") if tables else document_frequency(tf)
-    idf = df.select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    tf, df, n, avgdl = _corpus(docs, Analyzer("char", low, high), wanted, tables)
+    idf = df.join(wanted, "term", "left_semi").select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     return top(_matches(few(q), tf, few(idf), avgdl, k1, b).where("score > 0"), k)
 
 
+def search_char_ranges(docs: DataFrame, queries: DataFrame, ranges: list[tuple[int, int]], k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``search_chars`` for several n-gram ranges in the same two passes: adds ``range``, the position in ``ranges``."""
+    best = W.partitionBy("range", "query").orderBy(F.desc("score"), "doc")
+    found = char_search.search(docs, queries, ranges, k, k1, b, DIGITS)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def word_idf(df: DataFrame, n: int, epsilon: float = 0.25) -> DataFrame:
     """ln(N - df + 0.5) - ln(df + 0.5); negative ones become ``epsilon`` times the vocabulary's mean."""
     raw = df.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))

@@ -1,0 +1,182 @@
+"""Character n-gram BM25 of a query set in two passes over the documents, without shuffling them.
+
+The queries' n-grams are the vocabulary, so a document is a sparse vector over it and its scores are a
+product with the queries' weights.  Pass one sums document frequencies and lengths (one array a task);
+pass two scores and keeps k rows a query and task.  N-grams are made once for each distinct word of a
+task.  Several n-gram ranges share both passes.
+
+Queries are searched in blocks of ``BLOCK``; a block's weights, at most ``BLOCK`` times its distinct
+n-grams, are what a worker holds.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import squeeze
+from .sizes import spread
+
+BLOCK = 512
+_WORDS_HELD = 200_000
+_ROWS, _CELLS = 256, 1 << 22  # documents scored at once: their vectors have so many numbers at most
+
+
+def grams_of(word: str, low: int, high: int) -> list[str]:
+    marked = f"^{word}$"
+    return [marked[i : i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1)]
+
+
+class Vocabulary:
+    """Numbers of the n-grams that the queries of a block have, and what each word adds to a document."""
+
+    def __init__(self, texts: list[str], ranges: list[tuple[int, int]]):
+        self.ranges = ranges
+        self.low, self.high = min(r[0] for r in ranges), max(r[1] for r in ranges)
+        self.queries = [{g for w in set(text.split(" ")) if w for g in grams_of(w, self.low, self.high)} for text in texts]
+        self.number = {g: i for i, g in enumerate(sorted(set().union(*self.queries)))}
+        self.sizes = np.array([len(g) for g in self.number], np.int64)
+        self.words: dict[str, np.ndarray] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "words": {}}
+
+    def in_range(self, r: tuple[int, int]) -> np.ndarray:
+        return (self.sizes >= r[0]) & (self.sizes <= r[1])
+
+    def _of_word(self, word: str) -> np.ndarray:
+        found = self.words.get(word)
+        if found is None:
+            found = np.array([i for g in grams_of(word, self.low, self.high) if (i := self.number.get(g)) is not None], np.int64)
+            if len(self.words) < _WORDS_HELD:
+                self.words[word] = found
+        return found
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """(n-gram, times) of a squeezed text, and its length in all n-grams of each range."""
+        counts = Counter(text.split(" "))
+        counts.pop("", None)
+        parts = [self._of_word(w) for w in counts]
+        weight = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(p) for p in parts]) if parts else np.empty(0, np.int64)
+        at = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        tf = np.bincount(at, weight, len(self.number)) if len(at) else np.zeros(len(self.number))
+        at = tf.nonzero()[0]
+        size, times = np.fromiter(map(len, counts), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+        lengths = [sum(int((times * np.maximum(size + 3 - n, 0)).sum()) for n in range(low, high + 1)) for low, high in self.ranges]
+        return at, tf[at], lengths
+
+
+def _figures(docs: DataFrame, shared, ranges: list) -> tuple[int, list[int], np.ndarray]:
+    """N, the total length of each range, and the document frequency of each n-gram."""
+
+    def count(batches):
+        vocabulary = shared.value
+        n, total, df = 0, np.zeros(len(ranges), np.int64), np.zeros(len(vocabulary.number), np.int64)
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                at, _, lengths = vocabulary.vector(text)
+                n += 1
+                total += lengths
+                df[at] += 1
+        yield pa.RecordBatch.from_pydict({"figures": pa.array([np.r_[n, total, df]], pa.list_(pa.int64()))})
+
+    def add(batches):
+        rows = [np.array(v, np.int64) for batch in batches for v in batch.column(0).to_pylist()]
+        if rows:
+            yield pa.RecordBatch.from_pydict({"figures": pa.array([sum(rows)], pa.list_(pa.int64()))})
+
+    schema = "figures array<long>"
+    once = docs.mapInArrow(count, schema).repartition(8).mapInArrow(add, schema)
+    got = sum((np.array(r.figures, np.int64) for r in once.collect()), np.zeros(1 + len(ranges) + len(shared.value.number), np.int64))
+    return int(got[0]), got[1 : 1 + len(ranges)].tolist(), got[1 + len(ranges) :]
+
+
+class _Best:
+    """The k best documents of each query so far, by score and then by document."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.queries = k, queries
+        self.scores, self.docs = np.empty((queries, 0)), np.empty((queries, 0), object)
+
+    def add(self, docs: list, scores: np.ndarray) -> None:
+        """scores: a row for each query."""
+        if self.scores.shape[1] == self.k:  # only what reaches a last place is ranked
+            hopeful = (scores >= self.scores[:, -1:]).any(0)
+            docs, scores = [d for d, h in zip(docs, hopeful) if h], scores[:, hopeful]
+            if not docs:
+                return
+        names = np.empty(len(docs), object)
+        names[:] = docs
+        own = np.argsort(names, kind="stable")  # by document, so that a stable sort by score leaves ties so
+        scores, names = np.concatenate([self.scores, scores[:, own]], 1), np.concatenate([self.docs, np.broadcast_to(names[own], (self.queries, len(own)))], 1)
+        if self.docs.shape[1]:
+            ties = np.argsort(names, axis=1, kind="stable")
+            scores, names = np.take_along_axis(scores, ties, 1), np.take_along_axis(names, ties, 1)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, : self.k]
+        self.scores, self.docs = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+
+
+def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[list, list[str]]]:
+    ids, texts = [], []
+    for row in queries.select("query", squeeze(F.coalesce("text", F.lit(""))).alias("text")).toLocalIterator():
+        ids.append(row.query)
+        texts.append(row.text)
+        if len(ids) == size:
+            yield ids, texts
+            ids, texts = [], []
+    if ids:
+        yield ids, texts
+
+
+def search(docs: DataFrame, queries: DataFrame, ranges: list[tuple[int, int]], k: int, k1: float, b: float, digits: int) -> DataFrame:
+    """(range, query, doc, score): candidates for each query's k best, k a task; scores above zero only.
+
+    docs: ``doc`` (not null), ``text`` (null: empty).
+    """
+    spark = docs.sparkSession
+    kinds = dict(docs.dtypes)["doc"], dict(queries.dtypes)["query"]
+    schema = f"range int, query {kinds[1]}, doc {kinds[0]}, score double"
+    docs = spread(docs).select("doc", squeeze(F.coalesce("text", F.lit(""))).alias("text"))
+    out = None
+    for ids, texts in _blocks(queries, BLOCK):
+        vocabulary = Vocabulary(texts, ranges)
+        shared = spark.sparkContext.broadcast(vocabulary)
+        n, totals, df = _figures(docs, shared, ranges)
+        idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
+        weights = np.zeros((len(vocabulary.number), len(ids)))
+        for q, grams in enumerate(vocabulary.queries):
+            at = [vocabulary.number[g] for g in grams]
+            weights[at, q] = idf[at]
+        average = [total / n if n else 1.0 for total in totals]
+        given = spark.sparkContext.broadcast((ids, weights, average))
+
+        def score(batches, shared=shared, given=given):
+            vocabulary, (ids, weights, average) = shared.value, given.value
+            best = [_Best(len(ids), k) for _ in ranges]
+            masks = [vocabulary.in_range(r) for r in ranges]
+            rows = max(1, min(_ROWS, _CELLS // max(1, len(weights))))
+            for batch in batches:
+                for start in range(0, batch.num_rows, rows):
+                    part = batch.slice(start, rows)
+                    vectors = [vocabulary.vector(text) for text in part.column(1).to_pylist()]
+                    for i, mask in enumerate(masks):
+                        saturated = np.zeros((len(vectors), len(weights)))
+                        for j, (at, tf, lengths) in enumerate(vectors):
+                            if len(masks) > 1:
+                                own = mask[at]
+                                at, tf = at[own], tf[own]
+                            norm = k1 * (1 - b + b * lengths[i] / average[i]) if average[i] else k1
+                            saturated[j, at] = tf * (k1 + 1) / (tf + norm)
+                        best[i].add(part.column(0).to_pylist(), np.round(saturated @ weights, digits).T)
+            for i, found in enumerate(best):
+                if (kept := found.scores > 0).any():
+                    yield pa.RecordBatch.from_pydict({"range": pa.array([i] * int(kept.sum()), pa.int32()), "query": pa.array([ids[q] for q in kept.nonzero()[0]]), "doc": pa.array(found.docs[kept].tolist()), "score": pa.array(found.scores[kept])})
+
+        part = docs.mapInArrow(score, schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.tokens import char_ngrams, ngram_length, words
 from ..operators import analysis, bm25, chunking, dedup, dense, fusion, index, metrics, questions, rag
-from ..operators.sizes import small
+from ..operators.sizes import small, spread
 from . import oracle as O
 
 QUERIES = {}
@@ -20,7 +20,8 @@ ORACLE_SQL = {}
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    found = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(found) if name in ("documents", "embeddings", "pages") else found
 
 
 def query(sql: str | None = None):
