@@ -23,7 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .support import running_sums, table
+
 END = "</turn>"
+_SLAB = 8192
 
 
 def escape(text: Column) -> Column:
@@ -48,14 +51,11 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     )
     c = c.withColumn("blocks", F.transform("first", block))
     text = F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["texts"], END), F.lit(END))), "")
-    size = lambda b: F.aggregate(b["texts"], F.length(b["head"]), lambda n, t: n + F.length(t) + len(END))
-    spans = lambda acc, b: F.aggregate(
-        b["texts"],
-        F.struct((acc["at"] + F.length(b["head"])).alias("at"), acc["spans"].alias("spans")),
-        lambda a, t: F.struct((a["at"] + F.length(t) + len(END)).alias("at"), F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(t)).alias("end")))).alias("spans")),
-    )
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    mask = F.aggregate("blocks", none, lambda acc, b: F.when(b["loss"], spans(acc, b)).otherwise(F.struct((acc["at"] + size(b)).alias("at"), acc["spans"].alias("spans"))))["spans"]
+    piece = lambda b: F.transform(b["texts"], lambda t, i: F.struct(F.when(i == 0, F.length(b["head"])).otherwise(0).alias("head"), F.length(t).alias("size"), b["loss"].alias("loss")))
+    c = c.withColumn("pieces", F.flatten(F.transform("blocks", piece)))
+    starts = running_sums(F.transform("pieces", lambda p: p["head"] + p["size"] + len(END)))
+    spans = F.zip_with("pieces", starts, lambda p, at: F.struct((at + p["head"]).alias("start"), (at + p["head"] + p["size"]).alias("end"), p["loss"].alias("loss")))
+    mask = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return c.select("conv_id", text.alias("formatted"), mask.alias("loss"))
 
 
@@ -66,12 +66,17 @@ def read_back(chats: DataFrame) -> DataFrame:
     rest = lambda b: F.substring(b, F.length(F.substring_index(b, " ###\n", 1)) + 6, F.length(b))
     texts = lambda b: F.split(rest(b), END, -1)
     turns = F.flatten(F.transform(blocks, lambda b: F.transform(F.slice(texts(b), F.lit(1), F.size(texts(b)) - 1), lambda t: F.struct(role(b).alias("role"), unescape(t).alias("text")))))
-    loss = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
+    # a substring costs its place in the string, so spans are cut from slabs
+    slabs = F.transform(F.sequence(F.lit(0), F.floor(F.length("formatted") / _SLAB).cast("int")), lambda i: F.substring(F.col("formatted"), i * _SLAB + 1, F.lit(_SLAB)))
+    chats = chats.withColumn("slabs", slabs)
+    slab = lambda at: F.floor(at / _SLAB).cast("int")
+    cut = lambda s: F.substring(F.array_join(F.slice("slabs", slab(s["start"]) + 1, slab(s["end"]) - slab(s["start"]) + 1), ""), s["start"] - slab(s["start"]) * _SLAB + 1, s["end"] - s["start"])
+    loss = F.array_join(F.transform("loss", lambda s: unescape(cut(s))), "")
     return chats.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_text"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.sql(r"select * from values (-7L, 0L, 'user'), (-7L, 1L, 'assistant') as t(conv_id, turn, role)").withColumn("text", F.lit(r"\### Assistant: </turn> ok"))
     back = read_back(formatted(turns.unionByName(planted)))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import Shelf, fresh
+from .support import Shelf, fresh, running_sums, table
 
 #: The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -46,19 +46,6 @@ _IP_OK = rf"^{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"
 TERM = r"(?<![^\s(\[\"'])\p{L}[\p{L}\p{M}'-]*[\p{L}\p{M}](?![^\s.,;:!?)\]\"'])"
 #: What a text must hold to have a base span at all.
 _SIGNS = r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){13}|\+[0-9][ ().0-9-]{9}"
-_BLOCK = 128
-
-
-def _running(lengths: Column) -> Column:
-    """Sums of all earlier elements; two levels, so that long arrays stay cheap."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)))
-
-    def before(values: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(values, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
-
-    offsets = before(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)))
-    return F.when(F.size(lengths) > 0, F.flatten(F.zip_with(blocks, offsets, lambda b, o: F.transform(before(b), lambda x: x + o)))).otherwise(F.array().cast("array<int>"))
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -68,7 +55,7 @@ def _found(text: Column, pattern: str) -> Column:
 def _matches(found: Column, gaps: Column) -> Column:
     """array of (start, value): each match and its offset, from what lies between the matches."""
     both = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("left"))
-    starts = _running(F.transform(both, lambda x: F.length(x["left"]) + F.length(x["m"])))
+    starts = running_sums(F.transform(both, lambda x: F.length(x["left"]) + F.length(x["m"])))
     return F.zip_with(both, starts, lambda x, at: F.struct((at + F.length(x["left"])).alias("start"), x["m"].alias("value")))
 
 
@@ -259,7 +246,7 @@ def written(spans: Column) -> Column:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = Sanitiser(spark.read.parquet(f"{sf_dir}/documents.parquet")).spans()
+    spans = Sanitiser(table(spark, sf_dir, "documents")).spans()
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return spans.select(
         F.col("id").alias("doc_id"),

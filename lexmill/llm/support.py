@@ -6,9 +6,12 @@ import atexit
 import contextlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sizes import spread
+
+_SUMMED = 128
 _LOCAL_FOLDER = "/tmp/checkpoints/lexmill"
 
 
@@ -75,8 +78,21 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
 
 
+def running_sums(lengths: Column) -> Column:
+    """Sums of all earlier elements; two levels, so that long arrays stay cheap."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _SUMMED).cast("int")), lambda b: F.slice(lengths, b * _SUMMED + 1, F.lit(_SUMMED)))
+
+    def before(values: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+    offsets = before(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)))
+    return F.when(F.size(lengths) > 0, F.flatten(F.zip_with(blocks, offsets, lambda b, o: F.transform(before(b), lambda x: x + o)))).otherwise(F.array().cast("array<int>"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "conversations") else found
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, shelf: Shelf, name: str, edges_a_task: int = 500_000) -> DataFrame:

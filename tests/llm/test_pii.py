@@ -7,7 +7,7 @@ import regex
 from pyspark.sql import functions as F
 
 from cases import SCHEMA, odd_documents, prose, rows
-from lexmill.llm import pii
+from lexmill.llm import pii, support
 
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -173,7 +173,7 @@ def test_empty_and_digest(spark):
 
 def test_running_sums_of_long_arrays(spark):
     lengths = [(i * 7) % 5 for i in range(1000)]
-    got = spark.createDataFrame([(lengths,), ([],)], "v array<int>").select(pii._running(F.col("v"))).collect()
+    got = spark.createDataFrame([(lengths,), ([],)], "v array<int>").select(support.running_sums(F.col("v"))).collect()
     assert got[0][0] == [sum(lengths[:i]) for i in range(1000)] and got[1][0] == []
 
 
