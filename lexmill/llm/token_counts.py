@@ -5,10 +5,10 @@ the sum over its pre-tokens of frequency times pieces.
 
 1. The distinct pre-tokens of the corpus and how often they occur; a task sends each of its own once.
 2. Pieces are counted once per distinct pre-token; this is the only place where the model runs.
-3. Per document, pre-token frequencies are joined to the pieces.  The ``hot`` most frequent ones
-   (bounded in number and length, so at most a few MB) are joined in the worker; the others become
-   (document, pre-token, frequency) rows and meet the table of pieces in a shuffle join.  Both give
-   exact sums, ids are never made.
+3. Per document, pre-token frequencies are joined to the pieces.  The ``hot`` most frequent ones, and
+   the ``hot_long`` most frequent ones of over 64 bytes (those by their digest, whatever their length),
+   are joined in the worker; the others become (document, pre-token, frequency) rows and meet the table
+   of pieces in a shuffle join.  Both give exact sums, ids are never made.
 
 The library's added special tokens are matched in the text first, one token each, as its default is.
 Null and empty texts have no tokens; null ids and repeated rows are counted row by row; an empty
@@ -17,6 +17,7 @@ table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import Counter
 
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import Shelf
+from .support import Shelf, table
 
 #: Fixed value: the published pattern that byte-level BPE vocabularies of this family split text by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -106,7 +107,7 @@ def _per_document(docs: DataFrame, path: str, hot) -> DataFrame:
     schema = "row long, id long, n_bytes long, n_hot long, cold array<struct<piece: string, f: long>>"
 
     def run(batches):
-        pre, known = PreTokens(path), hot.value
+        pre, (known, known_long) = PreTokens(path), hot.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows, sizes, hots, colds = [], [], [], []
@@ -116,6 +117,8 @@ def _per_document(docs: DataFrame, path: str, hot) -> DataFrame:
                 cold = []
                 for word, f in Counter(words).items():
                     pieces = known.get(word)
+                    if pieces is None and len(data := word.encode()) > _HOT_BYTES:
+                        pieces = known_long.get(hashlib.md5(data).digest())
                     if pieces is None:
                         cold.append({"piece": word, "f": f})
                     else:
@@ -133,14 +136,16 @@ def _per_document(docs: DataFrame, path: str, hot) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", hot: int = 100_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", hot: int = 100_000, hot_long: int = 10_000) -> DataFrame:
     """``id``, ``n_bytes`` and ``n_tokens`` for each row of ``docs``."""
     spark = docs.sparkSession
     shelf = Shelf(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     pieces = shelf.put(_with_pieces(_distinct(docs.select("text"), tokenizer_path), tokenizer_path), "pieces")
     frequent = pieces.where(F.octet_length("piece") <= _HOT_BYTES).orderBy(F.desc("f"), "piece").select("piece", "n").limit(hot)
-    known = spark.sparkContext.broadcast({r.piece: r.n for r in frequent.collect()})
+    long = pieces.where(F.octet_length("piece") > _HOT_BYTES).groupBy(F.unhex(F.md5(F.col("piece").cast("binary"))).alias("digest")).agg(F.max("f").alias("f"), F.max("n").alias("n"))
+    long = long.orderBy(F.desc("f"), "digest").limit(hot_long)
+    known = spark.sparkContext.broadcast(({r.piece: r.n for r in frequent.collect()}, {bytes(r.digest): r.n for r in long.collect()}))
     counted = shelf.put(_per_document(docs, tokenizer_path, known), "counted")
     cold = counted.select("row", F.inline("cold")).join(pieces.select("piece", "n"), "piece").groupBy("row").agg(F.sum(F.col("f") * F.col("n")).alias("n_cold"))
     return counted.select("row", "id", "n_bytes", "n_hot").join(cold, "row", "left").select("id", "n_bytes", (F.col("n_hot") + F.coalesce("n_cold", F.lit(0))).alias("n_tokens"))
@@ -151,5 +156,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | No
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
-    counts = token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path)
+    counts = token_counts(table(spark, sf_dir, "documents"), tokenizer_path)
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
