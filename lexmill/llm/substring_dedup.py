@@ -6,10 +6,11 @@ average, so that a passage of 50 words holds several.  A chunk repeats if its di
 repeated chunks form a span, and spans of at least ``min_chars`` characters are removed.  Shorter
 repeats are phrases that texts share by chance.
 
-A digest that a task has met under a smaller id is settled there and then; only its smallest
-occurrences so far are shuffled, so a line that a third of the corpus holds sends a few rows for each
-task.  The digest's occurrences are then read in order from a sorted stream, never held.  The result
-does not depend on how rows are dealt.
+A task holds the smallest occurrence of each digest that it meets, up to ``_HELD`` digests at a time;
+any other is settled there and then, in whatever order rows come.  Only the smallest go by digest, so a
+line that a third of the corpus holds sends a few rows for each task; settled ones go by row.  A digest's
+occurrences are then read in order from a sorted stream, never held.  The result does not depend on how
+rows are dealt.
 
 Rows with equal id and text are one document (their spans are the same).  Null and empty texts have
 no chunks; null ids are allowed and come first; an empty table gives an empty result; other columns
@@ -25,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import bounded_batches
+from .support import bounded_batches, table
 from .textkit import text_bytes
 
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) & 0xFFFF for b in range(256)], np.uint16)
 _LEAST, _MOST = 16, 256
 _TOP = np.uint16(16 - 4)  # 4 top bits: a cut in 16 positions
-_HELD = 1_500_000
+_HELD = 600_000
 _NULL = -(1 << 63)
 
 
@@ -74,89 +75,91 @@ def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return names, starts.astype(np.int64), ends.astype(np.int64)
 
 
-_CHUNK = "digest long, id long, row long, at long, first_id long, settled boolean"
+_CHUNK = "digest long, id long, row long, at long, settled boolean"
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each chunk: settled ones repeat an occurrence of the same task, whose id they carry."""
+    """A row for each chunk; settled ones follow an occurrence of the same task."""
 
     def run(batches):
-        least: dict[int, int] = {}  # digest -> smallest id so far; null ids come before all
+        least: dict[int, tuple[int, int, int]] = {}  # digest -> smallest (id, row, at) so far; null ids come first
+        settled: list[tuple[int, int, int, int]] = []
         for batch in batches:
-            held = []
             for row, doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
                 names, starts, ends = chunks(data)
-                at = (starts << 12) | (ends - starts)
                 own = _NULL if doc_id is None else doc_id
-                before, again = [None] * len(names), np.zeros(len(names), bool)
-                for i, name in enumerate(names.tolist()):
+                for name, at in zip(names.tolist(), ((starts << 12) | (ends - starts)).tolist()):
+                    now = (own, row, at)
                     known = least.get(name)
-                    if known is not None and known < own:
-                        again[i] = True
-                        before[i] = None if known == _NULL else known
-                    elif known is not None or len(least) < _HELD:
-                        least[name] = own
-                held.append((names, doc_id, row, at, before, again))
-                if len(held) >= 500:
-                    yield _occurrence_batch(held)
-                    held = []
-            if held:
-                yield _occurrence_batch(held)
+                    if known is None:
+                        least[name] = now
+                    elif now > known:
+                        settled.append((name, *now))
+                    elif now < known:
+                        least[name] = now
+                        settled.append((name, *known))
+                if len(settled) >= 100_000:
+                    yield _occurrence_batch(settled, True)
+                    settled = []
+                if len(least) >= _HELD:
+                    yield from _smallest(least)
+                    least.clear()
+        if settled:
+            yield _occurrence_batch(settled, True)
+        yield from _smallest(least)
 
     return docs.mapInArrow(run, _CHUNK)
 
 
-def _occurrence_batch(held) -> pa.RecordBatch:
-    size = [len(h[0]) for h in held]
-    every = lambda i: np.concatenate([h[i] for h in held])
-    ids = pa.array([h[1] for h in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), size)))
+def _smallest(least: dict):
+    found = [(name, *where) for name, where in least.items()]
+    for i in range(0, len(found), 100_000):
+        yield _occurrence_batch(found[i : i + 100_000], False)
+
+
+def _occurrence_batch(rows: list[tuple[int, int, int, int]], settled: bool) -> pa.RecordBatch:
+    digest, ids, row, at = np.array(rows, np.int64).reshape(-1, 4).T
     return pa.RecordBatch.from_arrays(
-        [pa.array(every(0)), ids, pa.array(np.repeat(np.array([h[2] for h in held], np.int64), size)), pa.array(every(3)), pa.array([b for h in held for b in h[4]], pa.int64()), pa.array(every(5))],
-        names=["digest", "id", "row", "at", "first_id", "settled"],
+        [pa.array(digest), pa.array(ids, mask=ids == _NULL), pa.array(row), pa.array(at), pa.array(np.full(len(rows), settled))],
+        names=["digest", "id", "row", "at", "settled"],
     )
 
 
 def _repeats(occurrences: DataFrame) -> DataFrame:
-    """(row, id, at, first_id) of each occurrence that follows another of its digest.
+    """(row, id, at) of each occurrence that follows another of its digest.
 
     Settled ones are dealt by row, so that a frequent digest's don't meet.
     """
 
     def run(batches):
-        last = None  # digest, and the id, row and place of its first occurrence
+        last = None  # digest, and the row and place of its first occurrence
         for batch in batches:
             settled = batch.column("settled")
             if settled.true_count:  # known already, and sorted behind all others
-                yield batch.filter(settled).select(["row", "id", "at", "first_id"])
+                yield batch.filter(settled).select(["row", "id", "at"])
                 batch = batch.filter(pc.invert(settled))
             digest, row, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("digest", "row", "at"))
-            ids = batch.column("id")
             if not len(digest):
                 continue
             fresh = np.r_[last is None or last[0] != digest[0], digest[1:] != digest[:-1]]
             lead = np.maximum.accumulate(np.where(fresh, np.arange(len(digest)), -1))
-            known = lead >= 0
             first_row, first_at = row[lead], at[lead]
-            first_id = ids.take(pa.array(np.maximum(lead, 0)))
-            if not known.all():  # the batch begins inside the last run
-                cut = int((~known).sum())
-                first_row[:cut], first_at[:cut] = last[2], last[3]
-                first_id = pa.concat_arrays([pa.array([last[1]] * cut, pa.int64()), first_id.slice(cut)])
+            if (inside := lead < 0).any():  # the batch begins inside the last run
+                first_row[inside], first_at[inside] = last[1:]
             repeated = ~fresh & ~((row == first_row) & (at == first_at))
-            last = (digest[-1], first_id[len(digest) - 1].as_py(), first_row[-1], first_at[-1])
+            last = digest[-1], first_row[-1], first_at[-1]
             if repeated.any():
-                keep = pa.array(repeated)
-                yield pa.RecordBatch.from_arrays([pa.array(row).filter(keep), ids.filter(keep), pa.array(at).filter(keep), first_id.filter(keep)], names=["row", "id", "at", "first_id"])
+                yield batch.filter(pa.array(repeated)).select(["row", "id", "at"])
 
     ready = occurrences.repartition(F.when(F.col("settled"), F.col("row")).otherwise(F.col("digest"))).sortWithinPartitions("settled", "digest", F.asc_nulls_first("id"), "row", "at")
-    return ready.mapInArrow(run, "row long, id long, at long, first_id long")
+    return ready.select("row", "id", "at", "digest", "settled").mapInArrow(run, "row long, id long, at long")
 
 
 def _spans(repeats: DataFrame, min_chars: int) -> DataFrame:
     """Adjacent repeated chunks of a row become a span; short ones are left alone."""
 
     def run(batches):
-        now = None  # row, id, start, end, chunks, first_id
+        now = None  # row, id, start, end, chunks
         out: list[tuple] = []
 
         def close():
@@ -164,14 +167,14 @@ def _spans(repeats: DataFrame, min_chars: int) -> DataFrame:
                 out.append(now)
 
         for batch in batches:
-            for row, doc_id, at, first_id in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "at", "first_id"))):
+            for row, doc_id, at in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "at"))):
                 start, end = at >> 12, (at >> 12) + (at & 4095)
                 if now is not None and row == now[0] and start <= now[3]:
                     if end > now[3]:
-                        now = (*now[:3], end, now[4] + 1, now[5])
+                        now = (*now[:3], end, now[4] + 1)
                 else:
                     close()
-                    now = (row, doc_id, start, end, 1, first_id)
+                    now = (row, doc_id, start, end, 1)
             if out:
                 yield _span_batch(out)
                 out.clear()
@@ -182,11 +185,11 @@ def _spans(repeats: DataFrame, min_chars: int) -> DataFrame:
     return repeats.repartition("row").sortWithinPartitions("row", "at").mapInArrow(run, _SPAN)
 
 
-_SPAN = "row long, id long, start long, end long, n_chunks long, first_id long"
+_SPAN = "row long, id long, start long, end long, n_chunks long"
 
 
 def _span_batch(spans: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*spans)], names=["row", "id", "start", "end", "n_chunks", "first_id"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*spans)], names=["row", "id", "start", "end", "n_chunks"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -195,7 +198,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 100) -> DataFrame:
-    """``row`` (hash of id and text), ``id``, ``start``, ``end``, ``n_chunks``, ``first_id`` of each removed span."""
+    """``row`` (hash of id and text), ``id``, ``start``, ``end`` and ``n_chunks`` of each removed span."""
     bounded_batches(docs.sparkSession)
     return _spans(_repeats(_occurrences(_keyed(docs, id_col, text_col))), min_chars)
 
@@ -218,5 +221,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return spans.select(F.col("id").alias("doc_id"), "start", "end", "n_chunks", F.col("first_id").alias("first_doc_id")).distinct()
+    spans = repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.select(F.col("id").alias("doc_id"), "start", "end", "n_chunks").distinct()
