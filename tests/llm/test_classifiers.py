@@ -129,7 +129,7 @@ def test_ratios_match_brute_force_and_reject_junk(spark):
     documents, labels = corpus(300)
     docs = spark.createDataFrame(documents, SCHEMA)
     good = [i for i, q, _ in labels if q]
-    ratios = quality_rules.ratio_table(docs, good)
+    ratios = quality_rules.ratio_table(docs, spark.createDataFrame([(i,) for i in good], "id long"))
     from lexmill.llm.textkit import word_hashes
 
     raw, target = np.full(1 << 18, 0.5), np.full(1 << 18, 0.5)
@@ -143,7 +143,7 @@ def test_ratios_match_brute_force_and_reject_junk(spark):
     assert all(out[i].kept for i, q, _ in labels if q and out[i].n_words >= 50)
     assert not any(out[i].kept for i, q, _ in labels if not q)
     assert quality_rules.rule_verdicts(spark.createDataFrame(odd_documents(), SCHEMA), ratios).count() == len(odd_documents())
-    assert not quality_rules.ratio_table(spark.createDataFrame([], SCHEMA), []).any()
+    assert not quality_rules.ratio_table(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "id long")).any()
 
 
 def test_evident_strings_and_windows_match_plain_counting():
