@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .support import Shelf
+from .support import Shelf, table
 
 #: The sources' weights by their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -102,7 +102,7 @@ def mixed(
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixed(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 #: Fixed values as in ``mixed``: share 1.5, most 2, seed 17, 4096 buckets.

@@ -9,9 +9,14 @@ Plan
    fixed array of counters.  Equal sets are one class member from here on.
 2. *cells*: two sets this similar share one of their first ``n - ceil(0.8 n) + 1`` shingles in any
    common order.  Rare-first by the counters, so that a passage shared by a third of the corpus comes
-   last in every document.  Counters are noisy, so shingles that still stand among the first of
-   ``heavy_from`` sets or more are put behind all others, and the first ones are taken anew.  Sets that
-   share such a shingle, directly or through others, form a cell.
+   last in every document; beyond 2**15 they count on a logarithmic scale, so they keep telling frequent
+   shingles apart at any size.  Counters are noisy, so shingles that still stand among the first of
+   ``heavy_from`` sets or more, counted exactly by a shuffle, are put behind all others, and the first
+   ones are taken anew.  Any order gives the same links; a worse one makes larger cells.  Sets that share
+   such a shingle, directly or through others, form a cell.
+   The filters that go to the workers, of heavy shingles and of sets in cells, have 16 bits for each of
+   their members, up to 2**28 bits (32 MB).  Beyond that only the more frequent heavy shingles are marked,
+   and the other filter lets more sets through to an exact join.
 3. *signature trees*: in each cell, a tree over the sets whose nodes hold the OR of their members'
    token bitmaps, the size range and the largest in-set bit collision.  A dual traversal drops a pair
    of nodes when ``popcount(OR & OR)`` cannot reach the overlap that their sizes ask for, or when both
@@ -36,13 +41,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import counters
-from .support import Shelf, connected_components
+from .support import Shelf, connected_components, fresh, table
 from .textkit import SHINGLE_WORDS, set_digest, shingle_set, signed, text_bytes, word_hashes
 
 _MASK = np.uint64(counters.SIZE - 1)
 _FAN_OUT = 8
-_HEAVY_SIZE = 1 << 25
-_HEAVY_SHIFT = np.uint64(64 - 25)
+_LEAST_BITS, _MOST_BITS = 22, 28
+_EXACT = 1 << 15
+
+
+def rarity_ranks(counts: np.ndarray) -> np.ndarray:
+    """Counters as 16-bit ranks, never falling with the count: exact to 2**15, logarithmic beyond."""
+    far = _EXACT + 512 * np.log2(np.maximum(counts, _EXACT) / _EXACT)
+    return np.minimum(np.where(counts < _EXACT, counts, far), 2**16 - 1).astype(np.uint16)
+
+
+def _filter_bits(members: int) -> int:
+    return min(max((16 * members).bit_length(), _LEAST_BITS), _MOST_BITS)
+
+
+def _size(bits: np.ndarray) -> int:
+    """How many slots the packed bits have, a power of two."""
+    return 8 * len(bits)
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -85,6 +105,7 @@ def _prefixes(docs: DataFrame, text_col: str, words: int, percent: int, rarity,
 
     def run(batches):
         seen, rare, last = set(), rarity.value, heavy and heavy.value
+        shift = np.uint64(65 - _size(last).bit_length()) if last is not None else None
         for batch in batches:
             tokens, sizes, digests = [], [], []
             for text in text_bytes(batch.column(0)):
@@ -97,7 +118,7 @@ def _prefixes(docs: DataFrame, text_col: str, words: int, percent: int, rarity,
                 # by rarity, then by shingle: s is sorted, so its position breaks ties
                 rank = (rare[s & _MASK].astype(np.int64) << 32) | np.arange(len(s))
                 if last is not None:
-                    rank |= counters.has(last, s >> _HEAVY_SHIFT).astype(np.int64) << 62
+                    rank |= counters.has(last, s >> shift).astype(np.int64) << 62
                 first = s[np.partition(rank, p - 1)[:p] & 0x7FFFFFFF]
                 tokens.append(first)
                 sizes.append(np.full(len(first), len(s), np.int32))
@@ -143,11 +164,15 @@ def _sets(docs: DataFrame, text_col: str, words: int, wanted) -> DataFrame:
 
     def run(batches):
         seen, want = set(), wanted.value
+        last = _size(want) - 1
         for batch in batches:
             digests, raw = [], []
             for text in text_bytes(batch.column(0)):
                 s = shingle_set(word_hashes(text), words)
-                if not len(s) or not want[_slot(digest := set_digest(s)) >> 3] >> (7 - _slot(digest) % 8) & 1 or digest in seen:
+                if not len(s):
+                    continue
+                slot = (digest := set_digest(s)) & last
+                if not want[slot >> 3] >> (7 - slot % 8) & 1 or digest in seen:
                     continue
                 if len(seen) < 500_000:
                     seen.add(digest)
@@ -159,19 +184,24 @@ def _sets(docs: DataFrame, text_col: str, words: int, wanted) -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "digest long, shingles binary")
 
 
-def _slot(digest: int) -> int:
-    return digest & (counters.SIZE - 1)
-
-
-def _filter_of(nodes: DataFrame) -> np.ndarray:
-    """A fixed-size filter of the nodes' digests: false positives only cost a later join row."""
-    return counters.marked(nodes.select(F.col("node").bitwiseAND(F.lit(counters.SIZE - 1)).cast("int")), counters.SIZE)
+def _filter_of(nodes: DataFrame, members: int) -> np.ndarray:
+    """A filter of the nodes' digests: false positives only cost a later join row."""
+    size = 1 << _filter_bits(members)
+    return counters.marked(nodes.select(F.col("node").bitwiseAND(F.lit(size - 1)).cast("int")), size)
 
 
-def _heavy(prefixes: DataFrame, least: int) -> np.ndarray:
-    """A fixed-size filter of the tokens in ``least`` prefixes or more: any filter gives a valid order."""
+def _heavy(prefixes: DataFrame, least: int, shelf: Shelf) -> np.ndarray:
+    """A filter of the tokens in ``least`` prefixes or more; in twice as many, until they fit its bits."""
     many = prefixes.select("token").repartition("token").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return counters.marked(many.select(F.shiftrightunsigned("token", 64 - 25).cast("int")), _HEAVY_SIZE)
+    many = shelf.put(many, "heavy")
+    sizes = {r.power: r.tokens for r in many.groupBy(F.floor(F.log2(F.col("n") / least)).alias("power")).agg(F.count("*").alias("tokens")).collect()}
+    power = 0
+    while 4 * (tokens := sum(c for p, c in sizes.items() if p >= power)) > 1 << _MOST_BITS:
+        power += 1
+    bits = _filter_bits(tokens)
+    found = counters.marked(many.where(F.col("n") >= least << power).select(F.shiftrightunsigned("token", 64 - bits).cast("int")), 1 << bits)
+    shelf.drop("heavy")
+    return found
 
 
 class SignatureTree:
@@ -353,11 +383,11 @@ def jaccard_classes(
     shelf = Shelf(spark)
     both = shelf.put(profile(docs, id_col, text_col, words), "profile")
     rows = both.where("block is null").select("id", "th", "n", "digest")
-    rarity = spark.sparkContext.broadcast(np.minimum(counters.summed(both.where("block is not null").select("block", "salt", "counts")), 2**16 - 1).astype(np.uint16))
-    heavy = spark.sparkContext.broadcast(_heavy(_prefixes(docs, text_col, words, percent, rarity), heavy_from))
+    rarity = spark.sparkContext.broadcast(rarity_ranks(counters.summed(both.where("block is not null").select("block", "salt", "counts"))))
+    heavy = spark.sparkContext.broadcast(_heavy(_prefixes(docs, text_col, words, percent, rarity), heavy_from, shelf))
     cells = connected_components(spark, _cell_edges(_prefixes(docs, text_col, words, percent, rarity, heavy), percent), shelf, "cells_cc")
     nodes = shelf.put(cells.unionByName(cells.select(F.col("root").alias("node"), "root")).distinct(), "nodes")
-    wanted = spark.sparkContext.broadcast(_filter_of(nodes))
+    wanted = spark.sparkContext.broadcast(_filter_of(nodes, nodes.count()))
     sets = _sets(docs, text_col, words, wanted)
     members = nodes.select(F.col("node").alias("digest"), "root").join(rows.where("digest is not null").groupBy("digest").agg(F.first("n").cast("long").alias("n")), "digest")
     links = _links_of_cells(spark, shelf, members, sets, percent, cell_elements, every_link)
@@ -381,31 +411,35 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shelf = Shelf(docs.sparkSession)
     classes, _ = jaccard_classes(docs, id_col, text_col, **options)
     classes = shelf.put(classes.where("class is not null").select("id", "th", "class"), "one_of_each")
-    heads = classes.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("head"), F.count("*").alias("rows"))
-    several = classes.join(heads.where("rows > 1").select("class"), "class", "left_semi")
-    bits = docs.sparkSession.sparkContext.broadcast(counters.marked(several.select(F.col("th").bitwiseAND(F.lit(_HEAVY_SIZE - 1)).cast("int")), _HEAVY_SIZE))
-    named = docs.withColumn("_th", F.xxhash64(text_col))
+    # written, so that a class of many rows can be split in the join
+    heads = shelf.put(classes.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("head"), F.count("*").alias("rows")), "heads")
+    several = shelf.put(heads.where("rows > 1").select("class"), "several")
+    rows = classes.join(several, "class", "left_semi")
+    size = 1 << _filter_bits(heads.where("rows > 1").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+    bits = docs.sparkSession.sparkContext.broadcast(counters.marked(rows.select(F.col("th").bitwiseAND(F.lit(size - 1)).cast("int")), size))
+    th, h_id, h_th, turn = (fresh(docs, name) for name in ("_th", "_head_id", "_head_th", "_turn"))
+    named = docs.withColumn(th, F.xxhash64(text_col))
     at = len(docs.columns)
 
     def part(marked: int) -> DataFrame:
         def run(batches):
             for batch in batches:
-                slots = batch.column(at).to_numpy(zero_copy_only=False) & (_HEAVY_SIZE - 1)
+                slots = batch.column(at).to_numpy(zero_copy_only=False) & (size - 1)
                 yield batch.filter(pa.array(counters.has(bits.value, slots) == marked))
 
         return named.mapInArrow(run, named.schema)
 
     own = part(1)
     empty = F.col(text_col).isNull() | ~F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]"))
-    heads = heads.select(F.col("head.id").alias("_id"), F.col("head.th").alias("_th"))
-    head = own.where(~empty).alias("d").join(heads.alias("h"), (F.col("d._th") == F.col("h._th")) & F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("h._id")), "left_semi")
+    heads = heads.select(F.col("head.id").alias(h_id), F.col("head.th").alias(h_th))
+    head = own.where(~empty).join(heads, (F.col(th) == F.col(h_th)) & F.col(id_col).cast("long").eqNullSafe(F.col(h_id)), "left_semi")
     # equal rows are one
-    head = head.withColumn("_n", F.row_number().over(W.partitionBy("_th", id_col).orderBy(F.lit(1)))).where("_n = 1").drop("_n")
-    return part(0).unionByName(own.where(empty)).unionByName(head).select(docs.columns)
+    head = head.withColumn(turn, F.row_number().over(W.partitionBy(th, id_col).orderBy(F.lit(1)))).where(F.col(turn) == 1).drop(turn)
+    return part(0).unionByName(own.where(empty)).unionByName(head).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     classes, _ = jaccard_classes(docs)
     return classes.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 

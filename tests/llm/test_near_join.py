@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from cases import SCHEMA, odd_documents, prose, rows
 from lexmill.llm import near_join
 
@@ -99,3 +102,19 @@ def test_clashing_columns_are_carried(spark):
 
 def test_empty_table(spark):
     assert classes(spark, []) == []
+
+
+def test_ranks_never_fall_and_filters_follow_their_members():
+    counts = np.r_[np.arange(100), 2 ** np.arange(7, 62, dtype=np.int64)]
+    ranks = near_join.rarity_ranks(counts).astype(int)
+    assert (np.diff(ranks) > 0).all() and ranks[99] == 99
+    assert [near_join._filter_bits(n) for n in (0, 10, 1 << 20, 1 << 40)] == [22, 22, 25, 28]
+
+
+def test_one_of_each_bears_clashing_columns(spark):
+    base = prose(1, 60)
+    docs = spark.createDataFrame(rows([base, base, prose(2, 40), None, ""]), SCHEMA)
+    for c in ("_th", "th", "class", "_n", "head", "_head_id", "rows", "id"):
+        docs = docs.withColumn(c, F.lit(1))
+    out = near_join.one_of_each(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 2, 3, 4]
