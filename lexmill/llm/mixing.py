@@ -35,7 +35,7 @@ _MARKUP = "0123456789#*$%&|<>{}[]_=~^\\"
 _MOST_BROADCAST_SOURCES = 50_000
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, buckets: int) -> DataFrame:
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, buckets: int, carry: list[str]) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
     sized = docs.select(
@@ -44,9 +44,10 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         (F.length(F.translate(text, _MARKUP, "")) / F.greatest(F.length(text), F.lit(1)) + 0.25).alias("w"),
         u.alias("u"),
+        *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []),
     )
     key = -F.log("u") / F.col("w")
-    return sized.select("id", "source", "size", key.alias("key"), F.floor((1 - F.exp(-key)) * buckets).cast("int").alias("bucket"))
+    return sized.select("id", "source", "size", key.alias("key"), F.floor((1 - F.exp(-key)) * buckets).cast("int").alias("bucket"), *(["row"] if carry else []))
 
 
 def _targets(sources: DataFrame, share: float, most: float) -> DataFrame:
@@ -74,11 +75,15 @@ def mixed(
     most: float = 2.0,
     seed: int = 17,
     buckets: int = 4096,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``id``, ``source``, ``size``, ``source_size``, ``target``, ``times`` and ``taken`` for each row."""
+    """``id``, ``source``, ``size``, ``source_size``, ``target``, ``times`` and ``taken`` for each row.
+
+    ``carry`` names columns to keep beside them, as a struct ``row``.
+    """
     spark = docs.sparkSession
     shelf = Shelf(spark)
-    sized = shelf.put(_sized(docs, id_col, text_col, source_col, seed, buckets), "sized")
+    sized = shelf.put(_sized(docs, id_col, text_col, source_col, seed, buckets, carry or []), "sized")
     sums = shelf.put(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "sums")
     targets = _targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), share, most)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -98,7 +103,7 @@ def mixed(
     ending = rows.where("bucket = end_bucket").withColumn("to", F.sum("size").over(in_order))
     ending = ending.withColumn("drawn", F.col("before") + F.col("to") - F.col("size") / 2 <= F.col("budget")).drop("to")
     times = F.col("epochs") + F.col("drawn").cast("long")
-    return clear.unionByName(ending).select("id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    return clear.unionByName(ending).select("id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), *(["row"] if carry else []))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
