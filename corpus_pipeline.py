@@ -4,7 +4,7 @@
 2. near_join: of each class of near-duplicates, the document with the smallest id stays.
 3. decontaminate: documents that contain a benchmark item go.
 4. pii: personal data and the terms that disclose it are replaced in the texts.
-5. mix: how much of each document the mix of sources takes.
+5. mix: each document as it is now, how often and how many of its words the mix of sources takes.
 
 Each stage is written as Parquet and read again, so a lost executor costs no earlier stage.  Nulls,
 empty texts, repeated rows and empty tables are treated as the operators' modules say; columns beyond
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import decontaminate, mixing, near_join, pii, toxicity
-from lexmill.llm.support import Shelf, table
+from lexmill.llm.support import Shelf, fresh, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs).select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
+    mixed = mixing.mixed(docs, carry=docs.columns)
+    return mixed.select("row.*", *(F.col(c).alias(fresh(docs, c)) for c in ("size", "source_size", "target", "times", "taken")))
 
 
 STAGES = [
