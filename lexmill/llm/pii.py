@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import Shelf, fresh, running_sums, table
+from .support import Shelf, fresh, let, running_sums, table
 
 #: The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -55,8 +55,8 @@ def _found(text: Column, pattern: str) -> Column:
 def _matches(found: Column, gaps: Column) -> Column:
     """array of (start, value): each match and its offset, from what lies between the matches."""
     both = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("left"))
-    starts = running_sums(F.transform(both, lambda x: F.length(x["left"]) + F.length(x["m"])))
-    return F.zip_with(both, starts, lambda x, at: F.struct((at + F.length(x["left"])).alias("start"), x["m"].alias("value")))
+    starts = lambda pairs: running_sums(F.transform(pairs, lambda x: F.length(x["left"]) + F.length(x["m"])))
+    return let(both, lambda pairs: F.zip_with(pairs, starts(pairs), lambda x, at: F.struct((at + F.length(x["left"])).alias("start"), x["m"].alias("value"))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -126,7 +126,7 @@ def _terms(matches: Column, emails: Column) -> Column:
 class Sanitiser:
     """Spans of a corpus; each table is computed once and kept in the shared folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, remove_at: float = 0.95, evidence: float = 10.0, broadcast_rows: int = 200_000):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, remove_at: float = 0.95, evidence: float = 10.0, broadcast_rows: int = 50_000):
         self.docs, self.id_col, self.text_col = docs, id_col, text_col
         self.threshold, self.remove_at, self.evidence, self.broadcast_rows = threshold, remove_at, evidence, broadcast_rows
         self.shelf = Shelf(docs.sparkSession)
@@ -234,9 +234,9 @@ class Sanitiser:
 
 def _extra(terms: Column) -> Column:
     """The spans of a text's terms that are among its ``hits``."""
-    of = lambda t: F.filter("hits", lambda h: h["term"] == t["term"])
-    spans = F.transform(F.filter(terms, lambda t: F.size(of(t)) > 0), lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end"), F.get(of(t), F.lit(0))["removed"].alias("removed")))
-    return spans.cast(_EXTRA)
+    span = lambda t, h: F.when(h.isNotNull(), F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end"), h["removed"].alias("removed")))
+    spans = F.transform(terms, lambda t: let(F.get(F.filter("hits", lambda h: h["term"] == t["term"]), F.lit(0)), lambda h: span(t, h)))
+    return F.filter(spans, lambda s: s.isNotNull()).cast(_EXTRA)
 
 
 def written(spans: Column) -> Column:

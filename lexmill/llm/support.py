@@ -78,16 +78,24 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running_sums(lengths: Column) -> Column:
     """Sums of all earlier elements; two levels, so that long arrays stay cheap."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _SUMMED).cast("int")), lambda b: F.slice(lengths, b * _SUMMED + 1, F.lit(_SUMMED)))
 
     def before(values: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
         return F.aggregate(values, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
 
-    offsets = before(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)))
-    return F.when(F.size(lengths) > 0, F.flatten(F.zip_with(blocks, offsets, lambda b, o: F.transform(before(b), lambda x: x + o)))).otherwise(F.array().cast("array<int>"))
+    def joined(blocks: Column) -> Column:
+        offsets = before(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)))
+        return F.flatten(F.zip_with(blocks, offsets, lambda b, o: F.transform(before(b), lambda x: x + o)))
+
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _SUMMED).cast("int")), lambda b: F.slice(all_, b * _SUMMED + 1, F.lit(_SUMMED)))
+    return let(lengths, lambda all_: F.when(F.size(all_) > 0, let(cut(all_), joined)).otherwise(F.array().cast("array<int>")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
