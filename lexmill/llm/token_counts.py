@@ -5,8 +5,8 @@ the sum over its pre-tokens of frequency times pieces.
 
 1. The distinct pre-tokens of the corpus and how often they occur; a task sends each of its own once.
 2. Pieces are counted once per distinct pre-token; this is the only place where the model runs.
-3. Per document, pre-token frequencies are joined to the pieces.  The ``hot`` most frequent ones, and
-   the ``hot_long`` most frequent ones of over 64 bytes (those by their digest, whatever their length),
+3. Per document, pre-token frequencies are joined to the pieces.  Up to ``hot`` most frequent ones, and
+   up to ``hot_long`` most frequent ones of over 64 bytes (those by their digest, whatever their length),
    are joined in the worker; the others become (document, pre-token, frequency) rows and meet the table
    of pieces in a shuffle join.  Both give exact sums, ids are never made.
 
@@ -136,16 +136,28 @@ def _per_document(docs: DataFrame, path: str, hot) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _most_frequent(pieces: DataFrame, most: int) -> DataFrame:
+    """The rows of highest ``f``, at most ``most``: whole classes of frequency, so nothing is sorted and a task sends only those."""
+    classes = pieces.groupBy(F.floor(8 * F.log2("f")).alias("class")).agg(F.count("*").alias("rows"), F.min("f").alias("f"))
+    taken, least = 0, None
+    for found in sorted(classes.collect(), key=lambda c: -c["f"]):
+        taken += found["rows"]
+        if taken > most:
+            break
+        least = found["f"]
+    return pieces.where(F.lit(False) if least is None else F.col("f") >= least)
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", hot: int = 100_000, hot_long: int = 10_000) -> DataFrame:
     """``id``, ``n_bytes`` and ``n_tokens`` for each row of ``docs``."""
     spark = docs.sparkSession
     shelf = Shelf(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     pieces = shelf.put(_with_pieces(_distinct(docs.select("text"), tokenizer_path), tokenizer_path), "pieces")
-    frequent = pieces.where(F.octet_length("piece") <= _HOT_BYTES).orderBy(F.desc("f"), "piece").select("piece", "n").limit(hot)
-    long = pieces.where(F.octet_length("piece") > _HOT_BYTES).groupBy(F.unhex(F.md5(F.col("piece").cast("binary"))).alias("digest")).agg(F.max("f").alias("f"), F.max("n").alias("n"))
-    long = long.orderBy(F.desc("f"), "digest").limit(hot_long)
-    known = spark.sparkContext.broadcast(({r.piece: r.n for r in frequent.collect()}, {bytes(r.digest): r.n for r in long.collect()}))
+    long = F.octet_length("piece") > _HOT_BYTES
+    frequent = _most_frequent(pieces.where(~long), hot).select("piece", "n").collect()
+    digests = _most_frequent(pieces.where(long), hot_long).select(F.unhex(F.md5(F.col("piece").cast("binary"))).alias("digest"), "n").collect()
+    known = spark.sparkContext.broadcast(({r.piece: r.n for r in frequent}, {bytes(r.digest): r.n for r in digests}))
     counted = shelf.put(_per_document(docs, tokenizer_path, known), "counted")
     cold = counted.select("row", F.inline("cold")).join(pieces.select("piece", "n"), "piece").groupBy("row").agg(F.sum(F.col("f") * F.col("n")).alias("n_cold"))
     return counted.select("row", "id", "n_bytes", "n_hot").join(cold, "row", "left").select("id", "n_bytes", (F.col("n_hot") + F.coalesce("n_cold", F.lit(0))).alias("n_tokens"))
