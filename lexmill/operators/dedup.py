@@ -15,15 +15,14 @@ def text_hash(text: str = "text") -> Column:
     return F.md5(F.col(text).cast("binary"))
 
 
-def _firsts(df: DataFrame, text: str, ordinal: str) -> DataFrame:
-    """(hash, ordinal) of the first row of each text: a partial aggregate, so copies never meet as rows."""
-    return df.groupBy(text_hash(text).alias("_h")).agg(F.min(ordinal).alias("_first"))
-
-
 def keep_first(df: DataFrame, text: str = "text", ordinal: str = "ordinal") -> DataFrame:
-    """The first row by ordinal (which is unique) of each text."""
-    firsts = _firsts(df, text, ordinal).select(F.col("_first").alias(ordinal))
-    return df.join(firsts, ordinal, "left_semi")
+    """The first row by ordinal of each text; null ordinals come last, null texts count as one text.
+
+    A rank limit runs before the shuffle, so a task sends one row of a text however many copies it holds,
+    and ``df`` is computed once.
+    """
+    first = W.partitionBy("_h").orderBy(F.col(ordinal).asc_nulls_last())
+    return df.withColumn("_h", text_hash(text)).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_h", "_n")
 
 
 def unseen(df: DataFrame, seen: DataFrame, text: str = "text", ordinal: str = "ordinal") -> DataFrame:

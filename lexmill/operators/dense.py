@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,26 @@ Encoder = Callable[[list[str]], np.ndarray]
 _QUERY_BLOCK = 2048
 
 
+def sentence_encoder(model: str, device: str | None = None, batch_size: int = 32) -> Encoder:
+    """A sentence-transformers model, loaded once in each Python worker; fails at once where the library is missing."""
+    from importlib.util import find_spec
+
+    if find_spec("sentence_transformers") is None:
+        raise ImportError("sentence_encoder needs sentence-transformers")
+
+    def run(texts: list[str]) -> np.ndarray:
+        return np.asarray(_loaded(model, device).encode(texts, batch_size=batch_size, show_progress_bar=False), np.float32)
+
+    return run
+
+
+@functools.lru_cache(1)
+def _loaded(model: str, device: str | None):
+    from sentence_transformers import SentenceTransformer
+
+    return SentenceTransformer(model, device=device)
+
+
 def hashed_encoder(texts: list[str], dimensions: int = 256) -> np.ndarray:
     """The offline default: hashed character trigram counts."""
     import zlib
@@ -49,7 +70,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     ids, vectors = [], []
-    for row in queries.select("query", "embedding").toLocalIterator():
+    for row in queries.select("query", "embedding").where("embedding is not null").toLocalIterator():
         ids.append(row.query)
         vectors.append(row.embedding)
         if len(ids) == _QUERY_BLOCK:
@@ -106,7 +127,7 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, digits: int, centroi
             if docs is not None and (kept := scores > -np.inf).any():
                 yield pa.RecordBatch.from_pydict({"query": pa.array([ids[i] for i in kept.nonzero()[0]]), "doc": pa.array(docs[kept].tolist()), "score": pa.array(scores[kept])})
 
-        part = vectors.select("doc", "embedding").mapInArrow(best, f"query {kinds[1]}, doc {kinds[0]}, score double")
+        part = vectors.select("doc", "embedding").where("embedding is not null").mapInArrow(best, f"query {kinds[1]}, doc {kinds[0]}, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], f"query {kinds[1]}, doc {kinds[0]}, score double, rank int")
@@ -117,6 +138,7 @@ def search_flat(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int
     """Exact inner-product top-k.
 
     vectors: ``doc``, ``embedding``; queries: ``query``, ``embedding``, searched in blocks of a bounded size.
+    Rows without an embedding find nothing and aren't found.
     A task multiplies its batches and keeps k rows a query, so what is shuffled doesn't grow with the
     vectors it has read.
     """
@@ -124,7 +146,7 @@ def search_flat(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int
 
 
 def _sample(vectors: DataFrame, most: int) -> np.ndarray:
-    rows = vectors.orderBy(F.xxhash64("doc"), "doc").limit(most).select("embedding").collect()
+    rows = vectors.where("embedding is not null").orderBy(F.xxhash64("doc"), "doc").limit(most).select("embedding").collect()
     return np.array([r.embedding for r in rows], np.float64)
 
 
@@ -171,7 +193,7 @@ def assign_lists(vectors: DataFrame, centroids: np.ndarray, probes: int = 1, col
                 at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=[column, "embedding", "list_id"])
 
-    return vectors.select(column, "embedding").mapInArrow(run, f"{column} {kind}, embedding array<float>, list_id int")
+    return vectors.select(column, "embedding").where("embedding is not null").mapInArrow(run, f"{column} {kind}, embedding array<float>, list_id int")
 
 
 def list_count(n: int, most: int = 100) -> int:
@@ -183,7 +205,7 @@ def search_ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, nlist: int =
 
     With ``recall``, more lists are probed where a sample of the vectors needs them to reach it.
     """
-    centroids = train_lists(vectors, list_count(vectors.count(), nlist))
+    centroids = train_lists(vectors, list_count(vectors.where("embedding is not null").count(), nlist))
     if recall is not None:
         nprobe = max(nprobe, probes_for(vectors, centroids, recall, k))
     return _search(vectors, queries, k, digits, centroids, nprobe)

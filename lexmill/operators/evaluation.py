@@ -35,6 +35,16 @@ class Evaluation:
     def per_query(self) -> DataFrame:
         return metrics.per_query(self.runs, self.gold, self.k).select("retriever", "query", "rr", "recall", "precision", "ndcg")
 
+    def retrieved(self) -> DataFrame:
+        """(retriever, query, question, gold_ids, retrieved): what each query found, best first."""
+        found = F.sort_array(F.collect_list(F.struct("rank", F.col("doc").cast("string").alias("chunk_id"), "score"))).alias("retrieved")
+        gold = self.gold.groupBy("query").agg(F.sort_array(F.collect_set(F.col("doc").cast("string"))).alias("gold_ids"))
+        names = F.array(*(F.lit(r.retriever) for r in self.runs.select("retriever").distinct().collect())).cast("array<string>")
+        asked = self.queries.select("query", F.col("text").alias("question")).join(gold, "query", "left").withColumn("retriever", F.explode(names))
+        runs = self.runs.where(F.col("rank") <= self.k).groupBy("retriever", "query").agg(found)
+        empty = F.array().cast("array<struct<rank:int,chunk_id:string,score:double>>")
+        return asked.join(runs, ["retriever", "query"], "left").select("retriever", "query", "question", F.coalesce("gold_ids", F.array().cast("array<string>")).alias("gold_ids"), F.coalesce("retrieved", empty).alias("retrieved"))
+
     def run_of(self, retriever: str) -> DataFrame:
         return self.runs.where(F.col("retriever") == retriever).drop("retriever")
 

@@ -105,9 +105,10 @@ class CharBM25(_Bm25):
 
 
 class Dense(Retriever):
-    def __init__(self, encoder: dense.Encoder = dense.hashed_encoder, model: str = "hashed-trigrams", normalize: bool = True, index_type: str = "flat", nlist: int = 100, nprobe: int = 10, name: str = "dense"):
+    def __init__(self, encoder: dense.Encoder = dense.hashed_encoder, model: str | None = None, normalize: bool = True, index_type: str = "flat", nlist: int = 100, nprobe: int = 10, name: str = "dense"):
         super().__init__(name)
-        self.encoder, self.model, self.normalize, self.index_type, self.nlist, self.nprobe = encoder, model, normalize, index_type, nlist, nprobe
+        own = "hashed-trigrams" if encoder is dense.hashed_encoder else None  # the default has its name, whatever is configured
+        self.encoder, self.model, self.normalize, self.index_type, self.nlist, self.nprobe = encoder, own or model or name, normalize, index_type, nlist, nprobe
         self.vectors: DataFrame | None = None
 
     def _build(self) -> None:
@@ -166,7 +167,7 @@ class Hybrid(Retriever):
         return fusion.fuse(runs, self.method, k, self.rrf_k, self.weights).select("query", "doc", "score", "rank")
 
 
-def build(sparse_only: bool = False, encoder: dense.Encoder = dense.hashed_encoder, model: str = "hashed-trigrams", ngram_range: tuple[int, int] = (2, 4), k1: float = 1.5, b: float = 0.75, method: str = "rrf", rrf_k: int = 60, weights: list[float] | None = None, **vectors) -> Retriever:
+def build(sparse_only: bool = False, encoder: dense.Encoder = dense.hashed_encoder, model: str | None = None, ngram_range: tuple[int, int] = (2, 4), k1: float = 1.5, b: float = 0.75, method: str = "rrf", rrf_k: int = 60, weights: list[float] | None = None, **vectors) -> Retriever:
     """Character BM25 alone, or fused with dense search (``encoder`` is the fine-tuned one where there is one)."""
     char = CharBM25(ngram_range, k1, b)
     if sparse_only:

@@ -133,4 +133,9 @@ long_metrics as (
 
 BOTH = "both_runs as (select 'word_bm25' as retriever, query, doc, rank from word_run union all select 'char_bm25', query, doc, rank from char_run)"
 TEN = f"with {BASE}, {word_run(10)}, {char_run(10)}, {GOLD}, {BOTH}, {metrics('both_runs')}"
+CHAR_DENSE = f"""with {BASE}, {char_run(50)},
+dense_scores as (select a.vec_id as query, b.vec_id as doc, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as score
+                 from embeddings a, embeddings b where a.vec_id in (select query from q) and b.vec_id in (select doc from d)),
+dense_run as (select query, doc, score, row_number() over (partition by query order by score desc, doc) as rank from dense_scores qualify rank <= 50),
+fetched as (select 0 as sys, 'char_bm25' as name, * from char_run union all select 1, 'dense', * from dense_run)"""
 FIFTY = f"with {BASE}, {word_run(50)}, {char_run(50)}, fetched as (select 0 as sys, 'char_bm25' as name, * from char_run union all select 1, 'word_bm25', * from word_run)"

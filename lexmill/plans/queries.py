@@ -261,15 +261,17 @@ def dense_label_precision(spark, sf):
 
 _RRF = "f as (select query, doc, round(sum(1.0::double / (60 + rank)), 8) as score, min((sys, rank)) as seen from fetched group by query, doc), fused as (select query, doc, score, row_number() over (partition by query order by score desc, seen, doc) as rank from f qualify rank <= 10)"
 
+_SCALED = """r as (select *, min(score) over (partition by query, sys) as low, max(score) over (partition by query, sys) as high from fetched),
+f as (select query, doc, round(sum(case sys when 0 then 0.7 else 0.3 end * (score - low) / case when high > low then high - low else 1 end), 8) as score, min((sys, rank)) as seen from r group by query, doc)
+select query, doc, score, (row_number() over (partition by query order by score desc, seen, doc))::int as rank from f qualify rank <= 10"""
+
 
 @query(f"{O.FIFTY}, {_RRF} select query, doc, score, rank::int as rank from fused")
 def rrf_fusion(spark, sf):
     return fusion.rrf(_fetched(spark, sf)).drop("sources")
 
 
-@query(f"""{O.FIFTY}, r as (select *, min(score) over (partition by query, sys) as low, max(score) over (partition by query, sys) as high from fetched),
-f as (select query, doc, round(sum(case sys when 0 then 0.7 else 0.3 end * (score - low) / case when high > low then high - low else 1 end), 8) as score, min((sys, rank)) as seen from r group by query, doc)
-select query, doc, score, (row_number() over (partition by query order by score desc, seen, doc))::int as rank from f qualify rank <= 10""")
+@query(f"{O.FIFTY}, {_SCALED}")
 def weighted_fusion(spark, sf):
     return fusion.weighted(_fetched(spark, sf), weights=[0.7, 0.3])
 
@@ -279,6 +281,23 @@ def rrf_source_ranks(spark, sf):
     return fusion.rrf(_fetched(spark, sf)).select("query", "doc", F.col("sources")["char_bm25"].alias("char_rank"), F.col("sources")["word_bm25"].alias("word_rank"))
 
 
+def _char_and_dense(spark, sf) -> dict[str, DataFrame]:
+    """Both runs of the items over the documents; an item and a document have the vector of their id, if any."""
+    vectors, depth = _table(spark, sf, "embeddings").select("vec_id", "embedding"), fusion.fetch_depth(10)
+    of = lambda rows, key: vectors.withColumnRenamed("vec_id", key).join(rows.select(key), key, "left_semi")
+    return {"char_bm25": _char_run(spark, sf, depth), "dense": dense.search_flat(of(_docs(spark, sf), "doc"), of(_items(spark, sf), "query"), depth)}
+
+
+@query(f"{O.CHAR_DENSE}, {_RRF} select query, doc, score, rank::int as rank from fused")
+def hybrid_rrf(spark, sf):
+    return fusion.rrf(_char_and_dense(spark, sf)).drop("sources")
+
+
+@query(f"{O.CHAR_DENSE}, {_SCALED}")
+def hybrid_weighted(spark, sf):
+    return fusion.weighted(_char_and_dense(spark, sf), weights=[0.7, 0.3])
+
+
 @query(f"{O.FIFTY}, c as (select unnest([10, 30, 60, 100]) as rrf_k), f as (select rrf_k, query, doc, round(sum(1.0::double / (rrf_k + rank)), 8) as score, min((sys, rank)) as seen from fetched, c group by all) select rrf_k, query, doc, score, (row_number() over (partition by rrf_k, query order by score desc, seen, doc))::int as rank from f qualify rank <= 10")
 def rrf_k_sweep(spark, sf):
     return fusion.rrf_sweep(_fetched(spark, sf), [10, 30, 60, 100])

@@ -88,7 +88,7 @@ def evaluate_all(spark: SparkSession, cfg: Config, log: RunLog | None = None, k:
     totals = done.metrics().persist()
     reports.aggregate_csv(totals, names, f"{out}/aggregate_results")
     if cfg.evaluation.save_per_query:
-        reports.details_json(done.per_query(), f"{out}/detailed_results")
+        reports.details_json(done.per_query(), f"{out}/detailed_results", totals, done.retrieved(), k)
     if cfg.evaluation.error_analysis and len(made) > 2:
         best_dense = "dense_finetuned" if "dense_finetuned" in made else "dense_zeroshot"
         reports.error_files(*done.errors("char_ngram_bm25", best_dense), f"{out}/error_analysis")
@@ -100,11 +100,11 @@ def evaluate_all(spark: SparkSession, cfg: Config, log: RunLog | None = None, k:
     return done
 
 
-def answer(spark: SparkSession, cfg: Config, texts: DataFrame, llm: rag.LLM | None = None, sparse_only: bool = False, encoder: dense.Encoder = dense.hashed_encoder) -> DataFrame:
-    """Responses for ``texts`` (query, text), 50 at most; without a model, what was retrieved."""
+def answer(spark: SparkSession, cfg: Config, texts: DataFrame, llm: rag.LLM | None = None, sparse_only: bool = False, encoder: dense.Encoder = dense.hashed_encoder, k: int | None = None) -> DataFrame:
+    """Responses for ``texts`` (query, text), 50 at most; without a model, what was retrieved (``k`` sources, or as configured)."""
     g, s, h = cfg.generation, cfg.sparse, cfg.hybrid
     found = build(sparse_only, encoder, cfg.dense.model_name, s.ngram_range, s.bm25_k1, s.bm25_b, h.method, h.rrf_k).index(load_chunks(spark, cfg))
-    generator = rag.Generator(found, llm, g.prompt_template, g.top_k_context)
+    generator = rag.Generator(found, llm, g.prompt_template, k or g.top_k_context)
     queries = rag.first_queries(texts)
     if llm is not None:
         return generator.generate(queries)
@@ -118,6 +118,7 @@ def assets(spark: SparkSession, cfg: Config) -> None:
         path = f"{cfg.evaluation.results_dir}/{name}"
         if files.exists(spark, path):
             wide = reports.read_results(spark, path)
+            reports.write_results(wide, f"{cfg.paper_assets.tables_dir}/{name}_csv")
             names = wide.columns[1:]
             stacked = ", ".join(f"'{n}', `{n}`" for n in names)
             long = wide.select(F.col("System").alias("retriever"), F.expr(f"stack({len(names)}, {stacked}) as (metric, value)"))

@@ -15,9 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import numbered
+from ..runlog import logger
 from ..schemas import DOCUMENT
 
 _STEM = r"([^/]*?)(?:\.[^./]*)?$"
+_SPLIT = 4 << 20
 _FILE_STEP = 1 << 32  # positions below one file in ``ordinal``
 
 
@@ -60,6 +62,23 @@ def _whole(spark: SparkSession, files: list[str]) -> DataFrame:
     return df.join(F.broadcast(order) if len(files) <= 100_000 else order, "path")
 
 
+def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(path, file ordinal, line number from 0, line); a line ends in any newline.
+
+    A large file is read in splits.  Lines are numbered within their split; a split's offset is the sum of
+    the line counts of the file's earlier splits, one small row each.
+    """
+    at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    rows = spark.read.text(files).select(*at, F.col("value").alias("line"))
+    splits = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    earlier = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("path", "block", (F.dense_rank().over(W.orderBy("path")) - 1).alias("file"), (earlier - F.col("first")).alias("shift"))
+    # a split has 4 MB (the cost of opening a file) or its file's rest, so their number is known to be small
+    size = int(rows._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    splits = F.broadcast(splits) if len(files) + size // _SPLIT <= 100_000 else splits
+    return rows.join(splits, ["path", "block"]).select("path", "file", (F.col("at") + F.col("shift")).cast("int").alias("i"), "line")
+
+
 def _stem() -> Column:
     return F.regexp_extract(F.col("path"), _STEM, 1)
 
@@ -70,7 +89,10 @@ def _document(doc_id: Column, position: Column, text: Column, metadata: Column)
 
 
 def read_txt(spark: SparkSession, files: list[str]) -> DataFrame:
-    """A document for each paragraph; numbers count the paragraphs that aren't empty."""
+    """A document for each paragraph; numbers count the paragraphs that aren't empty.
+
+    Paragraphs span lines, so a file is read whole: by one task, and up to 2 GB.
+    """
     trimmed = lambda p: F.regexp_replace(p, r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$", "")
     paragraphs = F.filter(F.transform(F.split("text", r"\n\s*\n"), trimmed), lambda p: p != "")
     df = _whole(spark, files).select("path", "file", F.posexplode(paragraphs).alias("i", "text"))
@@ -83,7 +105,7 @@ def numbered_plain(stem: Column, number: Column) -> Column:
 
 def read_jsonl(spark: SparkSession, files: list[str]) -> DataFrame:
     """A document for each JSON line; numbers count all lines, blank ones too."""
-    lines = _whole(spark, files).select("path", "file", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.trim("line") != "")
+    lines = _lines(spark, files).where(F.trim("line") != "")
     record = lines.withColumn("r", F.from_json("line", "text string, metadata map<string,string>", {"mode": "FAILFAST"}))
     text = F.coalesce(F.col("r.text"), F.raise_error(F.concat(F.lit("no text at "), F.col("path"), F.lit(":"), (F.col("i") + 1).cast("string"))))
     return record.select(*_document(numbered_plain(_stem(), F.col("i")), F.col("i"), text, F.coalesce("r.metadata", F.create_map().cast("map<string,string>"))))
@@ -120,8 +142,10 @@ _READERS = {".txt": read_txt, ".jsonl": read_jsonl, ".pdf": read_pdf}
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a file or of all files under a folder; other suffixes are left out."""
+    """Documents of a file or of all files under a folder; other suffixes are left out with a warning."""
     files, docs = _files(spark, path), None
+    if odd := [f for f in files if not re.search(r"\.(txt|jsonl|pdf)$", f, re.IGNORECASE)]:
+        logger("lexmill").warning("%d files of other kinds left out, the first is %s", len(odd), odd[0])
     for suffix, read in _READERS.items():
         if own := [f for f in files if re.search(rf"{re.escape(suffix)}$", f, re.IGNORECASE)]:
             part = read(spark, own)
@@ -131,7 +155,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def load_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a JSON-lines file; a bad line fails and names path and line."""
-    lines = _whole(spark, _files(spark, path)).select("path", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.trim("line") != "")
+    lines = _lines(spark, _files(spark, path)).where(F.trim("line") != "")
     record = F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     bad = F.try_parse_json("line").isNull()
     where = F.concat(F.lit("bad JSON at "), F.col("path"), F.lit(":"), (F.col("i") + 1).cast("string"))
@@ -167,7 +191,7 @@ def save_text(df: DataFrame, path: str) -> None:
 
 def load_tsv(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, cells): lines are stripped before they are split, so empty cells at the end are lost."""
-    lines = _whole(spark, _files(spark, path)).select("file", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = _lines(spark, _files(spark, path))
     line = F.regexp_replace("line", r"^\s+|\s+$", "")
     return lines.select((F.col("file").cast("long") * _FILE_STEP + F.col("i")).alias("ordinal"), line.alias("line")).where("line <> ''").select("ordinal", F.split("line", "\t").alias("cells"))
 

@@ -24,9 +24,20 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col(f"`{first}`").alias("System"), *(F.col(f"`{c}`").cast("double").alias(c) for c in rest))
 
 
-def details_json(per_query: DataFrame, path: str) -> None:
-    row = F.struct("query", "rr", "recall", "precision", "ndcg")
-    per_query.groupBy("retriever").agg(F.sort_array(F.collect_list(row)).alias("per_query_metrics")).write.mode("overwrite").json(path)
+def write_results(wide: DataFrame, path: str) -> None:
+    """Results with the first column named System, as one CSV."""
+    wide.coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def details_json(per_query: DataFrame, path: str, totals: DataFrame | None = None, retrieved: DataFrame | None = None, k: int = 10) -> None:
+    """A record for each retriever: top_k, its metrics, those of each query and, if given, what each query found."""
+    gathered = lambda df, row, name: df.groupBy("retriever").agg(F.sort_array(F.collect_list(row)).alias(name))
+    out = gathered(per_query, F.struct("query", "rr", "recall", "precision", "ndcg"), "per_query_metrics").withColumn("top_k", F.lit(k))
+    if totals is not None:
+        out = out.join(gathered(totals, F.struct("metric", "value"), "m").select("retriever", F.map_from_entries("m").alias("aggregate_metrics")), "retriever", "left")
+    if retrieved is not None:
+        out = out.join(gathered(retrieved, F.struct("query", "question", "gold_ids", "retrieved"), "per_query_details"), "retriever", "left")
+    out.write.mode("overwrite").json(path)
 
 
 def error_files(cases: DataFrame, summary: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
-from ..operators.dedup import text_hash
+from ..operators.dedup import keep_first, text_hash
 
 
 def cleaned_stream(docs: DataFrame, least: int = 20, event_time: str | None = None, delay: str = "1 day", **cleaning) -> DataFrame:
@@ -21,17 +21,21 @@ def cleaned_stream(docs: DataFrame, least: int = 20, event_time: str | None = No
     return kept.dropDuplicates(["h"])
 
 
-def remember(batch: DataFrame, seen_path: str, out_path: str, ordinal: str = "ordinal") -> None:
-    """For foreachBatch: writes a batch's unseen texts and adds their hashes to the seen table."""
+def remember(batch: DataFrame, batch_id: int, seen_path: str, out_path: str, ordinal: str = "ordinal") -> None:
+    """For foreachBatch: writes a batch's unseen texts and their hashes, each to the batch's own folder.
+
+    A batch looks at earlier batches alone and overwrites its own folders, so one that is replayed after a
+    crash, between the two writes too, leaves what it would have left at once.
+    """
     spark = batch.sparkSession
-    fresh = batch.withColumn("h", text_hash())
-    firsts = fresh.groupBy("h").agg(F.min(ordinal).alias(ordinal))
-    fresh = fresh.join(firsts, ["h", ordinal], "left_semi")
+    fresh = keep_first(batch, ordinal=ordinal).withColumn("h", text_hash())
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(seen_path)
     if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        fresh = fresh.join(spark.read.parquet(seen_path).select("h").distinct(), "h", "left_anti")
-    fresh.drop("h").write.mode("append").parquet(out_path)
-    spark.read.parquet(out_path).select(text_hash().alias("h")).distinct().write.mode("overwrite").parquet(seen_path)
+        seen = spark.read.schema("h string, batch long").parquet(seen_path).where(F.col("batch") < batch_id)
+        fresh = fresh.join(seen.select("h").distinct(), "h", "left_anti")
+    written = f"{out_path}/batch={batch_id}"
+    fresh.drop("h").write.mode("overwrite").parquet(written)
+    spark.read.schema(batch.schema).parquet(written).select(text_hash().alias("h")).write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
 
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, **options):

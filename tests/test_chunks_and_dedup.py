@@ -74,6 +74,11 @@ def test_dedup(spark):
     assert dedup.clean_stats(df.limit(0)).first().total == 0
 
 
+def test_keep_first_of_null_ordinals(spark):
+    df = spark.createDataFrame([(None, "a"), (7, "a"), (None, "b"), (None, None), (3, "a")], "ordinal long, text string")
+    assert sorted(dedup.keep_first(df).collect(), key=str) == sorted([(3, "a"), (None, "b"), (None, None)], key=str)
+
+
 def test_corpus_stats_of_nothing(spark):
     empty = spark.createDataFrame([], "text string")
     assert dedup.corpus_stats(empty, empty, empty).first().asDict() == {"raw_documents": 0, "cleaned_documents": 0, "chunks": 0, "avg_chunk_length": 0.0}

@@ -106,6 +106,32 @@ def test_registered_ivf_query_finds_nine_of_ten(spark, sf):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_rows_without_a_vector(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "doc long, embedding array<float>")
+    queries = vectors.withColumnRenamed("doc", "query")
+    for found in (dense.search_flat(vectors, queries, 2), dense.search_ivf(vectors, queries, 2)):
+        assert {(r.query, r.doc) for r in found.where("rank = 1").collect()} == {(1, 1), (3, 3)}
+        assert found.where("doc = 2 or query = 2").isEmpty()
+
+
+def test_default_vectors_are_named_for_what_they_are():
+    assert Dense(model="some/model").model == "hashed-trigrams" and Dense(lambda texts: texts, "some/model").model == "some/model"
+
+
+def test_sentence_encoder(monkeypatch):
+    import sys
+    import types
+    from importlib.machinery import ModuleSpec
+
+    with pytest.raises(ImportError):
+        dense.sentence_encoder("m")
+    fake = types.ModuleType("sentence_transformers")
+    fake.__spec__ = ModuleSpec("sentence_transformers", None)
+    fake.SentenceTransformer = lambda model, device: types.SimpleNamespace(encode=lambda texts, **_: [[len(t)] for t in texts])
+    monkeypatch.setitem(sys.modules, "sentence_transformers", fake)
+    assert dense.sentence_encoder("m")(["a", "bcd"]).tolist() == [[1.0], [3.0]]
+
+
 def test_no_queries(spark):
     _, df = vectors(spark, 10)
     assert dense.search(df, df.limit(0).withColumnRenamed("doc", "query"), 3).count() == 0

@@ -32,7 +32,13 @@ def test_a_study(spark, cfg, tmp_path):
     assert len(values) == 20 and all(0 <= v <= 1 for v in values.values())
     assert done.displacement("char_ngram_bm25", "dense_zeroshot").count() == done.gold.count()
     assert spark.read.json(f"{tmp_path}/r/error_analysis/cases").count() == done.gold.count()
+    told = {r.retriever: r for r in spark.read.json(f"{tmp_path}/r/detailed_results").collect()}
+    detail = told["char_ngram_bm25"].per_query_details[0]
+    assert told["hybrid"].top_k == 10 and 0 <= told["hybrid"].aggregate_metrics["map"] <= 1 and len(told) == 4
+    assert [r["rank"] for r in detail.retrieved] == list(range(1, len(detail.retrieved) + 1)) and len(detail.gold_ids) == 1
+    assert len(told["hybrid"].per_query_details) == done.queries.count()
     workflow.assets(spark, cfg)
+    assert spark.read.csv(f"{tmp_path}/t/aggregate_results_csv", header=True).columns[0] == "System"
     assert "tabular" in "".join(r.value for r in spark.read.text(f"{tmp_path}/t/aggregate_results").collect())
     asked = spark.createDataFrame([("a", "number3 river")], "query string, text string")
     told = workflow.answer(spark, cfg, asked, rag.CallableLLM(lambda p: "yes", "m")).first()
