@@ -25,6 +25,15 @@ def keep_first(df: DataFrame, text: str = "text", ordinal: str = "ordinal") -> D
     return df.withColumn("_h", text_hash(text)).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_h", "_n")
 
 
+def first_long(df: DataFrame, text: str = "text", ordinal: str = "ordinal", least: int = 20) -> DataFrame:
+    """First rows of the texts that are long enough.
+
+    Equal texts are equally long, so the filter may come last: there it isn't pushed below the cleaning of
+    ``df``, which would be computed for it once more.
+    """
+    return long_enough(keep_first(df, text, ordinal), text, least)
+
+
 def unseen(df: DataFrame, seen: DataFrame, text: str = "text", ordinal: str = "ordinal") -> DataFrame:
     """First rows whose hash isn't in ``seen`` (column ``h``)."""
     return keep_first(df, text, ordinal).withColumn("h", text_hash(text)).join(seen.select("h").distinct(), "h", "left_anti").drop("h")

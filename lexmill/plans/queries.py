@@ -121,7 +121,7 @@ def min_length_filter(spark, sf):
 
 @query(f"with c as (select doc_id, {O.clean('text')} as text from documents) select doc_id, text from c where length(text) >= 20 qualify row_number() over (partition by md5(text) order by doc_id) = 1")
 def exact_dedup(spark, sf):
-    return dedup.keep_first(dedup.long_enough(_cleaned(spark, sf))).withColumnRenamed("ordinal", "doc_id")
+    return dedup.first_long(_cleaned(spark, sf)).withColumnRenamed("ordinal", "doc_id")
 
 
 @query(f"""with c as (select doc_id, {O.clean('text')} as text from documents),
@@ -146,7 +146,7 @@ select (select count(*) from documents) as raw_documents, (select count(distinct
        count(*) as chunks, round(coalesce(sum(length(text))::double / greatest(count(*), 1), 0), 6) as avg_chunk_length from chunks""")
 def corpus_stats(spark, sf):
     raw = _table(spark, sf, "documents").select("doc_id")
-    kept = dedup.keep_first(dedup.long_enough(_cleaned(spark, sf)))
+    kept = dedup.first_long(_cleaned(spark, sf))
     return dedup.corpus_stats(raw, kept, _chunks(spark, sf)).withColumn("avg_chunk_length", F.round("avg_chunk_length", 6))
 
 

@@ -22,7 +22,7 @@ def prepare(spark: SparkSession, cfg: Config) -> DataFrame:
     d = cfg.data
     raw = files.load(spark, d.corpus_path)
     text = clean_text(F.col("text"), d.normalize_unicode, d.remove_urls, d.remove_emails, d.lowercase, d.transliteration.enabled)
-    cleaned = dedup.keep_first(dedup.long_enough(raw.withColumn("text", text), least=d.min_doc_length))
+    cleaned = dedup.first_long(raw.withColumn("text", text), least=d.min_doc_length)
     files.save_jsonl(cleaned.orderBy("ordinal").select("doc_id", "text", "source", "metadata"), f"{d.processed_dir}/documents.jsonl")
     kept = spark.read.schema("doc_id string, text string, source string, metadata map<string,string>").json(f"{d.processed_dir}/documents.jsonl")
     chunks = chunking.chunk(kept, d.chunking_method, d.chunk_size, d.chunk_overlap)
