@@ -166,10 +166,8 @@ class Sanitiser:
             self.added = self.elsewhere = shelf.put(texts.limit(0).select("th", F.array().cast(_EXTRA).alias("extra")), "added")
             return
         words = self.docs.select(F.explode(F.array_distinct(F.transform(_found(self.text, TERM), F.lower))).alias("term"))
-        if rare.count() <= self.broadcast_rows:
-            counts = words.join(F.broadcast(rare), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-        else:
-            counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(rare, "term", "left_semi")
+        # counted in the tasks before they meet ``rare`` (a row for each term): a frequent word is one row of a task
+        counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(self._few(rare), "term")
         counts = shelf.put(counts.where(F.col("n_t") <= most(F.lit(largest))), "counts")
         told = shelf.put(told.join(self._few(counts), "term"), "told_rare")
 
