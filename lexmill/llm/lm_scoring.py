@@ -40,7 +40,7 @@ from .support import Shelf, table
 from .textkit import ngram_hashes, text_bytes, word_hashes
 
 ORDER = 2
-_BLOCK_BYTES = 16 << 20
+_BLOCK_BYTES = 8 << 20
 _RANGE_BYTES = 16 << 20  # of text, for each range of hashes
 _LEVELS = 24  # logarithms of a context's count
 _BEGIN, _END = np.uint64(0x8F2D1B6A4C3E5971), np.uint64(0x1D4B7A9E6F8C2350)
