@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tokens import words
 from . import analysis, metrics
 from .retrievers import Retriever
+from .sizes import small
+
+_KEY_WORDS = 7
+_SHORT_BLOCK = 1_000
 
 
 def eval_set(pairs: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
@@ -22,6 +27,38 @@ def eval_set(pairs: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
     return numbered.select("query", F.col("question").alias("text")), numbered.select("query", F.nullif("chunk_id", F.lit("")).alias("doc"))
 
 
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(query, doc) where the document holds the item's text, character for character.
+
+    An item's first and last word may be parts of a document's words, all others are whole.  Items with nine
+    words or more meet the documents by the seven words after the first; shorter ones have no such key and are
+    looked for in blocks of ``_SHORT_BLOCK``, all of a block in one scan of the documents.  Then texts are
+    compared.  An item without words is held by nothing; null texts hold nothing.
+
+    docs: ``doc``, ``text``; items: ``query``, ``text``.
+    """
+    key = lambda w, at: F.array_join(F.slice(w, at, F.lit(_KEY_WORDS)), " ")
+    sized = items.withColumn("w", words(F.col("text"))).where(F.size("w") > 0)
+    q = sized.where(F.size("w") >= _KEY_WORDS + 2).select("query", F.col("text").alias("item"), key(F.col("w"), F.lit(2)).alias("key"))
+    d = docs.withColumn("w", words(F.col("text"))).where(F.size("w") >= _KEY_WORDS)
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - _KEY_WORDS + 1), lambda i: key(F.col("w"), i)))
+    wanted = d.select("doc", F.explode(keys).alias("key")).join(small(q.select("key").distinct()), "key", "left_semi")
+    found = wanted.join(small(q), "key").join(docs, "doc").where(F.contains("text", "item")).select("query", "doc")
+    short, block = sized.where(F.size("w") < _KEY_WORDS + 2).select("query", "text"), []
+    kind = short.schema["query"].dataType
+    for row in short.toLocalIterator():
+        block.append((row["query"], row["text"]))
+        if len(block) == _SHORT_BLOCK:
+            found, block = found.unionByName(_holding(docs, block, kind)), []
+    return found.unionByName(_holding(docs, block, kind)) if block else found
+
+
+def _holding(docs: DataFrame, block: list[tuple], kind) -> DataFrame:
+    asked = F.array(*(F.struct(F.lit(query).cast(kind).alias("query"), F.lit(text).alias("item")) for query, text in block))
+    held = F.filter(asked, lambda q: F.contains("text", q["item"]))
+    return docs.where("text is not null").select("doc", F.inline(held)).select("query", "doc")
+
+
 @dataclass
 class Evaluation:
     runs: DataFrame

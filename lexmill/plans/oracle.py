@@ -108,7 +108,7 @@ def char_run(k: int, low: int = 2, high: int = 4, c: str = "c", name: str = "cha
 
 
 GOLD = f"""
-gold as (select q.query, d.doc from q join d on contains(d.text, q.text) where len({words('q.text')}) >= 8)"""
+gold as (select q.query, d.doc from q join d on contains(d.text, q.text) where len({words('q.text')}) > 0)"""
 
 
 def metrics(run: str, k: int = 10) -> str:

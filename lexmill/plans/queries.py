@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.tokens import char_ngrams, ngram_length, words
 from ..operators import analysis, bm25, chunking, dedup, dense, fusion, index, metrics, questions, rag
-from ..operators.sizes import small, spread
+from ..operators.evaluation import containing
+from ..operators.sizes import spread
 from . import oracle as O
 
 QUERIES = {}
@@ -52,17 +53,6 @@ def _chunks(spark, sf) -> DataFrame:
     return chunking.fixed(_table(spark, sf, "documents").select("doc_id", "text", "source"))
 
 
-def gold(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(query, doc) where the document holds the item's text: seven inner words join, then the text is compared."""
-    key = lambda w, at: F.array_join(F.slice(w, at, F.lit(7)), " ")
-    q = items.withColumn("w", words(F.col("text"))).where(F.size("w") >= 8).select("query", F.col("text").alias("item"), key(F.col("w"), F.lit(2)).alias("key"))
-    d = docs.withColumn("w", words(F.col("text"))).where(F.size("w") >= 7)
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 6), lambda i: key(F.col("w"), i)))
-    wanted = d.select("doc", F.explode(keys).alias("key")).join(small(q.select("key").distinct()), "key", "left_semi")
-    pairs = wanted.join(small(q), "key").join(docs, "doc")
-    return pairs.where(F.contains("text", "item")).select("query", "doc")
-
-
 def _word_run(spark, sf, k=10) -> DataFrame:
     return bm25.search_words(_docs(spark, sf), _items(spark, sf), k)
 
@@ -77,7 +67,7 @@ def _both(spark, sf) -> DataFrame:
 
 
 def _gold(spark, sf) -> DataFrame:
-    return gold(_docs(spark, sf), _items(spark, sf))
+    return containing(_docs(spark, sf), _items(spark, sf))
 
 
 def _fetched(spark, sf) -> dict[str, DataFrame]:

@@ -34,6 +34,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.getFileStatus(p).isDirectory()
+
+
 def ensure_dir(spark: SparkSession, path: str) -> str:
     fs, p = _path(spark, path)
     fs.mkdirs(p)

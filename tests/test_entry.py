@@ -49,6 +49,7 @@ def test_entry_without_the_training_data_part(tmp_path):
 
     root = os.path.dirname(os.path.abspath(entry.__file__))
     shutil.copytree(f"{root}/lexmill", tmp_path / "lexmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(f"{root}/jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'bm25_word_topk' in e.queries() and not any(n.startswith('op') for n in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
