@@ -1,4 +1,4 @@
-"""Dense vectors: encoding, exact inner-product search and inverted lists."""
+"""Dense vectors: encoding, exact inner-product search and what inverted lists are trained on."""
 
 from __future__ import annotations
 
@@ -63,12 +63,12 @@ def encode(frame: DataFrame, encoder: Encoder = hashed_encoder, normalize: bool
     return frame.mapInPandas(run, schema)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+def query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     ids, vectors = [], []
     for row in queries.select("query", "embedding").where("embedding is not null").toLocalIterator():
         ids.append(row.query)
@@ -80,52 +80,46 @@ def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
         yield ids, np.array(vectors, np.float64)
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices that bound the scores held at once."""
     for at in range(0, batch.num_rows, _QUERY_BLOCK):
         yield batch.slice(at, _QUERY_BLOCK)
 
 
-def _nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+def nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The lists of each vector, nearest first."""
     return np.argsort(-(vectors @ centroids.T - 0.5 * (centroids**2).sum(1)), 1, kind="stable")
 
 
-def _listed(q: np.ndarray, m: np.ndarray, centroids: np.ndarray, asked: np.ndarray, digits: int) -> np.ndarray:
-    """Rounded scores of the vectors in lists that a query has asked, -inf for all others."""
-    scores = np.full((len(q), len(m)), -np.inf)
-    own = _nearest(m, centroids)[:, 0]
-    for c in np.unique(own):
-        asking, rows = asked[:, c].nonzero()[0], (own == c).nonzero()[0]
-        scores[np.ix_(asking, rows)] = np.round(q[asking] @ m[rows].T, digits)
-    return scores
-
+def search_flat(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+    """Exact inner-product top-k.
 
-def _search(vectors: DataFrame, queries: DataFrame, k: int, digits: int, centroids: np.ndarray | None = None, nprobe: int = 0) -> DataFrame:
-    """Top-k by inner product, with ``centroids`` among the vectors of each query's nearest ``nprobe`` lists alone."""
+    vectors: ``doc``, ``embedding``; queries: ``query``, ``embedding``, searched in blocks of a bounded size.
+    Rows without an embedding find nothing and aren't found.
+    A task multiplies its batches and keeps k rows a query, so what is shuffled doesn't grow with the
+    vectors it has read.
+    """
     spark = vectors.sparkSession
     kinds = dict(vectors.dtypes)["doc"], dict(queries.dtypes)["query"]
     found = None
-    for ids, q in _query_blocks(queries):
-        asked = None
-        if centroids is not None:
-            asked = np.zeros((len(ids), len(centroids)), bool)
-            np.put_along_axis(asked, _nearest(q, centroids)[:, :nprobe], True, 1)
-        shared = spark.sparkContext.broadcast((ids, q, centroids, asked))
+    for ids, q in query_blocks(queries):
+        shared = spark.sparkContext.broadcast((ids, q))
 
         def best(batches, shared=shared):
-            ids, q, centroids, asked = shared.value
+            ids, q = shared.value
             docs = scores = None
-            for batch in (part for whole in batches for part in _parts(whole)):
-                own, m = np.array(batch.column(0).to_pylist()), _matrix(batch.column(1))
-                s = np.round(q @ m.T, digits) if centroids is None else _listed(q, m, centroids, asked, digits)
+            for batch in (part for whole in batches for part in parts(whole)):
+                own, s = np.array(batch.column(0).to_pylist()), np.round(q @ matrix(batch.column(1)).T, digits)
+                if s.shape[1] > 4 * k:  # what the k-th best score leaves, ties too; only that is sorted
+                    hopeful = (s >= np.partition(s, -k, axis=1)[:, -k, None]).any(0)
+                    own, s = own[hopeful], s[:, hopeful]
                 d = np.broadcast_to(own, s.shape)
                 if docs is not None:
                     s, d = np.concatenate([scores, s], 1), np.concatenate([docs, d], 1)
                 order = np.stack([np.lexsort((d[i], -s[i]))[:k] for i in range(len(ids))])
                 scores, docs = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-            if docs is not None and (kept := scores > -np.inf).any():
-                yield pa.RecordBatch.from_pydict({"query": pa.array([ids[i] for i in kept.nonzero()[0]]), "doc": pa.array(docs[kept].tolist()), "score": pa.array(scores[kept])})
+            if docs is not None and docs.shape[1]:
+                yield pa.RecordBatch.from_pydict({"query": pa.array(np.repeat(np.array(ids, object), docs.shape[1]).tolist()), "doc": pa.array(docs.ravel().tolist()), "score": pa.array(scores.ravel())})
 
         part = vectors.select("doc", "embedding").where("embedding is not null").mapInArrow(best, f"query {kinds[1]}, doc {kinds[0]}, score double")
         found = part if found is None else found.unionByName(part)
@@ -134,17 +128,6 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, digits: int, centroi
     return top(found, k)
 
 
-def search_flat(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """Exact inner-product top-k.
-
-    vectors: ``doc``, ``embedding``; queries: ``query``, ``embedding``, searched in blocks of a bounded size.
-    Rows without an embedding find nothing and aren't found.
-    A task multiplies its batches and keeps k rows a query, so what is shuffled doesn't grow with the
-    vectors it has read.
-    """
-    return _search(vectors, queries, k, digits)
-
-
 def _sample(vectors: DataFrame, most: int) -> np.ndarray:
     rows = vectors.where("embedding is not null").orderBy(F.xxhash64("doc"), "doc").limit(most).select("embedding").collect()
     return np.array([r.embedding for r in rows], np.float64)
@@ -180,37 +163,5 @@ def probes_for(vectors: DataFrame, centroids: np.ndarray, recall: float, k: int
     return int(needed[int(np.ceil(recall * len(needed))) - 1]) + 1
 
 
-def assign_lists(vectors: DataFrame, centroids: np.ndarray, probes: int = 1, column: str = "doc") -> DataFrame:
-    """A row for each vector and each of its ``probes`` nearest lists: adds ``list_id``."""
-    shared = vectors.sparkSession.sparkContext.broadcast(centroids)
-    kind = dict(vectors.dtypes)[column]
-
-    def run(batches):
-        c = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                near = _nearest(_matrix(batch.column(1)), c)[:, :probes]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=[column, "embedding", "list_id"])
-
-    return vectors.select(column, "embedding").where("embedding is not null").mapInArrow(run, f"{column} {kind}, embedding array<float>, list_id int")
-
-
 def list_count(n: int, most: int = 100) -> int:
     return min(most, n // 10 + 1)
-
-
-def search_ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, nlist: int = 100, nprobe: int = 10, digits: int = 6, recall: float | None = None) -> DataFrame:
-    """Approximate top-k: the nearest ``nprobe`` lists of each query, rescored exactly.  Every row is indexed.
-
-    With ``recall``, more lists are probed where a sample of the vectors needs them to reach it.
-    """
-    centroids = train_lists(vectors, list_count(vectors.where("embedding is not null").count(), nlist))
-    if recall is not None:
-        nprobe = max(nprobe, probes_for(vectors, centroids, recall, k))
-    return _search(vectors, queries, k, digits, centroids, nprobe)
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, index_type: str = "flat", **options) -> DataFrame:
-    """flat and hnsw (searched exactly) or ivf."""
-    return search_ivf(vectors, queries, k, **options) if index_type == "ivf" else search_flat(vectors, queries, k)

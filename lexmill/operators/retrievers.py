@@ -11,7 +11,8 @@ from abc import ABC, abstractmethod
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, dense, fusion
+from ..store import new_folder
+from . import bm25, dense, fusion, ivf
 from .index import Analyzer, Index
 
 
@@ -110,9 +111,16 @@ class Dense(Retriever):
         own = "hashed-trigrams" if encoder is dense.hashed_encoder else None  # the default has its name, whatever is configured
         self.encoder, self.model, self.normalize, self.index_type, self.nlist, self.nprobe = encoder, own or model or name, normalize, index_type, nlist, nprobe
         self.vectors: DataFrame | None = None
+        self.lists: ivf.Lists | None = None
 
     def _build(self) -> None:
+        """Vectors stay a plan, or are written as inverted lists once and for all searches."""
         self.vectors = dense.encode(self.corpus.select("doc", "text"), self.encoder, self.normalize).select("doc", "embedding")
+        if self.index_type == "ivf":
+            self._listed(ivf.Lists.build(self.vectors, new_folder(self.corpus.sparkSession, "lists"), self.nlist, self.nprobe))
+
+    def _listed(self, lists: ivf.Lists) -> None:
+        self.lists, self.vectors = lists, lists.table().select("doc", "embedding")
 
     def _marks(self) -> dict[str, str]:
         return {**super()._marks(), "model": self.model}
@@ -120,12 +128,14 @@ class Dense(Retriever):
     def run(self, queries: DataFrame, k: int) -> DataFrame:
         self._checked()
         q = dense.encode(queries.select("query", "text"), self.encoder, self.normalize).select("query", "embedding")
-        options = {"nlist": self.nlist, "nprobe": self.nprobe} if self.index_type == "ivf" else {}
-        return dense.search(self.vectors, q, k, self.index_type, **options)
+        return self.lists.search(q, k, self.nprobe) if self.lists is not None else dense.search_flat(self.vectors, q, k)
 
     def save(self, path: str) -> None:
         spark = self._checked().sparkSession
-        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        if self.lists is not None:
+            self.lists.copy(f"{path}/ivf")
+        else:
+            self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
         row = (self.model, self.normalize, self.index_type, self.nlist, self.nprobe)
         spark.createDataFrame([row], "model string, normalize boolean, index_type string, nlist int, nprobe int").write.mode("overwrite").parquet(f"{path}/params")
@@ -133,7 +143,11 @@ class Dense(Retriever):
     def load(self, spark: SparkSession, path: str) -> "Dense":
         p = spark.read.parquet(f"{path}/params").first()
         self.model, self.normalize, self.index_type, self.nlist, self.nprobe = p
-        self.vectors, self.corpus = spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/corpus")
+        self.corpus = spark.read.parquet(f"{path}/corpus")
+        if self.index_type == "ivf":
+            self._listed(ivf.Lists.load(spark, f"{path}/ivf"))
+        else:
+            self.vectors = spark.read.parquet(f"{path}/vectors")
         return self
 
 

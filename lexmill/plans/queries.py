@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.tokens import char_ngrams, ngram_length, words
-from ..operators import analysis, bm25, chunking, dedup, dense, fusion, index, metrics, questions, rag
+from ..operators import analysis, bm25, chunking, dedup, dense, fusion, index, ivf, metrics, questions, rag
 from ..operators.evaluation import containing
 from ..operators.sizes import spread
 from . import oracle as O
@@ -232,7 +232,7 @@ def dense_flat_topk(spark, sf):
 @query()
 def dense_ivf_topk(spark, sf):
     """At least 0.9 of the exact top ten: lists are probed until 0.95 is reached on a sample."""
-    return dense.search_ivf(*_vectors(spark, sf), recall=0.95)
+    return ivf.search_ivf(*_vectors(spark, sf), recall=0.95)
 
 
 @query(f"""with {_DENSE}, labels_ as (select vec_id, label from embeddings),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import dense, fusion, rag
+from lexmill.operators import dense, fusion, ivf, rag
 from lexmill.operators.index import Index
 from lexmill.operators.retrievers import CharBM25, Dense, Hybrid, WordBM25
 from lexmill.plans.queries import QUERIES
@@ -70,7 +70,7 @@ def test_flat_search_is_exact(spark):
     queries = df.where("doc % 50 = 0").withColumnRenamed("doc", "query")
     x32 = x.astype(np.float32).astype(np.float64)
     got = {}
-    for r in dense.search(df, queries, 5).orderBy("query", "rank").collect():
+    for r in ivf.search(df, queries, 5).orderBy("query", "rank").collect():
         got.setdefault(r.query, []).append(r.doc)
     for q, found in got.items():
         s = np.round(x32 @ x32[q], 6)
@@ -83,17 +83,61 @@ def test_inverted_lists_recall(spark):
     x = centers[r.integers(0, 20, 1000)] + 0.3 * r.normal(size=(1000, 16))
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "doc long, embedding array<float>")
     queries = df.where("doc % 50 = 0").withColumnRenamed("doc", "query")
-    exact = {(a.query, a.doc) for a in dense.search(df, queries, 10).collect()}
-    near = {(a.query, a.doc) for a in dense.search(df, queries, 10, "ivf").collect()}
+    exact = {(a.query, a.doc) for a in ivf.search(df, queries, 10).collect()}
+    near = {(a.query, a.doc) for a in ivf.search(df, queries, 10, "ivf").collect()}
     assert len(exact & near) >= 0.9 * len(exact)
-    assert dense.assign_lists(df, dense.train_lists(df, 30)).count() == 1000
+
+
+def test_lists_are_read_by_partition_and_give_their_exact_best(spark, tmp_path):
+    r = np.random.default_rng(3)
+    centers = r.normal(size=(12, 16))
+    x = centers[np.where(np.arange(900) < 300, 0, r.integers(0, 12, 900))] + 0.3 * r.normal(size=(900, 16))
+    x[100:140] = x[100]  # ties, all in one list
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(9999, None)], "doc long, embedding array<float>")
+    queries = df.where("doc % 60 = 40 or doc > 9000").withColumnRenamed("doc", "query")
+    made = ivf.Lists.build(df, f"{tmp_path}/a", nlist=20, rows_a_file=100)
+    lists = made.copy(f"{tmp_path}/b") and ivf.Lists.load(spark, f"{tmp_path}/b")
+    table = lists.table()
+    assert (table.count(), table.select("doc").distinct().count(), lists.nprobe) == (900, 900, 10)
+    own = {r.doc: r.list_id for r in table.select("doc", "list_id").collect()}
+    x32 = x.astype(np.float32).astype(np.float64)
+    files = []
+    for nprobe in (1, 3, 20):
+        got = {}
+        for row in lists.search(queries, 7, nprobe).orderBy("query", "rank").collect():
+            got.setdefault(row.query, []).append((row.doc, row.score))
+        assert set(got) == {q.query for q in queries.where("embedding is not null").collect()}
+        for q, found in got.items():
+            asked = set(dense.nearest(x32[[q]], lists.centroids)[0][:nprobe].tolist())
+            s = {i: round(float(np.float64(x32[i] @ x32[q])), 6) for i in range(900) if own[i] in asked}
+            want = sorted(s, key=lambda i: (-s[i], i))[:7]
+            assert [d for d, _ in found] == want and [v for _, v in found] == pytest.approx([s[i] for i in want], abs=2e-6)
+        found, read = lists.candidates([40], x32[[40]], "long", 7, nprobe)
+        assert len(read) == nprobe or nprobe == 20
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "embedding" not in plan
+        files.append(_files_read(found))
+    assert files[0] < files[1] < files[2]
+
+
+def _files_read(df):
+    """Files that the scan reads after partition pruning."""
+    df.collect()
+    nodes = [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.metrics().contains("numFiles"):
+            return node.metrics().apply("numFiles").value()
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    raise AssertionError("no scan")
 
 
 def test_inverted_lists_recall_without_clusters(spark):
     _, df = vectors(spark, 1000, 64)
     queries = df.where("doc % 25 = 0").withColumnRenamed("doc", "query")
-    exact = {(a.query, a.doc) for a in dense.search(df, queries, 10).collect()}
-    few, found = ({(a.query, a.doc) for a in dense.search(df, queries, 10, "ivf", **options).collect()} for options in ({}, {"recall": 0.95}))
+    exact = {(a.query, a.doc) for a in ivf.search(df, queries, 10).collect()}
+    few, found = ({(a.query, a.doc) for a in ivf.search(df, queries, 10, "ivf", **options).collect()} for options in ({}, {"recall": 0.95}))
     assert len(exact & few) < 0.9 * len(exact) <= len(exact & found)
 
 
@@ -109,7 +153,7 @@ def test_registered_ivf_query_finds_nine_of_ten(spark, sf):
 def test_rows_without_a_vector(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "doc long, embedding array<float>")
     queries = vectors.withColumnRenamed("doc", "query")
-    for found in (dense.search_flat(vectors, queries, 2), dense.search_ivf(vectors, queries, 2)):
+    for found in (dense.search_flat(vectors, queries, 2), ivf.search_ivf(vectors, queries, 2)):
         assert {(r.query, r.doc) for r in found.where("rank = 1").collect()} == {(1, 1), (3, 3)}
         assert found.where("doc = 2 or query = 2").isEmpty()
 
@@ -134,7 +178,7 @@ def test_sentence_encoder(monkeypatch):
 
 def test_no_queries(spark):
     _, df = vectors(spark, 10)
-    assert dense.search(df, df.limit(0).withColumnRenamed("doc", "query"), 3).count() == 0
+    assert ivf.search(df, df.limit(0).withColumnRenamed("doc", "query"), 3).count() == 0
 
 
 def test_encoder_normalises(spark):
