@@ -128,14 +128,14 @@ def search_flat(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int
     return top(found, k)
 
 
-def _sample(vectors: DataFrame, most: int) -> np.ndarray:
+def sample(vectors: DataFrame, most: int = 20_000) -> np.ndarray:
+    """At most ``most`` vectors, those with the lowest hash of the id."""
     rows = vectors.where("embedding is not null").orderBy(F.xxhash64("doc"), "doc").limit(most).select("embedding").collect()
     return np.array([r.embedding for r in rows], np.float64)
 
 
-def train_lists(vectors: DataFrame, nlist: int, sample: int = 20_000, rounds: int = 10) -> np.ndarray:
-    """Centroids of ``nlist`` lists by k-means on at most ``sample`` rows (lowest hash of the id)."""
-    x = _sample(vectors, sample)
+def train_lists(x: np.ndarray, nlist: int, rounds: int = 10) -> np.ndarray:
+    """Centroids of ``nlist`` lists by k-means on a sample."""
     centroids = x[:nlist].copy()
     for _ in range(rounds):
         near = np.argmax(x @ centroids.T - 0.5 * (centroids**2).sum(1), 1)
@@ -145,12 +145,11 @@ def train_lists(vectors: DataFrame, nlist: int, sample: int = 20_000, rounds: in
     return centroids
 
 
-def probes_for(vectors: DataFrame, centroids: np.ndarray, recall: float, k: int = 10, sample: int = 20_000, queries: int = 200) -> int:
-    """The fewest lists to probe so that ``queries`` sampled rows find ``recall`` of their k nearest others.
+def probes_for(x: np.ndarray, centroids: np.ndarray, recall: float, k: int = 10, queries: int = 200) -> int:
+    """The fewest lists to probe so that the first ``queries`` rows of a sample find ``recall`` of their k nearest others.
 
-    Measured exactly among at most ``sample`` rows; in the whole table neighbours are nearer, so they share lists more.
+    Measured exactly within the sample; in the whole table neighbours are nearer, so they share lists more.
     """
-    x = _sample(vectors, sample)
     if len(x) < 2:
         return len(centroids)
     near = x @ centroids.T - 0.5 * (centroids**2).sum(1)

@@ -60,9 +60,10 @@ class Lists:
         spark = vectors.sparkSession
         given = vectors.select("doc", "embedding").where("embedding is not null")
         n = given.count()
-        centroids = dense.train_lists(vectors, dense.list_count(n, nlist))
+        x = dense.sample(vectors)
+        centroids = dense.train_lists(x, dense.list_count(n, nlist))
         if recall is not None:
-            nprobe = max(nprobe, dense.probes_for(vectors, centroids, recall, k))
+            nprobe = max(nprobe, dense.probes_for(x, centroids, recall, k))
         shared = spark.sparkContext.broadcast(centroids)
 
         def code(batches):

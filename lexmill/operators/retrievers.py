@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..store import new_folder
 from . import bm25, dense, fusion, ivf
+from .hashing import HashedWords
 from .index import Analyzer, Index
 
 
@@ -105,20 +106,32 @@ class CharBM25(_Bm25):
         return bm25.search_chars(self._checked(), queries, k, self.analyzer.low, self.analyzer.high, self.k1, self.b, self.tables)
 
 
+#: The encoder that is a plan: signed feature hashing with the corpus' idf, see ``hashing``.
+HASHED_WORDS = "hashed-words"
+
+
 class Dense(Retriever):
-    def __init__(self, encoder: dense.Encoder = dense.hashed_encoder, model: str | None = None, normalize: bool = True, index_type: str = "flat", nlist: int = 100, nprobe: int = 10, name: str = "dense"):
+    def __init__(self, encoder: dense.Encoder | str = dense.hashed_encoder, model: str | None = None, normalize: bool = True, index_type: str = "flat", nlist: int = 100, nprobe: int = 10, name: str = "dense"):
         super().__init__(name)
-        own = "hashed-trigrams" if encoder is dense.hashed_encoder else None  # the default has its name, whatever is configured
+        own = "hashed-trigrams" if encoder is dense.hashed_encoder else HASHED_WORDS if encoder == HASHED_WORDS else None  # the default has its name, whatever is configured
         self.encoder, self.model, self.normalize, self.index_type, self.nlist, self.nprobe = encoder, own or model or name, normalize, index_type, nlist, nprobe
         self.vectors: DataFrame | None = None
         self.lists: ivf.Lists | None = None
+        self.words: HashedWords | None = None
 
     def _build(self) -> None:
         """Vectors stay a plan, or are written as inverted lists once and for all searches."""
-        self.vectors = dense.encode(self.corpus.select("doc", "text"), self.encoder, self.normalize).select("doc", "embedding")
+        if self.encoder == HASHED_WORDS:
+            self.words = HashedWords.fit(self.corpus)
+        self.vectors = self._encoded(self.corpus, "doc")
         if self.index_type == "ivf":
             self._listed(ivf.Lists.build(self.vectors, new_folder(self.corpus.sparkSession, "lists"), self.nlist, self.nprobe))
 
+    def _encoded(self, frame: DataFrame, key: str) -> DataFrame:
+        if self.words is not None:
+            return self.words.encode(frame, key)
+        return dense.encode(frame.select(key, "text"), self.encoder, self.normalize).select(key, "embedding")
+
     def _listed(self, lists: ivf.Lists) -> None:
         self.lists, self.vectors = lists, lists.table().select("doc", "embedding")
 
@@ -127,11 +140,13 @@ class Dense(Retriever):
 
     def run(self, queries: DataFrame, k: int) -> DataFrame:
         self._checked()
-        q = dense.encode(queries.select("query", "text"), self.encoder, self.normalize).select("query", "embedding")
+        q = self._encoded(queries, "query")
         return self.lists.search(q, k, self.nprobe) if self.lists is not None else dense.search_flat(self.vectors, q, k)
 
     def save(self, path: str) -> None:
         spark = self._checked().sparkSession
+        if self.words is not None:
+            self.words.save(f"{path}/encoder")
         if self.lists is not None:
             self.lists.copy(f"{path}/ivf")
         else:
@@ -144,6 +159,8 @@ class Dense(Retriever):
         p = spark.read.parquet(f"{path}/params").first()
         self.model, self.normalize, self.index_type, self.nlist, self.nprobe = p
         self.corpus = spark.read.parquet(f"{path}/corpus")
+        if self.model == HASHED_WORDS:
+            self.encoder, self.words = HASHED_WORDS, HashedWords.load(spark, f"{path}/encoder")
         if self.index_type == "ivf":
             self._listed(ivf.Lists.load(spark, f"{path}/ivf"))
         else:

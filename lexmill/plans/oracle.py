@@ -133,9 +133,26 @@ long_metrics as (
 
 BOTH = "both_runs as (select 'word_bm25' as retriever, query, doc, rank from word_run union all select 'char_bm25', query, doc, rank from char_run)"
 TEN = f"with {BASE}, {word_run(10)}, {char_run(10)}, {GOLD}, {BOTH}, {metrics('both_runs')}"
-CHAR_DENSE = f"""with {BASE}, {char_run(50)},
-dense_scores as (select a.vec_id as query, b.vec_id as doc, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as score
-                 from embeddings a, embeddings b where a.vec_id in (select query from q) and b.vec_id in (select doc from d)),
+
+
+def encoded(name: str, source: str, key: str, dimensions: int = 64) -> str:
+    """CTEs of unit vectors by signed feature hashing with the documents' idf."""
+    part = lambda at, below: f"(('0x' || substr(md5(word), {at}, 8))::bigint % {below})"
+    return f"""
+{name}_tf as (select {key}, word, count(*) as tf from (select {key}, unnest({words('text')}) as word from {source}) group by all),
+{name}_part as (select {key}, {part(1, dimensions)} as slot, sum(case {part(9, 2)} when 0 then 1.0::double else -1.0::double end * (1 + ln(tf)) * (ln((e_n + 1.0::double) / (coalesce(df, 0) + 1)) + 1)) as part
+                from {name}_tf left join e_df using (word), e_n group by all),
+{name}_size as (select {key}, sqrt(sum(part * part)) as size from {name}_part group by {key}),
+{name}_slots as (select {key}, slot, coalesce(part, 0) / coalesce(nullif(size, 0), 1) as x
+                 from (select distinct {key} from {source}) cross join (select unnest(range(0, {dimensions})) as slot) left join {name}_part using ({key}, slot) left join {name}_size using ({key})),
+{name} as (select {key}, list(round(x, 6) + 0.0 order by slot) as embedding from {name}_slots group by {key})"""
+
+
+ENCODED = f"""
+e_n as (select count(*) as e_n from d),
+e_df as (select word, count(*) as df from (select doc, unnest(list_distinct({words('text')})) as word from d) group by word),{encoded('d_vectors', 'd', 'doc')}"""
+CHAR_DENSE = f"""with {BASE}, {char_run(50)}, {ENCODED}, {encoded('q_vectors', 'q', 'query')},
+dense_scores as (select a.query, b.doc, round(list_dot_product(a.embedding, b.embedding), 6) as score from q_vectors a, d_vectors b),
 dense_run as (select query, doc, score, row_number() over (partition by query order by score desc, doc) as rank from dense_scores qualify rank <= 50),
 fetched as (select 0 as sys, 'char_bm25' as name, * from char_run union all select 1, 'dense', * from dense_run)"""
 FIFTY = f"with {BASE}, {word_run(50)}, {char_run(50)}, fetched as (select 0 as sys, 'char_bm25' as name, * from char_run union all select 1, 'word_bm25', * from word_run)"

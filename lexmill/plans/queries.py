@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.tokens import char_ngrams, ngram_length, words
-from ..operators import analysis, bm25, chunking, dedup, dense, fusion, index, ivf, metrics, questions, rag
+from ..operators import analysis, bm25, chunking, dedup, dense, fusion, hashing, index, ivf, metrics, questions, rag
 from ..operators.evaluation import containing
 from ..operators.sizes import spread
 from . import oracle as O
@@ -271,11 +271,17 @@ def rrf_source_ranks(spark, sf):
     return fusion.rrf(_fetched(spark, sf)).select("query", "doc", F.col("sources")["char_bm25"].alias("char_rank"), F.col("sources")["word_bm25"].alias("word_rank"))
 
 
+@query(f"with {O.BASE}, {O.ENCODED} select doc as doc_id, embedding from d_vectors")
+def encode_documents(spark, sf):
+    docs = _docs(spark, sf)
+    return hashing.HashedWords.fit(docs).encode(docs, "doc").withColumnRenamed("doc", "doc_id")
+
+
 def _char_and_dense(spark, sf) -> dict[str, DataFrame]:
-    """Both runs of the items over the documents; an item and a document have the vector of their id, if any."""
-    vectors, depth = _table(spark, sf, "embeddings").select("vec_id", "embedding"), fusion.fetch_depth(10)
-    of = lambda rows, key: vectors.withColumnRenamed("vec_id", key).join(rows.select(key), key, "left_semi")
-    return {"char_bm25": _char_run(spark, sf, depth), "dense": dense.search_flat(of(_docs(spark, sf), "doc"), of(_items(spark, sf), "query"), depth)}
+    """Both runs of the items over all documents; vectors are those of the texts."""
+    docs, items, depth = _docs(spark, sf), _items(spark, sf), fusion.fetch_depth(10)
+    encoder = hashing.HashedWords.fit(docs)
+    return {"char_bm25": _char_run(spark, sf, depth), "dense": dense.search_flat(encoder.encode(docs, "doc"), encoder.encode(items, "query"), depth)}
 
 
 @query(f"{O.CHAR_DENSE}, {_RRF} select query, doc, score, rank::int as rank from fused")
