@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..store import new_folder, written
 from . import char_search
 from .index import Analyzer, corpus_df, document_length, scored_frequency, stats
 from .sizes import fits
@@ -28,16 +29,6 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "doc", "score", "rank")
 
 
-def _corpus(docs: DataFrame, analyzer: Analyzer, wanted: DataFrame, tables: tuple | None) -> tuple[DataFrame, DataFrame | None, int, float]:
-    """(doc, dl, term, tf) of the wanted terms, a saved index's document frequencies, N and the average length."""
-    if tables:
-        postings, df, lengths, one = tables
-        tf, row = postings.join(wanted, "term", "left_semi").join(lengths, "doc"), one.first()
-        return tf, df, row["n"], row["avgdl"]
-    row = stats(document_length(docs, analyzer)).first()
-    return scored_frequency(docs, analyzer, wanted), None, row["n"], row["avgdl"]
-
-
 def _hinted(queries: DataFrame):
     """A broadcast hint for tables of the queries' terms, if those are few; their number is counted once."""
     return F.broadcast if fits(queries) else lambda df: df
@@ -50,20 +41,13 @@ def _matches(q: DataFrame, tf: DataFrame, idf: DataFrame, avgdl: float, k1: floa
     return parts.join(q, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("part") * F.col("times")), DIGITS).alias("score"))
 
 
-def search_chars(docs: DataFrame, queries: DataFrame, k: int = 10, low: int = 2, high: int = 4, k1: float = 1.5, b: float = 0.75, tables: tuple | None = None) -> DataFrame:
+def search_chars(docs: DataFrame, queries: DataFrame, k: int = 10, low: int = 2, high: int = 4, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Character n-gram BM25: distinct query n-grams, unknown ones ignored, positive scores only.
 
-    docs: ``doc``, ``text``; queries: ``query``, ``text``.  ``tables`` (tf, df, lengths, one-row stats) of a
-    saved index are searched by joins; without them the texts are read, in two passes (``char_search``).
+    docs: ``doc``, ``text``; queries: ``query``, ``text``.  The texts are read, in two passes (``char_search``);
+    an index that is built once is searched by ``postings``.
     """
-    if tables is None:
-        return top(char_search.search(docs, queries, [(low, high)], k, k1, b, DIGITS).drop("range"), k)
-    q = query_terms(queries, Analyzer("char", low, high)).withColumn("times", F.lit(1))
-    few = _hinted(q)
-    wanted = few(q.select("term").distinct())
-    tf, df, n, avgdl = _corpus(docs, Analyzer("char", low, high), wanted, tables)
-    idf = df.join(wanted, "term", "left_semi").select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    return top(_matches(few(q), tf, few(idf), avgdl, k1, b).where("score > 0"), k)
+    return top(char_search.search(docs, queries, [(low, high)], k, k1, b, DIGITS).drop("range"), k)
 
 
 def search_char_ranges(docs: DataFrame, queries: DataFrame, ranges: list[tuple[int, int]], k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -80,18 +64,25 @@ def word_idf(df: DataFrame, n: int, epsilon: float = 0.25) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def search_words(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, tables: tuple | None = None) -> DataFrame:
+def search_words(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Word BM25: a repeated query word counts again; always min(k, N) rows a query, so the best of the
     documents without a shared word follow with score 0, before negative scores."""
     analyzer = Analyzer("word")
     q = query_terms(queries, analyzer)
     few = _hinted(q)
     wanted = few(q.select("term").distinct())
-    tf, df, n, avgdl = _corpus(docs, analyzer, wanted, tables)
-    idf = word_idf(df if tables else corpus_df(docs, analyzer), n).join(wanted, "term", "left_semi")
-    scored = _matches(few(q), tf, few(idf), avgdl, k1, b)
-    best = top(scored, k).persist()  # k rows a query
-    # zero-fill: with k matches above zero a query's list is full
+    row = stats(document_length(docs, analyzer)).first()
+    tf = scored_frequency(docs, analyzer, wanted)
+    idf = word_idf(corpus_df(docs, analyzer), row["n"]).join(wanted, "term", "left_semi")
+    return filled(docs, queries, _matches(few(q), tf, few(idf), row["avgdl"], k1, b), k)
+
+
+def filled(docs: DataFrame, queries: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    """The k best of each query; the first documents without a score follow with 0, before negative scores.
+
+    ``scored`` may lack documents of the queries that have k positive scores.
+    """
+    best = written(top(scored, k), new_folder(docs.sparkSession, "best"))  # k rows a query
     above = queries.select("query").distinct().join(best.groupBy("query").agg(F.count(F.when(F.col("score") > 0, 1)).alias("above")), "query", "left")
     short = above.where(F.coalesce("above", F.lit(0)) < k).select("query")
     if short.isEmpty():

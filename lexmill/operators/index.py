@@ -1,10 +1,10 @@
-"""Inverted indexes as tables: postings, document lengths, term frequencies and a stats row."""
+"""Term frequencies, document frequencies and lengths, and a stats row; ``postings`` makes an index of them."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import char_ngrams, ngram_length, words
@@ -62,39 +62,3 @@ def stats(lengths: DataFrame) -> DataFrame:
 
 def ids(frame: DataFrame, id_col: str, text_col: str = "text", name: str = "doc") -> DataFrame:
     return frame.select(F.col(id_col).alias(name), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-
-@dataclass
-class Index:
-    """Tables of an indexed corpus; saved as Parquet, never pickled."""
-
-    analyzer: Analyzer
-    postings: DataFrame
-    df: DataFrame
-    lengths: DataFrame
-    stats: DataFrame
-    corpus: DataFrame
-    k1: float = 1.5
-    b: float = 0.75
-
-    @classmethod
-    def build(cls, corpus: DataFrame, analyzer: Analyzer, k1: float = 1.5, b: float = 0.75) -> "Index":
-        """corpus: ``doc``, ``text`` and anything else worth keeping."""
-        tf = term_frequency(corpus, analyzer)
-        lengths = document_length(corpus, analyzer)
-        return cls(analyzer, tf, document_frequency(tf), lengths, stats(lengths), corpus, k1, b)
-
-    def save(self, path: str) -> None:
-        """Postings are clustered by term, so that a search reads the row groups of its terms."""
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("df", "lengths", "stats", "corpus"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        spark = self.postings.sparkSession
-        a = self.analyzer
-        spark.createDataFrame([(a.kind, a.low, a.high, self.k1, self.b)], "kind string, low int, high int, k1 double, b double").write.mode("overwrite").parquet(f"{path}/params")
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "Index":
-        p = spark.read.parquet(f"{path}/params").first()
-        tables = [spark.read.parquet(f"{path}/{name}") for name in ("postings", "df", "lengths", "stats", "corpus")]
-        return cls(Analyzer(p.kind, p.low, p.high), *tables, p.k1, p.b)

@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from ..store import new_folder
 from . import bm25, dense, fusion, ivf
 from .hashing import HashedWords
-from .index import Analyzer, Index
+from .index import Analyzer
+from .postings import Postings
+from .sizes import fits
+
+_FEW_QUERIES = 64
 
 
 class Retriever(ABC):
@@ -66,33 +70,37 @@ class Retriever(ABC):
 
 
 class _Bm25(Retriever):
+    """``index`` writes the postings once; every search reads those of its terms."""
+
     analyzer: Analyzer
 
     def __init__(self, k1: float, b: float, name: str):
         super().__init__(name)
-        self.k1, self.b, self.tables = k1, b, None
+        self.k1, self.b, self.postings = k1, b, None
 
-    def _index(self) -> Index:
-        return Index.build(self._checked(), self.analyzer, self.k1, self.b)
+    def _build(self) -> None:
+        made = Postings.build(self.corpus, new_folder(self.corpus.sparkSession, self.name), self.analyzer, self.k1, self.b)
+        self.postings, self.corpus = made, made.corpus
 
     def save(self, path: str) -> None:
-        self._index().save(path)
+        self._checked()
+        self.postings.copy(path)
 
     def load(self, spark: SparkSession, path: str) -> "_Bm25":
-        saved = Index.load(spark, path)
+        self.postings = saved = Postings.load(spark, path)
         self.analyzer, self.k1, self.b, self.corpus = saved.analyzer, saved.k1, saved.b, saved.corpus
-        self.tables = (saved.postings, saved.df, saved.lengths, saved.stats)
         return self
 
+    def run(self, queries: DataFrame, k: int) -> DataFrame:
+        self._checked()
+        return self.postings.search(queries, k)
+
 
 class WordBM25(_Bm25):
     def __init__(self, k1: float = 1.5, b: float = 0.75, name: str = "word_bm25"):
         super().__init__(k1, b, name)
         self.analyzer = Analyzer("word")
 
-    def run(self, queries: DataFrame, k: int) -> DataFrame:
-        return bm25.search_words(self._checked(), queries, k, self.k1, self.b, self.tables)
-
 
 class CharBM25(_Bm25):
     def __init__(self, ngram_range: tuple[int, int] = (2, 4), k1: float = 1.5, b: float = 0.75, name: str = "char_ngram_bm25"):
@@ -103,7 +111,10 @@ class CharBM25(_Bm25):
         return {**super()._marks(), "ngram_range": f"({self.analyzer.low}, {self.analyzer.high})"}
 
     def run(self, queries: DataFrame, k: int) -> DataFrame:
-        return bm25.search_chars(self._checked(), queries, k, self.analyzer.low, self.analyzer.high, self.k1, self.b, self.tables)
+        """Postings for a few queries; for many, whose n-grams are most of the index, two passes over the texts."""
+        if fits(queries, _FEW_QUERIES):
+            return super().run(queries, k)
+        return bm25.search_chars(self._checked(), queries, k, self.analyzer.low, self.analyzer.high, self.k1, self.b)
 
 
 #: The encoder that is a plan: signed feature hashing with the corpus' idf, see ``hashing``.

@@ -11,7 +11,7 @@ from ..config import Config
 from ..functions.text import clean_text, preview
 from ..operators import analysis, chunking, dedup, dense, questions, rag
 from ..operators.evaluation import Evaluation, eval_set, evaluate
-from ..operators.retrievers import CharBM25, Dense, Hybrid, Retriever, WordBM25, build
+from ..operators.retrievers import CharBM25, Dense, Hybrid, Retriever, WordBM25, build  # noqa: F401
 from ..runlog import RunLog
 from ..schemas import CHUNK, QUESTION
 from ..sources import files, reports
@@ -67,6 +67,17 @@ def retrievers(cfg: Config, sparse_only: bool = False, encoder: dense.Encoder =
     return out
 
 
+def opened(made: dict[str, Retriever], chunks: DataFrame, index_dir: str | None) -> dict[str, Retriever]:
+    """Each retriever with the index that ``build_indices`` saved for it, or with a new one where there is none."""
+    spark = chunks.sparkSession
+    for name, r in made.items():
+        if not isinstance(r, Hybrid) and index_dir and files.exists(spark, f"{index_dir}/{name}"):
+            r.load(spark, f"{index_dir}/{name}")
+        elif not r.is_indexed:
+            r.index(chunks)
+    return made
+
+
 def build_indices(spark: SparkSession, cfg: Config, path: str, probe: str | None = None, **options) -> DataFrame | None:
     """Saves every index; with ``probe``, returns what the character index finds."""
     chunks = load_chunks(spark, cfg)
@@ -76,13 +87,11 @@ def build_indices(spark: SparkSession, cfg: Config, path: str, probe: str | None
     return CharBM25().load(spark, f"{path}/char_ngram_bm25").retrieve_one(probe, 3) if probe else None
 
 
-def evaluate_all(spark: SparkSession, cfg: Config, log: RunLog | None = None, k: int = 10, **options) -> Evaluation:
-    """Metrics, details, error analysis and ablation under ``results_dir``."""
+def evaluate_all(spark: SparkSession, cfg: Config, log: RunLog | None = None, k: int = 10, index_dir: str | None = None, **options) -> Evaluation:
+    """Metrics, details, error analysis and ablation under ``results_dir``; saved indexes are searched where there are some."""
     out, chunks = cfg.evaluation.results_dir, load_chunks(spark, cfg)
     queries, gold = eval_set(load_questions(spark, cfg), "chunk_id", "question")
-    made = retrievers(cfg, **options)
-    for r in made.values():
-        r.index(chunks)
+    made = opened(retrievers(cfg, **options), chunks, index_dir)
     done = evaluate(made, queries, gold, k)
     names = [f"{m}@{k}" for m in ("mrr", "recall", "ndcg", "precision")] + ["map"]
     totals = done.metrics().persist()
@@ -100,10 +109,13 @@ def evaluate_all(spark: SparkSession, cfg: Config, log: RunLog | None = None, k:
     return done
 
 
-def answer(spark: SparkSession, cfg: Config, texts: DataFrame, llm: rag.LLM | None = None, sparse_only: bool = False, encoder: dense.Encoder = dense.hashed_encoder, k: int | None = None) -> DataFrame:
+def answer(spark: SparkSession, cfg: Config, texts: DataFrame, llm: rag.LLM | None = None, sparse_only: bool = False, encoder: dense.Encoder = dense.hashed_encoder, k: int | None = None, index_dir: str | None = None) -> DataFrame:
     """Responses for ``texts`` (query, text), 50 at most; without a model, what was retrieved (``k`` sources, or as configured)."""
-    g, s, h = cfg.generation, cfg.sparse, cfg.hybrid
-    found = build(sparse_only, encoder, cfg.dense.model_name, s.ngram_range, s.bm25_k1, s.bm25_b, h.method, h.rrf_k).index(load_chunks(spark, cfg))
+    g = cfg.generation
+    made = retrievers(cfg, sparse_only, encoder)
+    name = "char_ngram_bm25" if sparse_only else "hybrid"
+    children = made[name].retrievers if name == "hybrid" else []
+    found = opened({r.name: r for r in [*children, made[name]]}, load_chunks(spark, cfg), index_dir)[name]
     generator = rag.Generator(found, llm, g.prompt_template, k or g.top_k_context)
     queries = rag.first_queries(texts)
     if llm is not None:

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import dense, fusion, ivf, rag
-from lexmill.operators.index import Index
+from lexmill.operators.bm25 import search_chars, search_words
+from lexmill.operators.index import Analyzer
+from lexmill.operators.postings import Postings
 from lexmill.operators.retrievers import CharBM25, Dense, Hybrid, WordBM25
 from lexmill.plans.queries import QUERIES
 
@@ -17,28 +19,38 @@ def chunks(spark):
     return spark.createDataFrame([(k, v, {"k": k}) for k, v in TEXTS.items()], "chunk_id string, text string, metadata map<string,string>")
 
 
+@pytest.fixture(scope="module")
+def word(chunks):
+    return WordBM25().index(chunks)
+
+
+@pytest.fixture(scope="module")
+def char(chunks):
+    return CharBM25().index(chunks)
+
+
 def ranked(df):
     return {r.chunk_id: round(r.score, 6) for r in df.orderBy("rank").collect()}
 
 
-def test_goldens(chunks):
-    char = ranked(CharBM25().index(chunks).retrieve_one("river delta"))
-    assert char == {"a1": 13.489084, "a4": 10.137372, "a2": 10.025283, "a3": 6.991965, "a5": 4.997778}
-    word = ranked(WordBM25().index(chunks).retrieve_one("river delta"))
-    assert word == {"a1": 0.485064, "a2": 0.375463, "a3": 0.247984, "a5": 0.170378, "a4": 0.0}
-    assert list(word)[-1] == "a4"
+def test_goldens(word, char):
+    found = ranked(char.retrieve_one("river delta"))
+    assert found == {"a1": 13.489084, "a4": 10.137372, "a2": 10.025283, "a3": 6.991965, "a5": 4.997778}
+    found = ranked(word.retrieve_one("river delta"))
+    assert found == {"a1": 0.485064, "a2": 0.375463, "a3": 0.247984, "a5": 0.170378, "a4": 0.0}
+    assert list(found)[-1] == "a4"
 
 
-def test_word_list_is_always_full(chunks):
-    r = WordBM25().index(chunks)
+def test_word_list_is_always_full(word):
+    r = word
     assert ranked(r.retrieve_one("nothing known", 3)) == {"a1": 0.0, "a2": 0.0, "a3": 0.0}
     assert ranked(r.retrieve_one("", 2)) == {"a1": 0.0, "a2": 0.0}
     twice, once = ranked(r.retrieve_one("music music")), ranked(r.retrieve_one("music"))
     assert twice["a2"] == pytest.approx(2 * once["a2"], abs=2e-6)
 
 
-def test_char_list_holds_matches_only(chunks):
-    r = CharBM25().index(chunks)
+def test_char_list_holds_matches_only(char):
+    r = char
     assert ranked(r.retrieve_one("zzz")) == {} and ranked(r.retrieve_one("")) == {}
     assert r.retrieve_one("river", 1).first().metadata == {"k": "a3", "retriever": "char_ngram_bm25", "ngram_range": "(2, 4)"}
     assert ranked(r.retrieve_one("river river")) == ranked(r.retrieve_one("river"))
@@ -56,7 +68,34 @@ def test_saved_indexes_search_alike(spark, chunks, tmp_path):
         made.index(chunks).save(f"{tmp_path}/{made.name}")
         fresh.load(spark, f"{tmp_path}/{made.name}")
         assert ranked(fresh.retrieve_one("river delta")) == ranked(made.retrieve_one("river delta"))
-    assert Index.load(spark, f"{tmp_path}/word_bm25").k1 == 1.2
+    assert Postings.load(spark, f"{tmp_path}/word_bm25").k1 == 1.2
+
+
+def random_texts(n, seed=4):
+    r = np.random.default_rng(seed)
+    weights = 1 / np.arange(1, 301)
+    return [" ".join(f"w{i}" for i in r.choice(300, r.integers(1, 40), p=weights / weights.sum())) for _ in range(n)]
+
+
+@pytest.mark.parametrize("analyzer", [Analyzer("word"), Analyzer("char", 2, 3)])
+def test_pruned_search_of_an_index_finds_what_the_texts_hold(spark, tmp_path, analyzer):
+    texts = random_texts(500)
+    docs = spark.createDataFrame([*enumerate(texts), *((1000 + i, texts[7]) for i in range(20)), (2000, ""), (2001, None)], "doc long, text string")
+    docs = docs.fillna("", "text")
+    asked = [(0, "w200 w150 w1"), (1, "w250 w0 w0 w1"), (2, "w5"), (3, "unknown"), (4, ""), (5, " ".join(texts[7].split()[:6])), (6, "w0 w1 w2 w3 w299 w298 w297 w296 w295 w294 w293 w292")]
+    queries = spark.createDataFrame(asked, "query long, text string")
+    made = Postings.build(docs, f"{tmp_path}/a", analyzer, buckets=16, block=50).copy(f"{tmp_path}/b")
+    index = Postings.load(spark, made.path)
+    plain = search_words(docs, queries, 5) if analyzer.kind == "word" else search_chars(docs, queries, 5, 2, 3)
+    rows = lambda df: sorted((r.query, r.rank, r.doc, round(r.score, 5)) for r in df.collect())
+    assert rows(index.search(queries, 5)) == rows(plain) == rows(index.search(queries, 5, prune=False))
+    read = [index.hits(index.weighed(queries, 5, prune)).count() for prune in (True, False)]
+    assert read[0] < (0.8 if analyzer.kind == "word" else 1.0) * read[1]  # postings that are summed
+    largest = spark.read.parquet(f"{made.path}/postings").select(F.max(F.size("docs"))).first()[0]
+    assert largest < 150  # a term of all documents is many blocks
+    one = queries.where("query = 2")
+    if analyzer.kind == "word":
+        assert _files_read(index._matches(index.weighed(one, 5))) < _files_read(spark.read.parquet(f"{made.path}/postings"))
 
 
 def vectors(spark, n=400, d=16, seed=1):
@@ -121,16 +160,17 @@ def test_lists_are_read_by_partition_and_give_their_exact_best(spark, tmp_path):
 
 
 def _files_read(df):
-    """Files that the scan reads after partition pruning."""
+    """Files that the largest scan reads after partition pruning."""
     df.collect()
-    nodes = [df._jdf.queryExecution().executedPlan()]
+    nodes, read = [df._jdf.queryExecution().executedPlan()], 0
     while nodes:
         node = nodes.pop()
+        name = node.nodeName()
         if node.metrics().contains("numFiles"):
-            return node.metrics().apply("numFiles").value()
-        children = node.children()
-        nodes += [children.apply(i) for i in range(children.size())]
-    raise AssertionError("no scan")
+            read = max(read, node.metrics().apply("numFiles").value())
+        children = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+        nodes += children
+    return read
 
 
 def test_inverted_lists_recall_without_clusters(spark):

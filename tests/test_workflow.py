@@ -27,7 +27,9 @@ def test_a_study(spark, cfg, tmp_path):
     assert workflow.make_questions(spark, cfg).count() <= 20
     found = workflow.build_indices(spark, cfg, f"{tmp_path}/i", "number3").first()
     assert "number3" in found.text
-    done = workflow.evaluate_all(spark, cfg)
+    done = workflow.evaluate_all(spark, cfg, index_dir=f"{tmp_path}/i")
+    saved = workflow.opened(workflow.retrievers(cfg), workflow.load_chunks(spark, cfg), f"{tmp_path}/i")
+    assert saved["word_bm25"].postings.path == f"{tmp_path}/i/word_bm25" and saved["hybrid"].retrievers[0].postings.path == f"{tmp_path}/i/char_ngram_bm25"
     values = {(r.retriever, r.metric): r.value for r in done.metrics().collect()}
     assert len(values) == 20 and all(0 <= v <= 1 for v in values.values())
     assert done.displacement("char_ngram_bm25", "dense_zeroshot").count() == done.gold.count()
