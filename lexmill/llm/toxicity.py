@@ -1,18 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text.  A text is cut into
-windows of ``window`` words; the bytes that the toxic dictionary saves on a window, against the
-ordinary one, say how toxic it is.  A logistic calibration over a document's window savings gives its
-score, and its threshold the verdict.
-
-Toxic documents are mostly ordinary text, and a dictionary trained on all of it holds what ordinary
-text holds too.  So the toxic dictionary is trained on the passages that set the toxic texts apart: the
-compressor works by matches of bytes, so the evidence is counted in byte strings of ``GRAM`` bytes, by
-texts.  A string is evident when it is ``ratio`` times as frequent in toxic as in ordinary training
-texts, beyond chance (log-likelihood ratio of at least ``evidence``); of each toxic text, the windows of
-one word that hold an evident string are its training sample, in text order.  A text that mostly repeats
-the shingles of earlier ones doesn't train.  Both compressors then get the ordinary dictionary, the toxic
-one with the toxic dictionary before it: on ordinary words both save the same.
+Three zstandard dictionaries are trained: one on ordinary text, two on passages of toxic text.  A text is cut
+into windows; the bytes that a toxic dictionary saves on a window, against the ordinary one, say how toxic it
+is.  A logistic calibration over a document's window savings gives its score, and its threshold the verdict.
+
+Toxic documents are mostly ordinary text, and a dictionary trained on all of it holds what ordinary text holds
+too.  So the toxic dictionaries are trained on the passages that set the toxic texts apart: the compressor works
+by matches of bytes, so the evidence is counted in byte strings of ``GRAM`` bytes.
+
+* *Telling* strings are in ``ratio`` times as many toxic as ordinary training texts, beyond chance
+  (log-likelihood ratio of at least ``evidence``): words that ordinary text doesn't have.  Windows of
+  ``windows[0]`` words.
+* *Frequent* strings are not among those, but ``often`` times as frequent in toxic as in ordinary text, in
+  ``least_texts`` toxic texts or more (a text counts a string four times at most): forms that ordinary text has
+  now and then, as in the languages with few toxic examples.  Windows of ``windows[1]`` words.
+
+Of each toxic text, the words that hold such a string, in text order, are a training sample.  A text that mostly
+repeats the shingles of earlier ones doesn't train.  The compressors get the ordinary dictionary, the toxic ones
+with theirs before it: on ordinary words all save the same.
 
 Fitting is bounded: at most ``per_class`` labelled rows of each class with at most ``fit_chars``
 characters, chosen by hash of the id; two thirds train the dictionaries, one third calibrates; of the
@@ -40,7 +45,7 @@ from .support import bounded_batches, held_out, table
 from .textkit import shingle_set, text_bytes, word_bounds, word_hashes
 
 GRAM = 6
-_ORDINARY_BYTES, _TOXIC_BYTES = 4_096, 1_024
+_FEATURES = 14
 _SEEN = 1 << 25
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SIEVE_SHIFT = np.uint64(64 - 22)
@@ -49,8 +54,9 @@ _SIEVE_SHIFT = np.uint64(64 - 22)
 @dataclass
 class ToxicityModel:
     ordinary: bytes
-    toxic: bytes
-    window: int
+    telling: bytes
+    frequent: bytes
+    windows: tuple[int, int]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -61,23 +67,25 @@ class ToxicityModel:
 
 class Scorer:
     def __init__(self, model: ToxicityModel):
-        self.model = model
-        self.plain, self.toxic = _compressor(model.ordinary), _compressor(model.toxic + model.ordinary)
+        self.model, self.plain = model, _compressor(model.ordinary)
+        self.sides = [(_compressor(toxic + model.ordinary), w) for toxic, w in zip((model.telling, model.frequent), model.windows)]
 
     def features(self, text: bytes) -> list[float]:
-        """What the windows save: the best, the three best, the share of the text, and how often."""
-        words, w = text.lower().split(), self.model.window
-        saved, size = [], 0
-        plain, toxic = self.plain.compress, self.toxic.compress
-        for i in range(0, len(words), w):
-            window = b" " + b" ".join(words[i : i + w]) + b" "
-            saved.append(len(plain(window)) - len(toxic(window)))
-            size += len(window)
-        if not saved:
-            return [0.0] * 6
-        top = sorted(saved, reverse=True)[:3]
-        n = len(saved)
-        return [top[0], sum(top) / len(top), 100 * sum(s for s in saved if s > 0) / size, sum(s >= 2 for s in saved) / n, sum(s >= 3 for s in saved) / n, min(sum(s >= 3 for s in saved), 5)]
+        """What the windows save with each toxic dictionary: the best, the three and six best, the share of the text, and how often."""
+        words, out = text.lower().split(), []
+        if not words:
+            return [0.0] * _FEATURES
+        plain = self.plain.compress
+        for side, w in self.sides:
+            toxic, saved, size = side.compress, [], 0
+            for i in range(0, len(words), w):
+                window = b" " + b" ".join(words[i : i + w]) + b" "
+                saved.append(len(plain(window)) - len(toxic(window)))
+                size += len(window)
+            saved.sort(reverse=True)
+            n = len(saved)
+            out += [saved[0], sum(saved[:3]) / min(3, n), sum(saved[:6]) / 6, 100 * sum(s for s in saved if s > 0) / size, sum(s >= 2 for s in saved) / n, sum(s >= 4 for s in saved) / n, min(sum(s >= 3 for s in saved), 8)]
+        return out
 
     def score(self, text: bytes) -> float:
         x = (np.array(self.features(text)) - self.model.mean) / self.model.scale
@@ -143,6 +151,23 @@ def evident_grams(toxic: list[bytes], ordinary: list[bytes], ratio: float, evide
     return grams[(c1 / n1 >= ratio * (c0 + 0.5) / (n0 + 1)) & (told >= (evidence if n1 >= 10 else 0.0))]
 
 
+def frequent_grams(toxic: list[bytes], ordinary: list[bytes], often: float, least_texts: int) -> np.ndarray:
+    """The sorted byte strings that are ``often`` times as frequent in toxic text; counts are occurrences, four a text at most."""
+    found = [np.unique(_grams(_spaced(t)), return_counts=True) for t in toxic]
+    every, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+    texts = np.bincount(at, minlength=len(every))
+    c1 = np.bincount(at, np.concatenate([np.minimum(c, 4) for _, c in found]), len(every))
+    kept = texts >= min(least_texts, len(toxic))
+    every, c1 = every[kept], c1[kept]
+    among, c0, n0 = _Among(every), np.zeros(len(every)), 0
+    for text in ordinary:
+        own = _grams(_spaced(text))
+        n0 += len(own)
+        np.add.at(c0, np.searchsorted(every, own[among(own)]), 1)
+    n1 = sum(int(c.sum()) for _, c in found)
+    return every[c1 / max(1, n1) >= often * (c0 + 0.5) / max(1, n0)]
+
+
 def evident_windows(text: bytes, among: _Among) -> bytes:
     """The windows of one word, with the blanks around it, that hold an evident string; joined."""
     text = _spaced(text)
@@ -153,7 +178,7 @@ def evident_windows(text: bytes, among: _Among) -> bytes:
     return _spaced(b" ".join(text[starts[i] : ends[i]] for i in kept))
 
 
-def fit_texts(rows: list[tuple[bytes, int]], window: int = 12, ratio: float = 20.0, evidence: float = 25.0, ordinary_windows: int = 60_000) -> ToxicityModel:
+def fit_texts(rows: list[tuple[bytes, int]], windows: tuple[int, int] = (12, 3), ratio: float = 20.0, evidence: float = 25.0, often: float = 12.0, least_texts: int = 4, ordinary_bytes: int = 4_096, telling_bytes: int = 1_024, frequent_bytes: int = 2_048, ordinary_windows: int = 60_000) -> ToxicityModel:
     """rows: distinct (text, label) in a fixed order, both labels present."""
     seen = np.zeros(_SEEN, bool)
     split: dict[int, list[bytes]] = {0: [], 1: []}
@@ -164,11 +189,15 @@ def fit_texts(rows: list[tuple[bytes, int]], window: int = 12, ratio: float = 20
         seen[slots] = True
     train = {y: docs[: max(1, len(docs) * 2 // 3)] for y, docs in split.items()}
     held = {y: docs[len(train[y]) :] or train[y] for y, docs in split.items()}
-    among = _Among(evident_grams(train[1], train[0], ratio, evidence))
-    toxic = _dictionary(_TOXIC_BYTES, [w for text in train[1] if len(w := evident_windows(text, among)) >= 8], 24)
+    told = evident_grams(train[1], train[0], ratio, evidence)
+    often_met = np.setdiff1d(frequent_grams(train[1], train[0], often, least_texts), told)
+    toxic = []
+    for grams, size, k in ((told, telling_bytes, 24), (often_met, frequent_bytes, 16)):
+        among = _Among(grams)
+        toxic.append(_dictionary(size, [w for text in train[1] if len(w := evident_windows(text, among)) >= 8], k))
     plain = {b" ".join(words[i : i + 10]) for words in map(bytes.split, train[0]) for i in range(0, len(words), 10)}
-    ordinary = _dictionary(_ORDINARY_BYTES, sorted(plain, key=lambda w: (xxhash.xxh64_intdigest(w), w))[:ordinary_windows], 64)
-    model = ToxicityModel(ordinary, toxic, window, np.zeros(6), np.ones(6), np.zeros(7))
+    ordinary = _dictionary(ordinary_bytes, sorted(plain, key=lambda w: (xxhash.xxh64_intdigest(w), w))[:ordinary_windows], 64)
+    model = ToxicityModel(ordinary, *toxic, windows, np.zeros(_FEATURES), np.ones(_FEATURES), np.zeros(1 + _FEATURES))
     scorer = model.scorer()
     x = np.array([scorer.features(text) for y in (0, 1) for text in held[y]])
     y = np.r_[np.zeros(len(held[0])), np.ones(len(held[1]))]
@@ -176,17 +205,17 @@ def fit_texts(rows: list[tuple[bytes, int]], window: int = 12, ratio: float = 20
     z = np.c_[np.ones(len(x)), (x - model.mean) / model.scale]
     for _ in range(25):  # Newton steps of the ridge logistic calibration
         p = 1 / (1 + np.exp(-z @ model.weights))
-        model.weights = model.weights + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(7), z.T @ (y - p) - 0.01 * model.weights)
+        model.weights = model.weights + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1.0 * np.eye(1 + _FEATURES), z.T @ (y - p) - 1.0 * model.weights)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 4000, fit_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | float:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 4000, fit_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", **options) -> ToxicityModel | float:
     sample = labelled_sample(labels, label, per_class, id_col)
     got = rows_of(docs, sample, id_col, text_col).where(F.col("text").isNotNull() & (F.length("text") <= fit_chars)).collect() if sample else []
     texts = {r.text.encode(): r.y for r in sorted(got, key=lambda r: r.y)}
     if len(set(texts.values())) < 2:
         return sum(r.y for r in got) / len(got) if got else 0.5
-    return fit_texts(sorted(texts.items(), key=lambda r: xxhash.xxh64_intdigest(r[0])))
+    return fit_texts(sorted(texts.items(), key=lambda r: xxhash.xxh64_intdigest(r[0])), **options)
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
