@@ -1,10 +1,12 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes cuts a text where its top bits are zero, so cuts follow the
-content and an insertion moves only the chunks around it.  Chunks have 16 to 256 bytes, about 30 on
-average, so that a passage of 50 words holds several.  A chunk repeats if its digest occurs before, in the order (doc_id, row, position); adjacent
-repeated chunks form a span, and spans of at least ``min_chars`` characters are removed.  Shorter
-repeats are phrases that texts share by chance.
+content and an insertion moves only the chunks around it.  Where 64 bytes have no such place, the one with the
+smallest hash is cut, which follows the content too: periodic text has its cuts in the same phase wherever it
+stands.  Chunks have 16 to 64 bytes, about 30 on average, so that a passage of 50 words holds several.  A chunk
+repeats if its digest occurs before, in the order (doc_id, row, position); adjacent repeated chunks form a span.
+Spans of at least ``min_chars`` characters are removed, and texts that are one span as a whole, however short.
+Other shorter repeats are phrases that texts share by chance.
 
 A task holds the smallest occurrence of each digest that it meets, up to ``_HELD`` digests at a time;
 any other is settled there and then, in whatever order rows come.  Only the smallest go by digest, so a
@@ -30,7 +32,8 @@ from .support import bounded_batches, table
 from .textkit import text_bytes
 
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) & 0xFFFF for b in range(256)], np.uint16)
-_LEAST, _MOST = 16, 256
+_LEAST, _MOST = 16, 64
+_LAST = 1 << 11  # beside a chunk's length: it ends its text
 _TOP = np.uint16(16 - 4)  # 4 top bits: a cut in 16 positions
 _HELD = 600_000
 _NULL = -(1 << 63)
@@ -43,15 +46,12 @@ def cut_points(data: bytes) -> list[int]:
     for shift in (1, 2, 4, 8):  # doubles the window: sum of gear[byte j back] << j
         rolled[shift:] = rolled[shift:] + (rolled[:-shift] << np.uint16(shift))
     ends, last = [], 0
-    for at in ((rolled >> _TOP == 0).nonzero()[0] + 1).tolist():
+    for at in [*((rolled >> _TOP == 0).nonzero()[0] + 1).tolist(), len(data)]:
         while at - last > _MOST:
-            last += _MOST
+            last += _LEAST + int(rolled[last + _LEAST - 1 : last + _MOST].argmin())
             ends.append(last)
-        if at - last >= _LEAST:
+        if at - last >= _LEAST and at < len(data):
             ends.append(last := at)
-    while len(data) - last > _MOST:
-        last += _MOST
-        ends.append(last)
     if last < len(data):
         ends.append(len(data))
     if not data.isascii():  # to the start of the next character
@@ -88,7 +88,9 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             for row, doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
                 names, starts, ends = chunks(data)
                 own = _NULL if doc_id is None else doc_id
-                for name, at in zip(names.tolist(), ((starts << 12) | (ends - starts)).tolist()):
+                places = (starts << 12) | (ends - starts)
+                places[-1:] |= _LAST
+                for name, at in zip(names.tolist(), places.tolist()):
                     now = (own, row, at)
                     known = least.get(name)
                     if known is None:
@@ -156,25 +158,25 @@ def _repeats(occurrences: DataFrame) -> DataFrame:
 
 
 def _spans(repeats: DataFrame, min_chars: int) -> DataFrame:
-    """Adjacent repeated chunks of a row become a span; short ones are left alone."""
+    """Adjacent repeated chunks of a row become a span; short ones are left alone unless they are the whole text."""
 
     def run(batches):
-        now = None  # row, id, start, end, chunks
+        now, whole = None, False  # row, id, start, end, chunks; whether it ends its text
         out: list[tuple] = []
 
         def close():
-            if now is not None and now[3] - now[2] >= min_chars:
+            if now is not None and (now[3] - now[2] >= min_chars or (whole and now[2] == 0)):
                 out.append(now)
 
         for batch in batches:
             for row, doc_id, at in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "at"))):
-                start, end = at >> 12, (at >> 12) + (at & 4095)
+                start, end = at >> 12, (at >> 12) + (at & (_LAST - 1))
                 if now is not None and row == now[0] and start <= now[3]:
                     if end > now[3]:
-                        now = (*now[:3], end, now[4] + 1)
+                        now, whole = (*now[:3], end, now[4] + 1), bool(at & _LAST)
                 else:
                     close()
-                    now = (row, doc_id, start, end, 1)
+                    now, whole = (row, doc_id, start, end, 1), bool(at & _LAST)
             if out:
                 yield _span_batch(out)
                 out.clear()

@@ -169,14 +169,32 @@ def test_evident_strings_and_windows_match_plain_counting():
 def test_a_score_is_the_calibrated_difference_of_compressed_lengths():
     rows_ = [(f"{prose(i, 50)} {'utter moron ' * (i % 4 == 0)}{prose(300 + i, 30)}".encode(), int(i % 4 == 0)) for i in range(60)]
     model = toxicity.fit_texts(rows_)
-    text = rows_[4][0]
-    words, plain, toxic = text.lower().split(), toxicity._compressor(model.ordinary), toxicity._compressor(model.toxic + model.ordinary)
-    saved, size = [], 0
-    for i in range(0, len(words), 12):
-        w = b" " + b" ".join(words[i : i + 12]) + b" "
-        saved.append(len(plain.compress(w)) - len(toxic.compress(w)))
-        size += len(w)
-    three = sum(s >= 3 for s in saved)
-    x = [max(saved), sum(sorted(saved)[-3:]) / 3, 100 * sum(max(s, 0) for s in saved) / size, sum(s >= 2 for s in saved) / len(saved), three / len(saved), min(three, 5)]
+    text, x = rows_[4][0], []
+    words, plain = text.lower().split(), toxicity._compressor(model.ordinary)
+    for own, n in ((model.telling, 12), (model.frequent, 3)):
+        toxic, saved, size = toxicity._compressor(own + model.ordinary), [], 0
+        for i in range(0, len(words), n):
+            w = b" " + b" ".join(words[i : i + n]) + b" "
+            saved.append(len(plain.compress(w)) - len(toxic.compress(w)))
+            size += len(w)
+        share = lambda least: sum(s >= least for s in saved)  # noqa: B023, E731
+        best = sorted(saved)
+        x += [best[-1], sum(best[-3:]) / 3, sum(best[-6:]) / 6, 100 * sum(max(s, 0) for s in saved) / size, share(2) / len(saved), share(4) / len(saved), min(share(3), 8)]
     z = model.weights[0] + sum(w * (a - m) / s for w, a, m, s in zip(model.weights[1:], x, model.mean, model.scale))
     assert abs(model.scorer().score(text) - 1 / (1 + math.exp(-z))) < 1e-9 and model.scorer().score(text) > 0.7
+
+
+def test_frequent_strings_match_plain_counting():
+    toxic = [f"{prose(i, 40)} rivermo{'ta' * (i % 3)} {prose(50 + i, 20)} rivermo".encode() for i in range(12)] + [b"rivermo " * 50, b""]
+    ordinary = [f"{prose(100 + i, 60)} {'rivermo' * (i == 3)}".encode() for i in range(30)]
+    spaced = lambda t: b" " + b" ".join(t.split()) + b" "
+    grams = lambda t: [spaced(t)[i : i + 6] for i in range(len(spaced(t)) - 5)]
+    n1 = sum(len(grams(t)) for t in toxic)
+    n0 = sum(len(grams(t)) for t in ordinary)
+    want = set()
+    for g in {g for t in toxic for g in grams(t)}:
+        own = [min(4, grams(t).count(g)) for t in toxic]
+        if sum(map(bool, own)) >= 4 and sum(own) / n1 >= 6 * (sum(grams(t).count(g) for t in ordinary) + 0.5) / n0:
+            want.add(g)
+    found = toxicity.frequent_grams(toxic, ordinary, 6, 4)
+    assert {int(v).to_bytes(6, "big") for v in found} == want and b"vermo " in want

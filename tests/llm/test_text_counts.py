@@ -55,16 +55,14 @@ def test_long_texts_in_pieces():
 
 def gear_by_definition(data):
     """Chunk ends from the rolling hash taken one byte at a time."""
-    ends, last, h = [], 0, 0
-    for i, b in enumerate(data):
-        h = ((h << 1) + int(substring_dedup._GEAR[b])) & 0xFFFF
-        at = i + 1
-        if at - last > 256:
-            last = at - 1
-            ends.append(last)
-        if h >> 12 == 0 and at - last >= 16:
-            last = at
-            ends.append(at)
+    rolled, h = [], 0
+    for b in data:
+        rolled.append(h := ((h << 1) + int(substring_dedup._GEAR[b])) & 0xFFFF)
+    ends, last = [], 0
+    while len(data) - last > 64 or any(rolled[i] >> 12 == 0 for i in range(last + 15, len(data) - 1)):
+        near = [i for i in range(last + 15, min(last + 64, len(data) - 1)) if rolled[i] >> 12 == 0]
+        last = near[0] + 1 if near else min(range(last + 15, last + 64), key=lambda i: (rolled[i], i)) + 1
+        ends.append(last)
     if last < len(data):
         ends.append(len(data))
     return ends
@@ -115,6 +113,18 @@ def test_repeated_spans(spark):
     assert {(r.id, r.start, r.end) for r in substring_dedup.repeated_spans(spread).collect()} == got
 
 
+def test_short_copies_and_periodic_passages(spark):
+    short, period = prose(11, 20)[:73] + "x", "tamo se " * 30
+    documents = rows([short, short, short + " x", "word", "word", f"{prose(1, 40)} {period} {prose(2, 40)}", f"{prose(3, 37)} {period} {prose(4, 44)}", "é" * 9, "é" * 9])
+    found = {r.id: (r.start, r.end) for r in substring_dedup.repeated_spans(spark.createDataFrame(documents, SCHEMA)).collect()}
+    assert found[1] == (0, 74) and found[4] == (0, 4) and found[8] == (0, 9) and not {0, 2, 3, 7} & set(found)
+    start, end = found[6]
+    at = documents[6][1].index(period)
+    assert end - start >= 160 and start >= at - 64 and end <= at + len(period) + 64
+    kept = {r.id: r.text for r in substring_dedup.without_repeats(spark.createDataFrame(documents, SCHEMA)).collect()}
+    assert (kept[0], kept[1], kept[4]) == (short, "", "")
+
+
 def test_texts_without_repeats(spark):
     passage = prose(78, 80)
     docs = spark.createDataFrame(rows([prose(1, 50) + " " + passage, prose(2, 50) + " " + passage, None, ""]), SCHEMA).coalesce(1)
