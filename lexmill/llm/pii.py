@@ -10,9 +10,11 @@ e-mail's domain, an address's /24 network, the first six digits of a card or pho
 such protects nobody and is none.  A term (a whole word, outside the base spans) co-occurs with the
 entities of its document, however far away.  Over the documents of the whole corpus,
 PMI(t, e) = ln(n_te N / (n_t n_e)) says how much of the entity's information IC(e) = ln(N / n_e) the term
-discloses.  A term discloses an entity when PMI / IC >= ``threshold`` and their evidence, mentions * PMI,
-reaches ``evidence`` nats; mentions are the term's occurrences in the entity's different texts, two at
-least, so a single text that keeps naming someone is evidence and a word met once is not.
+discloses.  A term discloses an entity when PMI / IC >= ``threshold`` and there is evidence: two or more different
+texts with both whose number times PMI reaches ``evidence`` nats (however often one text repeats a term, it is
+one text), or a tie to an e-mail address of the same text.  A term is tied when it is a part of the address before
+the @ (three letters at least), or one of two adjacent capitalised words of which the address is made: both words,
+the first one's initial and the second, or both initials.
  * In the entity's documents every occurrence of such a term is a span of kind ``term``.
  * Elsewhere too, in any document, if two or more different texts bear the evidence (texts * PMI reaches
    ``evidence``) and most documents with the term hold the entity.
@@ -117,12 +119,32 @@ def _with_base(rows: DataFrame) -> DataFrame:
 
 
 def _terms(matches: Column, emails: Column) -> Column:
-    """array of (term, start, end), without the words in an e-mail's address; no other base span has letters."""
-    named = F.transform(matches, lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end")))
+    """array of (term, start, end, capital), without the words in an e-mail's address; no other base span has letters."""
+    first = lambda v: F.substring(v, 1, 1)
+    named = F.transform(matches, lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), (first(m["value"]) != F.lower(first(m["value"]))).alias("capital")))
     # a word begins after white space, a bracket or a quote, so it meets an address only where that begins
     return F.filter(named, lambda t: ~F.exists(emails, lambda e: (e["start"] >= t["start"]) & (e["start"] < t["end"])))
 
 
+def _tied(spans: Column, terms: Column) -> Column:
+    """array of (term, tied): whether a term is a part of an e-mail address of its text, or the address is made of it."""
+    before_at = F.transform(F.filter(spans, lambda s: s["kind"] == 0), lambda s: F.substring_index(F.substring(s["entity"], len(KINDS[0]) + 2, F.length(s["entity"])), "@", 1))
+    parts = F.filter(F.flatten(F.transform(before_at, lambda a: F.split(a, r"[^\p{L}]+"))), lambda p: F.length(p) >= 3)
+    whole = F.transform(before_at, lambda a: F.regexp_replace(a, r"[^\p{L}]", ""))
+    first = lambda t: F.substring(t["term"], 1, 1)
+
+    def made_of(names: Column, a: Column, b: Column) -> Column:
+        spelt = F.array(F.concat(a["term"], b["term"]), F.concat(first(a), b["term"]), F.concat(first(a), first(b)))
+        return F.coalesce(a["capital"] & b["capital"] & (b["start"] - a["end"] <= 2) & F.arrays_overlap(spelt, names), F.lit(False))
+
+    def judged(known: Column) -> Column:
+        near = lambda i: F.get(terms, i)
+        tied = lambda t, i: F.array_contains(known["parts"], t["term"]) | made_of(known["whole"], t, near(i + 1)) | made_of(known["whole"], near(i - 1), t)
+        return F.transform(terms, lambda t, i: F.struct(t["term"].alias("term"), tied(t, i).alias("tied")))
+
+    return let(F.struct(parts.alias("parts"), whole.alias("whole")), judged)
+
+
 class Sanitiser:
     """Spans of a corpus; each table is computed once and kept in the shared folder."""
 
@@ -145,8 +167,8 @@ class Sanitiser:
         shelf, kept = self.shelf, self.threshold
         n = self.base.count()
         names = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.array(s["entity"], s["group"]))))
-        texts = self.base.where(F.size("spans") > 0).groupBy("th").agg(F.count("*").alias("copies"), F.first(names).alias("names"), F.first("terms").alias("terms"))
-        texts = shelf.put(texts, "texts")
+        texts = self.base.where(F.size("spans") > 0).groupBy("th").agg(F.count("*").alias("copies"), F.first(names).alias("names"), F.first("terms").alias("terms"), F.first("spans").alias("spans"))
+        texts = shelf.put(texts.withColumn("named", _tied(F.col("spans"), F.col("terms"))).drop("spans"), "texts")
 
         # entities of the same texts disclose alike: one name stands for all of them
         holds = texts.select("th", F.explode("names").alias("entity"), "copies")
@@ -158,9 +180,9 @@ class Sanitiser:
 
         # PMI / IC >= threshold means n_t <= n_te (N / n_e) ** (1 - threshold), and n_te <= n_e
         most = lambda n_e: F.pow(n_e.cast("double"), F.lit(kept)) * F.pow(F.lit(float(n)), F.lit(1 - kept)) * (1 + 1e-9)
-        told = texts.select("th", "copies", F.explode(F.transform("terms", lambda t: t["term"])).alias("term")).groupBy("th", "copies", "term").agg(F.count("*").alias("tf"))
+        told = texts.select("th", "copies", F.inline("named")).groupBy("th", "copies", "term").agg(F.max("tied").alias("tied"))
         told = shelf.put(told, "told")
-        rare = told.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("copies").alias("seen")).where((F.col("tf") >= 2) & (F.col("seen") <= most(F.lit(largest)))).select("term")
+        rare = told.groupBy("term").agg(F.count("*").alias("texts"), F.max("tied").alias("tied"), F.sum("copies").alias("seen")).where(((F.col("texts") >= 2) | F.col("tied")) & (F.col("seen") <= most(F.lit(largest)))).select("term")
         rare = shelf.put(rare, "rare")
         if rare.isEmpty():
             self.added = self.elsewhere = shelf.put(texts.limit(0).select("th", F.array().cast(_EXTRA).alias("extra")), "added")
@@ -172,11 +194,11 @@ class Sanitiser:
         told = shelf.put(told.join(self._few(counts), "term"), "told_rare")
 
         both = told.join(holds.drop("copies"), "th").where(F.col("n_t") <= most(F.col("n_e")))
-        pairs = both.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts"), F.sum("tf").alias("mentions"))
-        pairs = shelf.put(pairs.where("mentions >= 2"), "pairs")
+        pairs = both.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts"), F.max("tied").alias("tied"))
+        pairs = shelf.put(pairs.where("texts >= 2 or tied"), "pairs")
         judged = pairs.withColumn("pmi", F.log(F.col("n_te") * F.lit(float(n)) / F.col("n_t") / F.col("n_e"))).withColumn("ic", F.log(F.lit(float(n)) / F.col("n_e")))
         judged = judged.withColumn("strength", F.when(F.col("ic") > 0, F.col("pmi") / F.col("ic")).otherwise(0.0))
-        judged = judged.where((F.col("strength") >= kept) & (F.col("mentions") * F.col("pmi") >= self.evidence))
+        judged = judged.where((F.col("strength") >= kept) & (F.col("tied") | ((F.col("texts") >= 2) & (F.col("texts") * F.col("pmi") >= self.evidence))))
         everywhere = (F.col("texts") >= 2) & (F.col("texts") * F.col("pmi") >= self.evidence) & (2 * F.col("n_te") > F.col("n_t"))
         judged = shelf.put(judged.select("entity", "term", "strength", everywhere.alias("everywhere")), "judged")
 
@@ -232,8 +254,9 @@ class Sanitiser:
 
 def _extra(terms: Column) -> Column:
     """The spans of a text's terms that are among its ``hits``."""
-    span = lambda t, h: F.when(h.isNotNull(), F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end"), h["removed"].alias("removed")))
-    spans = F.transform(terms, lambda t: let(F.get(F.filter("hits", lambda h: h["term"] == t["term"]), F.lit(0)), lambda h: span(t, h)))
+    span = lambda t, h: F.when(h.isNotNull(), F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end"), h.alias("removed")))
+    of = lambda hits: F.transform(terms, lambda t: span(t, F.try_element_at(hits, t["term"])))
+    spans = let(F.map_from_entries("hits"), of)
     return F.filter(spans, lambda s: s.isNotNull()).cast(_EXTRA)
 
 
