@@ -65,5 +65,5 @@ def test_stages_and_run(spark, tmp_path):
 
 def test_registered():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.QUERIES if name.startswith("op")}
+    assert {f"op{n}" for n in range(1, 13)} == {name.split("_")[0] for name in queries.QUERIES if name.startswith("op")}
     assert "pipeline" in queries.QUERIES
