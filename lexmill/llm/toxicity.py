@@ -47,6 +47,7 @@ from .textkit import shingle_set, text_bytes, word_bounds, word_hashes
 GRAM = 6
 _FEATURES = 14
 _SEEN = 1 << 25
+_PORTION = 1 << 19
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SIEVE_SHIFT = np.uint64(64 - 22)
 
@@ -137,10 +138,31 @@ class _Among:
         return at[self.values[np.minimum(found, len(self.values) - 1)] == numbers[at]] if len(self.values) else at[:0]
 
 
+def _tally(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The sorted byte strings of the texts, the texts that hold each, its occurrences (four a text at most), and all occurrences.
+
+    Portions of ``_PORTION`` strings are merged one after another: memory follows the distinct strings, not all.
+    """
+    grams, held, met, total = np.empty(0, np.uint64), np.empty(0), np.empty(0), 0
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, text in enumerate(texts):
+        own, counts = np.unique(_grams(_spaced(text)), return_counts=True)
+        waiting.append((own, np.minimum(counts, 4)))
+        total += int(counts.sum())
+        if i + 1 < len(texts) and sum(len(g) for g, _ in waiting) < _PORTION:
+            continue
+        fresh = np.concatenate([g for g, _ in waiting])
+        every, at = np.unique(np.concatenate([grams, fresh]), return_inverse=True)
+        held = np.bincount(at, np.r_[held, np.ones(len(fresh))], len(every))
+        met = np.bincount(at, np.r_[met, np.concatenate([c for _, c in waiting])], len(every))
+        grams, waiting = every, []
+    return grams, held, met, total
+
+
 def evident_grams(toxic: list[bytes], ordinary: list[bytes], ratio: float, evidence: float) -> np.ndarray:
     """The sorted byte strings that ``ratio`` and ``evidence`` ask for; counts are numbers of texts."""
     n1, n0 = len(toxic), len(ordinary)
-    grams, c1 = np.unique(np.concatenate([np.unique(_grams(_spaced(t))) for t in toxic]), return_counts=True)
+    grams, c1, _, _ = _tally(toxic)
     grams, c1 = grams[c1 >= min(2, n1)], c1[c1 >= min(2, n1)]
     among, c0 = _Among(grams), np.zeros(len(grams))
     for text in ordinary:
@@ -153,10 +175,7 @@ def evident_grams(toxic: list[bytes], ordinary: list[bytes], ratio: float, evide
 
 def frequent_grams(toxic: list[bytes], ordinary: list[bytes], often: float, least_texts: int) -> np.ndarray:
     """The sorted byte strings that are ``often`` times as frequent in toxic text; counts are occurrences, four a text at most."""
-    found = [np.unique(_grams(_spaced(t)), return_counts=True) for t in toxic]
-    every, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
-    texts = np.bincount(at, minlength=len(every))
-    c1 = np.bincount(at, np.concatenate([np.minimum(c, 4) for _, c in found]), len(every))
+    every, texts, c1, n1 = _tally(toxic)
     kept = texts >= min(least_texts, len(toxic))
     every, c1 = every[kept], c1[kept]
     among, c0, n0 = _Among(every), np.zeros(len(every)), 0
@@ -164,7 +183,6 @@ def frequent_grams(toxic: list[bytes], ordinary: list[bytes], often: float, leas
         own = _grams(_spaced(text))
         n0 += len(own)
         np.add.at(c0, np.searchsorted(every, own[among(own)]), 1)
-    n1 = sum(int(c.sum()) for _, c in found)
     return every[c1 / max(1, n1) >= often * (c0 + 0.5) / max(1, n0)]
 
 

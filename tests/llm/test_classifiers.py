@@ -198,3 +198,20 @@ def test_frequent_strings_match_plain_counting():
             want.add(g)
     found = toxicity.frequent_grams(toxic, ordinary, 6, 4)
     assert {int(v).to_bytes(6, "big") for v in found} == want and b"vermo " in want
+
+
+def test_byte_strings_are_counted_in_portions(monkeypatch):
+    texts = [b"one two three two two two two two", b"", b"two three four", b"one two three two two two two two", b"x"]
+    monkeypatch.setattr(toxicity, "_PORTION", 10)
+    grams, held, met, total = toxicity._tally(texts)
+    expected: dict[int, list[int]] = {}
+    for text in texts:
+        own = toxicity._grams(toxicity._spaced(text)).tolist()
+        for g in set(own):
+            seen = expected.setdefault(g, [0, 0])
+            seen[0] += 1
+            seen[1] += min(4, own.count(g))
+    assert grams.tolist() == sorted(expected)
+    assert [[int(a), int(b)] for a, b in zip(held, met)] == [expected[g] for g in sorted(expected)]
+    assert total == sum(len(toxicity._grams(toxicity._spaced(t))) for t in texts)
+    assert toxicity._tally([])[3] == 0 and not len(toxicity._tally([b""])[0])
