@@ -47,13 +47,18 @@ from .textkit import SHINGLE_WORDS, set_digest, shingle_set, signed, text_bytes,
 _MASK = np.uint64(counters.SIZE - 1)
 _FAN_OUT = 8
 _LEAST_BITS, _MOST_BITS = 22, 28
+_SLICE = 1 << 16
 _EXACT = 1 << 15
 
 
 def rarity_ranks(counts: np.ndarray) -> np.ndarray:
-    """Counters as 16-bit ranks, never falling with the count: exact to 2**15, logarithmic beyond."""
-    far = _EXACT + 512 * np.log2(np.maximum(counts, _EXACT) / _EXACT)
-    return np.minimum(np.where(counts < _EXACT, counts, far), 2**16 - 1).astype(np.uint16)
+    """Counters as 16-bit ranks, never falling with the count: exact to 2**15, logarithmic beyond.  Made in place, a slice at a time."""
+    ranks = np.empty(len(counts), np.uint16)
+    for i in range(0, len(counts), _SLICE):
+        piece = counts[i : i + _SLICE]
+        far = _EXACT + 512 * np.log2(np.maximum(piece, _EXACT) / _EXACT)
+        ranks[i : i + _SLICE] = np.minimum(np.where(piece < _EXACT, piece, far), 2**16 - 1)
+    return ranks
 
 
 def _filter_bits(members: int) -> int:
