@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ..store import new_folder, written
 from . import char_search
 from .index import Analyzer, corpus_df, document_length, scored_frequency, stats
-from .sizes import fits
+from .sizes import fits, small
 
 DIGITS = 6
+_STEP = 4096
 
 
 def query_terms(queries: DataFrame, analyzer: Analyzer) -> DataFrame:
@@ -97,10 +98,27 @@ def _first_unmatched(docs: DataFrame, need: DataFrame, scored: DataFrame, k: int
 
     Among the k + m smallest documents, m the query's matches, k are unmatched.
     """
-    most = need.agg(F.max("m")).first()[0]
-    first = docs.select("doc").orderBy("doc").limit(int(most) + k)
-    order = W.orderBy("doc")
-    first = first.withColumn("at", F.row_number().over(order))
-    pairs = need.join(first, F.col("at") <= F.col("m") + k).select("query", "doc")
+    most = int(need.agg(F.max("m")).first()[0]) + k
+    first = small(positions(docs).where(F.col("at") <= most))
+    upto, step = F.col("m") + k, F.lit(_STEP)
+    blocks = need.select("query", "m", F.explode(F.sequence(F.lit(0), F.floor((upto - 1) / step))).alias("b"))
+    asked = blocks.select("query", F.explode(F.sequence(F.col("b") * step + 1, F.least((F.col("b") + 1) * step, upto))).alias("at"))
+    pairs = asked.join(first, "at").select("query", "doc")
     free = pairs.join(scored.select("query", "doc"), ["query", "doc"], "left_anti")
     return top(free.withColumn("score", F.lit(0.0)), k).select("query", "doc", "score")
+
+
+def positions(docs: DataFrame) -> DataFrame:
+    """(doc, at): ids counted from 1 by size.
+
+    Sorted by ranges and written; each range then starts after the rows of those before it, a number a task.
+    """
+    ids = docs.select("doc").repartitionByRange("doc").sortWithinPartitions("doc")
+    ids = written(ids.select("doc", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("i")), new_folder(docs.sparkSession, "positions"))
+    sizes = ids.groupBy("part").agg(F.count("*").alias("n"), F.min("i").alias("first")).orderBy("part").collect()
+    shifts, before = [], 1
+    for r in sizes:
+        shifts.append((r["part"], before - r["first"]))
+        before += r["n"]
+    shift = docs.sparkSession.createDataFrame(shifts, "part int, shift long")
+    return ids.join(F.broadcast(shift), "part").select("doc", (F.col("i") + F.col("shift")).alias("at"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from ..functions.text import preview
 from .retrievers import Retriever
@@ -122,13 +123,13 @@ class Generator:
         llm = self.llm
 
         def answer(batches):
-            for pdf in batches:
-                yield pd.DataFrame({"query": pdf["query"], "answer": [llm.generate(p) for p in pdf["prompt"]]})
+            for batch in batches:
+                answers = [llm.generate(p) for p in batch.column("prompt").to_pylist()]
+                yield batch.append_column("answer", pa.array(answers, pa.string()))
 
-        made = self.prompts(queries, top_k, template)
-        kind = dict(queries.dtypes)["query"]
-        answers = made.select("query", "prompt").mapInPandas(answer, f"query {kind}, answer string")
-        return responses(made.join(answers, "query"), llm.get_model_name(), self.retriever.name)
+        made = self.prompts(queries, top_k, template)  # retrieved once: its columns go through the model's step
+        answered = made.mapInArrow(answer, StructType(list(made.schema.fields)).add("answer", StringType()))
+        return responses(answered, llm.get_model_name(), self.retriever.name)
 
 
 def responses(rows: DataFrame, model: str, retriever: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..store import new_folder
 from . import bm25, dense, fusion, ivf
+from .graph import Graph
 from .hashing import HashedWords
 from .index import Analyzer
 from .postings import Postings
@@ -127,23 +128,25 @@ class Dense(Retriever):
         own = "hashed-trigrams" if encoder is dense.hashed_encoder else HASHED_WORDS if encoder == HASHED_WORDS else None  # the default has its name, whatever is configured
         self.encoder, self.model, self.normalize, self.index_type, self.nlist, self.nprobe = encoder, own or model or name, normalize, index_type, nlist, nprobe
         self.vectors: DataFrame | None = None
-        self.lists: ivf.Lists | None = None
+        self.lists: ivf.Lists | Graph | None = None
         self.words: HashedWords | None = None
 
     def _build(self) -> None:
-        """Vectors stay a plan, or are written as inverted lists once and for all searches."""
+        """Vectors stay a plan, or are written as inverted lists or as a graph once and for all searches."""
         if self.encoder == HASHED_WORDS:
             self.words = HashedWords.fit(self.corpus)
         self.vectors = self._encoded(self.corpus, "doc")
         if self.index_type == "ivf":
             self._listed(ivf.Lists.build(self.vectors, new_folder(self.corpus.sparkSession, "lists"), self.nlist, self.nprobe))
+        elif self.index_type == "graph":
+            self._listed(Graph.build(self.vectors, new_folder(self.corpus.sparkSession, "graph")))
 
     def _encoded(self, frame: DataFrame, key: str) -> DataFrame:
         if self.words is not None:
             return self.words.encode(frame, key)
         return dense.encode(frame.select(key, "text"), self.encoder, self.normalize).select(key, "embedding")
 
-    def _listed(self, lists: ivf.Lists) -> None:
+    def _listed(self, lists: ivf.Lists | Graph) -> None:
         self.lists, self.vectors = lists, lists.table().select("doc", "embedding")
 
     def _marks(self) -> dict[str, str]:
@@ -152,6 +155,8 @@ class Dense(Retriever):
     def run(self, queries: DataFrame, k: int) -> DataFrame:
         self._checked()
         q = self._encoded(queries, "query")
+        if isinstance(self.lists, Graph):
+            return self.lists.search(q, k)
         return self.lists.search(q, k, self.nprobe) if self.lists is not None else dense.search_flat(self.vectors, q, k)
 
     def save(self, path: str) -> None:
@@ -159,7 +164,7 @@ class Dense(Retriever):
         if self.words is not None:
             self.words.save(f"{path}/encoder")
         if self.lists is not None:
-            self.lists.copy(f"{path}/ivf")
+            self.lists.copy(f"{path}/{self.index_type}")
         else:
             self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
@@ -174,6 +179,8 @@ class Dense(Retriever):
             self.encoder, self.words = HASHED_WORDS, HashedWords.load(spark, f"{path}/encoder")
         if self.index_type == "ivf":
             self._listed(ivf.Lists.load(spark, f"{path}/ivf"))
+        elif self.index_type == "graph":
+            self._listed(Graph.load(spark, f"{path}/graph"))
         else:
             self.vectors = spark.read.parquet(f"{path}/vectors")
         return self

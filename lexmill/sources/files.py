@@ -21,6 +21,8 @@ from ..schemas import DOCUMENT
 _STEM = r"([^/]*?)(?:\.[^./]*)?$"
 _SPLIT = 4 << 20
 _FILE_STEP = 1 << 32  # positions below one file in ``ordinal``
+_BLANK = r"^[ \t\x0b\f]*$"  # a line that parts paragraphs
+_BODY = r"(?U)[^\s\x1c-\x1f]"
 
 
 def _path(spark: SparkSession, path: str):
@@ -58,17 +60,8 @@ def _files(spark: SparkSession, path: str) -> list[str]:
     return sorted(found)
 
 
-def _whole(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(path, file ordinal, text) with universal newlines."""
-    text = F.regexp_replace(F.col("value"), "\r\n?", "\n")
-    df = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("path"), text.alias("text"))
-    # files are few against their contents: their order is ranked over distinct paths
-    order = df.select("path").distinct().withColumn("file", F.row_number().over(W.orderBy("path")) - 1)
-    return df.join(F.broadcast(order) if len(files) <= 100_000 else order, "path")
-
-
 def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(path, file ordinal, line number from 0, line); a line ends in any newline.
+    """(path, start of the split, file ordinal, line number from 0, line); a line ends in any newline.
 
     A large file is read in splits.  Lines are numbered within their split; a split's offset is the sum of
     the line counts of the file's earlier splits, one small row each.
@@ -78,10 +71,16 @@ def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
     splits = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     earlier = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     splits = splits.select("path", "block", (F.dense_rank().over(W.orderBy("path")) - 1).alias("file"), (earlier - F.col("first")).alias("shift"))
-    # a split has 4 MB (the cost of opening a file) or its file's rest, so their number is known to be small
+    return rows.join(_few_splits(splits, rows, files), ["path", "block"]).select("path", "block", "file", (F.col("at") + F.col("shift")).alias("i"), "line")
+
+
+def _few_splits(splits: DataFrame, rows: DataFrame, files: list[str]) -> DataFrame:
+    """A broadcast hint for a row a split of ``files``, of which ``rows`` were read, where they are few.
+
+    A split has 4 MB (the cost of opening a file) or its file's rest, so their number has a known bound.
+    """
     size = int(rows._jdf.queryExecution().analyzed().stats().sizeInBytes())
-    splits = F.broadcast(splits) if len(files) + size // _SPLIT <= 100_000 else splits
-    return rows.join(splits, ["path", "block"]).select("path", "file", (F.col("at") + F.col("shift")).cast("int").alias("i"), "line")
+    return F.broadcast(splits) if len(files) + size // _SPLIT <= 100_000 else splits
 
 
 def _stem() -> Column:
@@ -93,14 +92,41 @@ def _document(doc_id: Column, position: Column, text: Column, metadata: Column)
     return [doc_id.alias("doc_id"), ordinal.alias("ordinal"), text.alias("text"), F.col("path").alias("source"), metadata.cast("map<string,string>").alias("metadata")]
 
 
+def _paragraphs(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(path, file, number from 0, text) of runs of lines between blank ones; runs of white space alone don't count.
+
+    Splits are numbered apart.  A row for each split then says how many paragraphs earlier ones began, and whether
+    the last of those is still open where the split begins: the lines up to its first blank one go on with it.
+    """
+    line, i = F.col("line"), F.col("i")
+    rows = _lines(spark, files).withColumns({"blank": F.when(line.rlike(_BLANK), i), "body": F.when(line.rlike(_BODY), i)})
+    own = W.partitionBy("path", "block").orderBy("i")
+    latest = lambda c, end, none: F.coalesce(F.max(c).over(own.rowsBetween(W.unboundedPreceding, end)), F.lit(none))
+    begins = F.col("body").isNotNull() & (latest("body", -1, -2) < latest("blank", 0, -1))
+    rows = rows.withColumn("begins", begins).withColumn("n", F.sum(F.col("begins").cast("long")).over(own.rowsBetween(W.unboundedPreceding, 0)))
+
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("blank", "body")]
+    splits = rows.groupBy("path", "block").agg(F.max("n").alias("begun"), *ends)
+    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.withColumn("open", F.coalesce(F.max("max_body").over(earlier), F.lit(-2)) > F.coalesce(F.max("max_blank").over(earlier), F.lit(-1)))
+    goes_on = F.col("open") & F.coalesce(F.col("min_body") < F.coalesce("min_blank", F.col("max_body") + 1), F.lit(False))
+    splits = splits.withColumn("joined", goes_on.cast("long")).withColumn("before", F.coalesce(F.sum(F.col("begun") - F.col("joined")).over(earlier), F.lit(0)))
+    splits = splits.select("path", "block", "open", "min_blank", "joined", "before")
+
+    rows = rows.where("blank is null").join(_few_splits(splits, rows, files), ["path", "block"])
+    head = F.col("open") & (i < F.coalesce("min_blank", i + 1))
+    rows = rows.withColumn("number", F.when(head, F.col("before")).otherwise(F.col("before") + F.col("n") - F.col("joined"))).where("number > 0")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda r: r["line"])
+    text = F.regexp_replace(F.array_join(lines, "\n"), r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$", "")
+    return rows.groupBy("path", "file", "number").agg(text.alias("text")).select("path", "file", (F.col("number") - 1).alias("i"), "text")
+
+
 def read_txt(spark: SparkSession, files: list[str]) -> DataFrame:
     """A document for each paragraph; numbers count the paragraphs that aren't empty.
 
-    Paragraphs span lines, so a file is read whole: by one task, and up to 2 GB.
+    A large file is read in splits; a paragraph may span any number of them.
     """
-    trimmed = lambda p: F.regexp_replace(p, r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$", "")
-    paragraphs = F.filter(F.transform(F.split("text", r"\n\s*\n"), trimmed), lambda p: p != "")
-    df = _whole(spark, files).select("path", "file", F.posexplode(paragraphs).alias("i", "text"))
+    df = _paragraphs(spark, files)
     return df.select(*_document(numbered_plain(_stem(), F.col("i")), F.col("i"), F.col("text"), F.create_map(F.lit("paragraph_index"), F.col("i").cast("string"))))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import dense, fusion, ivf, rag
-from lexmill.operators.bm25 import search_chars, search_words
+from lexmill.operators.bm25 import _first_unmatched, positions, search_chars, search_words
 from lexmill.operators.index import Analyzer
 from lexmill.operators.postings import Postings
 from lexmill.operators.retrievers import CharBM25, Dense, Hybrid, WordBM25
@@ -49,6 +49,21 @@ def test_word_list_is_always_full(word):
     assert twice["a2"] == pytest.approx(2 * once["a2"], abs=2e-6)
 
 
+def test_fill_of_queries_with_many_matches(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc"), F.when(F.col("id") % 4500 == 4499, "moss").otherwise("fern").alias("text")).repartition(5)
+    asked = spark.createDataFrame([("a", "fern"), ("b", "moss"), ("c", "none"), ("d", "fern moss")], "query string, text string")
+    got = {}
+    for r in search_words(docs, asked, 3).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r["doc"], r["score"] > 0, r["score"] < 0))
+    assert [d for d, *_ in got["a"]] == [0, 1, 2]
+    assert [d for d, *_ in got["b"]] == [4499, 8999, 0] and [d for d, *_ in got["c"]] == [0, 1, 2]
+    at = positions(docs).collect()
+    assert sorted((r["at"], r["doc"]) for r in at) == [(i + 1, i) for i in range(9000)]
+    free = _first_unmatched(docs, spark.createDataFrame([("a", 8998), ("b", 2)], "query string, m long"), docs.selectExpr("if(text = 'fern', 'a', 'b') as query", "doc"), 3)
+    assert "SinglePartition" not in free._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, free.collect())) == [("a", 4499, 0.0), ("a", 8999, 0.0), ("b", 0, 0.0), ("b", 1, 0.0), ("b", 2, 0.0)]
+
+
 def test_char_list_holds_matches_only(char):
     r = char
     assert ranked(r.retrieve_one("zzz")) == {} and ranked(r.retrieve_one("")) == {}
@@ -278,6 +293,8 @@ def test_rag(spark, chunks):
     out = {r.query_id: r for r in g.generate(queries, 0).collect()}
     assert out["q1"].answer == "2 passages" and out["q1"].num_sources == 2 and out["q2"].answer == "0 passages"
     assert [s.rank for s in out["q1"].sources] == [1, 2] and out["q1"].model == "echo"
+    plan = g.generate(queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("collect_list") == 1  # retrieval stands in the plan once
     with pytest.raises(ValueError):
         rag.prompt("other", F.lit("q"), F.array())
     with pytest.raises(ValueError):

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,24 @@ def test_seen_table(spark, tmp_path):
     for i in (0, 1, 1, 0):  # replays change nothing
         ingest.remember(batches[i], i, f"{tmp_path}/seen", f"{tmp_path}/kept")
     assert sorted((r.ordinal, r.text) for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == [(0, "a"), (2, "b"), (4, "c")]
+
+
+def test_paragraphs_span_splits(spark, tmp_path):
+    parts = ["  \n", "one\n", "\n", "two " * 150 + "\n", "line\n" * 90, " \t\n\n", " \n\n", "\n" * 120, "  three  \n \nstill three\n", "\n", "four \n", "\n "]
+    (tmp_path / "a.txt").write_text("".join(parts))
+    (tmp_path / "b.txt").write_text("".join(parts[::-1]) + "\n\nlast")
+    (tmp_path / "c.txt").write_text("x" * 300)
+    (tmp_path / "d.txt").write_text("")
+    want = {}
+    for name in "abcd":
+        kept = [p for p in (p.strip() for p in re.split(r"\n[ \t\n\x0b\f\r]*\n", (tmp_path / f"{name}.txt").read_text())) if p]
+        want.update({f"{name}_{i:04d}": p for i, p in enumerate(kept)})
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("64", "200", size):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            docs = files.load(spark, str(tmp_path)).collect()
+            assert {r.doc_id: r.text for r in docs} == want and len(docs) == len(want)
+            assert [r.doc_id for r in sorted(docs, key=lambda r: r.ordinal)] == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
