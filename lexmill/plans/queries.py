@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.tokens import char_ngrams, ngram_length, words
-from ..operators import analysis, bm25, chunking, dedup, dense, fusion, hashing, index, ivf, metrics, questions, rag
+from ..operators import analysis, bm25, chunking, dedup, dense, fusion, hashing, index, ivf, metrics, projection, questions, rag
 from ..operators.evaluation import containing
 from ..operators.sizes import spread
 from . import oracle as O
@@ -435,6 +435,18 @@ def inbatch_negatives(spark, sf):
     return questions.in_batch_negatives(_table(spark, sf, "benchmark"), "item_id")
 
 
+@query("""with p as (select a.vec_id // 2 as i, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on a.vec_id % 2 = 0 and b.vec_id = a.vec_id + 1),
+s as (select a.i // 16 as batch, a.i as i, b.i as j, 20 * list_cosine_similarity(a.x, b.y) as s from p a join p b on a.i // 16 = b.i // 16),
+l as (select batch, i, ln(sum(exp(s))) - max(case when i = j then s end) as loss from s group by batch, i)
+select batch, count(*) as "rows", round(avg(loss), 6) as loss from l group by batch""")
+def contrastive_loss(spark, sf):
+    """The loss of each batch of neighbouring vectors before a step of training (``projection``)."""
+    v = _table(spark, sf, "embeddings").select("vec_id", "embedding")
+    left = v.where("vec_id % 2 = 0").select((F.col("vec_id") / 2).cast("long").alias("ordinal"), F.col("embedding").alias("anchor"))
+    right = v.where("vec_id % 2 = 1").select(F.floor(F.col("vec_id") / 2).alias("ordinal"), F.col("embedding").alias("positive"))
+    return projection.losses(projection.batches(left.join(right, "ordinal"))).withColumn("loss", F.round("loss", 6))
+
+
 def _contexts(spark, sf, k: int) -> DataFrame:
     hits = _word_run(spark, sf, k).join(_docs(spark, sf), "doc").withColumnRenamed("doc", "chunk_id")
     return _items(spark, sf).join(rag.contexts(hits), "query")

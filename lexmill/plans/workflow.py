@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.text import clean_text, preview
 from ..operators import analysis, chunking, dedup, dense, questions, rag
+from ..operators.bm25 import positions
 from ..operators.evaluation import Evaluation, eval_set, evaluate
+from ..operators.projection import Projection, own_rank
 from ..operators.retrievers import CharBM25, Dense, Hybrid, Retriever, WordBM25, build  # noqa: F401
 from ..runlog import RunLog
 from ..schemas import CHUNK, QUESTION
 from ..sources import files, reports
+from ..store import new_folder, written
 
 
 def prepare(spark: SparkSession, cfg: Config) -> DataFrame:
@@ -52,6 +55,33 @@ def load_questions(spark: SparkSession, cfg: Config) -> DataFrame:
     return spark.read.schema(QUESTION).json(cfg.data.qa_pairs_path)
 
 
+def train(spark: SparkSession, cfg: Config, encoder: dense.Encoder = dense.hashed_encoder) -> dict[str, float]:
+    """Trains a projection of the encoder on the question pairs and saves it to ``training.output_dir``.
+
+    Returns the loss of the first and last epoch, and the MRR of the eval part before and after.
+    """
+    t = cfg.training
+    named = load_questions(spark, cfg).select(F.struct("chunk_id", "question", "answer").alias("doc")).distinct()
+    pairs = written(positions(named).select((F.col("at") - 1).alias("ordinal"), "doc.*"), new_folder(spark, "pairs"))
+    pairs = questions.split(pairs, "ordinal", pairs.count(), t.eval_fraction)
+
+    def vectors(part: str, use: dense.Encoder) -> DataFrame:
+        own = pairs.where(F.col("part") == part)
+        coded = lambda c, name: dense.encode(own.select("ordinal", F.col(c).alias("text")), use).select("ordinal", F.col("embedding").alias(name))
+        return coded("question", "anchor").join(coded("answer", "positive"), "ordinal")
+
+    made = Projection.train(vectors("train", encoder), batch_size=t.batch_size, epochs=t.epochs, learning_rate=t.learning_rate, warmup_ratio=t.warmup_ratio, seed=cfg.experiment.seed)
+    made.save(spark, t.output_dir)
+    before, after = (own_rank(vectors("eval", use)).first()["mrr"] for use in (encoder, made.encoder(encoder)))
+    return {"first_loss": made.epoch_losses[0], "last_loss": made.epoch_losses[-1], "mrr_before": before, "mrr_after": after}
+
+
+def tuned_encoder(spark: SparkSession, cfg: Config, encoder: dense.Encoder = dense.hashed_encoder) -> dense.Encoder | None:
+    """The encoder with the projection that ``train`` saved; None where there is none."""
+    path = cfg.training.output_dir
+    return Projection.load(spark, path).encoder(encoder) if files.exists(spark, path) else None
+
+
 def retrievers(cfg: Config, sparse_only: bool = False, encoder: dense.Encoder = dense.hashed_encoder, tuned: dense.Encoder | None = None) -> dict[str, Retriever]:
     """word and char BM25, dense search (base and fine-tuned) and their fusion."""
     s, h, v = cfg.sparse, cfg.hybrid, cfg.dense

@@ -16,7 +16,7 @@ def cfg(tmp_path):
     paragraphs = [" ".join(WORDS[(i * k) % 16] for k in range(1, 15)) + f" number{i}" for i in range(1, 9)]
     (tmp_path / "corpus.txt").write_text("\n\n".join([*paragraphs, paragraphs[0], "short"]))
     d = {"corpus_path": f"{tmp_path}/corpus.txt", "processed_dir": f"{tmp_path}/p", "qa_pairs_path": f"{tmp_path}/qa", "chunk_size": 12, "chunk_overlap": 2}
-    over = {"data": d, "evaluation": {"results_dir": f"{tmp_path}/r", "ablation": {"ngram_sizes": [[2, 3]]}}, "paper_assets": {"tables_dir": f"{tmp_path}/t"}, "experiment": {"tracking": "json", "output_dir": f"{tmp_path}/o"}}
+    over = {"data": d, "evaluation": {"results_dir": f"{tmp_path}/r", "ablation": {"ngram_sizes": [[2, 3]]}}, "paper_assets": {"tables_dir": f"{tmp_path}/t"}, "training": {"output_dir": f"{tmp_path}/m", "eval_fraction": 0.3}, "experiment": {"tracking": "json", "output_dir": f"{tmp_path}/o"}}
     return merge(Config(), over)
 
 
@@ -25,6 +25,10 @@ def test_a_study(spark, cfg, tmp_path):
     assert (stats.raw_documents, stats.cleaned_documents, stats.chunk_size) == (10, 8, 12)
     assert workflow.load_chunks(spark, cfg).count() == stats.chunks
     assert workflow.make_questions(spark, cfg).count() <= 20
+    assert workflow.tuned_encoder(spark, cfg) is None
+    learnt = workflow.train(spark, cfg)
+    assert learnt["last_loss"] < learnt["first_loss"] and 0 <= learnt["mrr_after"] <= 1
+    assert workflow.tuned_encoder(spark, cfg)(["river", "delta boat"]).shape == (2, 64)
     found = workflow.build_indices(spark, cfg, f"{tmp_path}/i", "number3").first()
     assert "number3" in found.text
     done = workflow.evaluate_all(spark, cfg, index_dir=f"{tmp_path}/i")
