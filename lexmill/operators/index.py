@@ -34,14 +34,6 @@ def term_frequency(docs: DataFrame, analyzer: Analyzer, only: DataFrame | None =
     return terms.groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
-def scored_frequency(docs: DataFrame, analyzer: Analyzer, only: DataFrame) -> DataFrame:
-    """(doc, dl, term, tf) of the terms in ``only``: the length rides along, so scoring joins no table of lengths."""
-    # the length in a step of its own: beside the explode it would be taken anew for every term
-    sized = docs.select("doc", "text", analyzer.length(F.col("text")).alias("dl"))
-    terms = sized.select("doc", "dl", F.explode(analyzer.terms(F.col("text"))).alias("term"))
-    return terms.join(only, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-
-
 def document_frequency(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 
